@@ -8,10 +8,10 @@ document are looked up among those of the items and compared word by word.
 Items of fewer than 13 words, for which winnowing guarantees nothing, are one
 window each and are looked up by all runs of their length.
 
-The item side is sent to the tasks in blocks of at most ``block_words`` words,
-each block against all documents; one block is enough for most benchmarks and
-then nothing is shuffled.  Memory and broadcast follow the block, not the
-benchmark.
+The item side is sent to the tasks in blocks of about ``block_words`` words,
+each a column of its own over all documents, so nothing is shuffled and what
+a task holds at a time follows the block.  One block is enough for most
+benchmarks.
 
 Cases: null and wordless texts have no words and are never contaminated; a
 wordless item has no window; repeated rows are judged each for itself; items
@@ -26,12 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scrivena.llm.words import Words, grams, runs_of_texts, utf8, words_of
-from scrivena.plans.staging import stage
 
 SPAN = 13
 GRAM = 5
@@ -39,15 +37,7 @@ WINDOW = SPAN - GRAM + 1
 BLOCK_WORDS = 2_000_000
 NONE = np.uint64((1 << 64) - 1)
 
-SPANS = T.StructType(
-    [
-        T.StructField("row", T.LongType()),
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("n_words", T.LongType()),
-        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))),
-        T.StructField("items", T.ArrayType(T.StringType())),
-    ]
-)
+FOUND = "n_words long, spans array<struct<begin: long, end: long>>, items array<string>"
 
 
 def _sliding(x: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
@@ -150,26 +140,26 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan(index: ItemIndex):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            n_words = np.zeros(batch.num_rows, np.int64)
-            spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            items: list[list[str]] = [[] for _ in range(batch.num_rows)]
-            for begin, end in runs_of_texts(offsets):
-                words = words_of(data, offsets[begin : end + 1])
-                n_words[begin:end] = words.counts()
-                for i, (own, ids) in index.hits(words).items():
-                    spans[begin + i] = [{"begin": a, "end": b} for a, b in merged(own)]
-                    items[begin + i] = sorted(ids)
-            span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), pa.array(n_words), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))],
-                ["row", "doc_id", "n_words", "spans", "items"],
-            )
-
-    return scan
+def _scanned(text: Column, index: ItemIndex) -> Column:
+    """The words, hit spans and items of each text, against a block of items."""
+
+    def scan(column: pa.Array) -> pa.Array:
+        data, offsets = utf8(column)
+        n = len(column)
+        n_words = np.zeros(n, np.int64)
+        spans: list[list[dict]] = [[] for _ in range(n)]
+        items: list[list[str]] = [[] for _ in range(n)]
+        for begin, end in runs_of_texts(offsets):
+            words = words_of(data, offsets[begin : end + 1])
+            n_words[begin:end] = words.counts()
+            for i, (own, ids) in index.hits(words).items():
+                spans[begin + i] = [{"begin": a, "end": b} for a, b in merged(own)]
+                items[begin + i] = sorted(ids)
+        span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+        return pa.StructArray.from_arrays([pa.array(n_words), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], ["n_words", "spans", "items"])
+
+    # Not deterministic: else a filter on the result is pushed below it and the texts are scanned twice.
+    return F.arrow_udf(scan, FOUND).asNondeterministic()(text)
 
 
 def _item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list[str], list[str]]]:
@@ -182,47 +172,49 @@ def _item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list[
         yield [r.item_id for r in own], [r.text for r in own]
 
 
-def contamination_spans(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(row, doc_id, n_words, spans, items) of each document: the word spans that item windows cover, and whose."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    scans = [rows.mapInArrow(_scan(ItemIndex(ids, texts)), SPANS) for ids, texts in _item_blocks(benchmark, block_words)]
-    if len(scans) == 1:
-        return scans[0]
-    found = stage(scans[0], "decontaminate-block")
-    for scan in scans[1:]:
-        hits = scan.filter(F.size("spans") > 0).select("row", F.col("spans").alias("more_spans"), F.col("items").alias("more_items"))
-        found = found.join(hits, "row", "left").select(
-            "row",
-            "doc_id",
-            "n_words",
-            F.when(F.col("more_spans").isNull(), F.col("spans")).otherwise(F.concat("spans", "more_spans")).alias("spans"),
-            F.when(F.col("more_items").isNull(), F.col("items")).otherwise(F.array_distinct(F.concat("items", "more_items"))).alias("items"),
-        )
-        found = stage(found, "decontaminate-block")
-    return found
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
+def contamination_of(text: Column, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[list[Column], Column]:
+    """Columns that hold each item block's finds, and the column that joins the columns named _found0, _found1, ...
 
-    A document is contaminated when at least a twentieth of its words, and one, are hit.
+    The joined one is a struct of n_words, n_hit, n_items, items_sha256, contaminated and spans.
     """
-    found = contamination_spans(docs, benchmark, block_words)
-    ordered = F.array_sort("spans")
+    finds = [_scanned(text, ItemIndex(ids, texts)) for ids, texts in _item_blocks(benchmark, block_words)]
+    names = [f"_found{k}" for k in range(len(finds))]
+    spans = F.array_sort(F.concat(*(F.col(f"{name}.spans") for name in names)))
+    items = F.array_sort(F.array_distinct(F.concat(*(F.col(f"{name}.items") for name in names))))
+    n_words = F.col("_found0.n_words")
     # Spans of several blocks may overlap: each adds what lies beyond the furthest end so far.
-    covered = F.aggregate(
-        ordered,
+    n_hit = F.aggregate(
+        spans,
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")),
         lambda acc, s: F.struct((acc["n"] + F.greatest(s["end"] - F.greatest(s["begin"], acc["to"]), F.lit(0))).alias("n"), F.greatest(acc["to"], s["end"]).alias("to")),
         lambda acc: acc["n"],
     )
-    return (
-        found.withColumn("n_hit", covered)
-        .withColumn("n_items", F.size("items").cast("long"))
-        .withColumn("items_sha256", F.sha2(F.array_join(F.array_sort("items"), ","), 256))
-        .withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-        .select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
+    whole = F.struct(
+        n_words.alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        ((n_hit > 0) & (20 * n_hit >= n_words)).alias("contaminated"),
+        spans.alias("spans"),
     )
+    return [find.alias(name) for find, name in zip(finds, names)], whole
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
+
+    A document is contaminated when at least a twentieth of its words, and one, are hit.
+    """
+    finds, whole = contamination_of(F.col("text"), benchmark, block_words)
+    return docs.select("doc_id", *finds).select("doc_id", whole.alias("found")).select("doc_id", "found.*")
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not contaminated; nothing is shuffled."""
+    finds, whole = contamination_of(F.col("d.text"), benchmark, block_words)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"))
+    found = rows.select("d", *finds).select("d", whole.alias("found"))
+    return found.filter(~F.col("found.contaminated")).select("d.*")
 
 
 def items_digest(items: list[str]) -> str:

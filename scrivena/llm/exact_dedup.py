@@ -148,9 +148,10 @@ def fingerprints(docs: DataFrame, segment_chars: int = SEGMENT_CHARS) -> DataFra
 
 
 def exact_duplicates(docs: DataFrame, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, raw.
 
     Texts are equal when identical after lower-casing A-Z; of equal texts the largest doc_id stays.
+    raw is xxhash64 of the text as it is (null as empty), by which rows that repeat a doc_id are told apart.
     """
     key = [*(f"h{k}" for k in range(N)), "n_bytes"]
     prints = stage(fingerprints(docs, segment_chars), "dedup-fingerprints")
@@ -176,12 +177,25 @@ def exact_duplicates(docs: DataFrame, segment_chars: int = SEGMENT_CHARS) -> Dat
     )
     # A null doc_id can't be found again by a join; its digest, already at hand, decides.
     differing = stage(compared.filter("same = 0").select("doc_id", "raw", *key), "dedup-differing")
-    result = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
+    result = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "raw"]
     if differing.isEmpty():
         return links.select(*result)
     return _regrouped(docs, links, differing, key).select(*result)
 
 
+def deduplicated(docs: DataFrame, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay."""
+    found = exact_duplicates(docs, segment_chars)
+    return without(docs, found.filter(~F.col("kept")))
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``dropped`` (doc_id, raw) doesn't name; the hashed side has ids only."""
+    names = dropped.select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw")).distinct()
+    raw = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(names.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_id")) & (raw == F.col("_raw")), "left_anti")
+
+
 def _regrouped(docs: DataFrame, links: DataFrame, differing: DataFrame, key: list[str]) -> DataFrame:
     """Groups by fingerprint and the text itself, for the fingerprints that differing texts share."""
     hit = differing.select(*key).distinct()

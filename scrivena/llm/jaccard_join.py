@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivena.llm.components import connected_components
+from scrivena.llm.exact_dedup import without
 from scrivena.llm.words import grams, mix, runs_of_texts, utf8, words_of
 from scrivena.plans.staging import stage
 
@@ -109,8 +110,8 @@ def _describe(n: int):
             flat = join([x.ravel() for x in bands])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), pa.array(join(n_words)), pa.array(join(first)), pa.array(join(second)), lists],
-                ["row", "doc_id", "n_words", "d1", "d2", "bands"],
+                [batch.column("row"), batch.column("doc_id"), batch.column("raw"), pa.array(join(n_words)), pa.array(join(first)), pa.array(join(second)), lists],
+                ["row", "doc_id", "raw", "n_words", "d1", "d2", "bands"],
             )
 
     return describe
@@ -276,14 +277,14 @@ def _verify(threshold: float):
 
 
 def near_duplicates(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, class_id, n_links, n_copies.
+    """One row per row of ``docs`` (doc_id, text): doc_id, class_id, n_links, n_copies, raw.
 
     n_links counts the different texts (in words) at or above the threshold, n_copies the rows
     with the same words.  Texts that links connect, and copies, share a class; class_id is the
-    least doc_id in it.
+    least doc_id in it.  raw is xxhash64 of the text as it is, null as empty.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    described = stage(rows.mapInArrow(_describe(n), "row long, doc_id long, n_words long, d1 long, d2 long, bands array<long>"), "jaccard-described")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw"), "text")
+    described = stage(rows.mapInArrow(_describe(n), "row long, doc_id long, raw long, n_words long, d1 long, d2 long, bands array<long>"), "jaccard-described")
     worded = described.filter("n_words > 0")
     copies = worded.groupBy("d1", "d2", "n_words").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n_copies"))
     members = worded.join(copies, ["d1", "d2", "n_words"])
@@ -315,7 +316,13 @@ def near_duplicates(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD
 
     degrees = links.groupBy("node").agg(F.sum("links").alias("n_links"))
     roots = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    joined = members.select("doc_id", "node", "n_copies").join(degrees, "node", "left").join(roots, "node", "left")
-    joined = stage(joined.select("doc_id", F.coalesce("root", "node").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "jaccard-classes")
+    joined = members.select("doc_id", "raw", "node", "n_copies").join(degrees, "node", "left").join(roots, "node", "left")
+    joined = stage(joined.select("doc_id", "raw", F.coalesce("root", "node").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "jaccard-classes")
     least = joined.groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    return joined.join(least, "class").select("doc_id", "class_id", "n_links", "n_copies")
+    return joined.join(least, "class").select("doc_id", "class_id", "n_links", "n_copies", "raw")
+
+
+def one_of_each_class(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose doc_id is the least of their class."""
+    found = near_duplicates(docs, n, threshold)
+    return without(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))))

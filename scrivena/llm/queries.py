@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivena.llm import decontaminate, exact_dedup, jaccard_join
+from scrivena.llm import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, packing, url_filter
 from scrivena.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,7 +15,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def op3_exact_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
-    return exact_dedup.exact_duplicates(table(spark, data_dir, "documents"))
+    return exact_dedup.exact_duplicates(table(spark, data_dir, "documents")).drop("raw")
 
 
 QUERIES["op3_exact_dedup"] = op3_exact_dedup
@@ -64,7 +64,80 @@ from d left join covered using (doc_id) left join items using (doc_id)
 
 
 def op7_jaccard_join(spark: SparkSession, data_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(table(spark, data_dir, "documents"))
+    return jaccard_join.near_duplicates(table(spark, data_dir, "documents")).drop("raw")
 
 
 QUERIES["op7_jaccard_join"] = op7_jaccard_join
+
+
+def op1_html_extract(spark: SparkSession, data_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, data_dir, "pages"))
+
+
+QUERIES["op1_html_extract"] = op1_html_extract
+
+
+def op2_language_id(spark: SparkSession, data_dir: str) -> DataFrame:
+    return language_id.identified(table(spark, data_dir, "documents"))
+
+
+QUERIES["op2_language_id"] = op2_language_id
+
+
+def op5_chat_format(spark: SparkSession, data_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, data_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_format.digests(chat_format.formatted(rows))
+
+
+QUERIES["op5_chat_format"] = op5_chat_format
+ORACLE_SQL["op5_chat_format"] = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(length(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 9 + 7 + 7)::bigint as formatted_chars
+from c group by conv_id
+"""
+
+
+def op6_packing(spark: SparkSession, data_dir: str) -> DataFrame:
+    return packing.packed(table(spark, data_dir, "documents"))
+
+
+QUERIES["op6_packing"] = op6_packing
+
+
+def op10_url_filter(spark: SparkSession, data_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, data_dir, "pages"), url_filter.rule_table(spark))
+
+
+QUERIES["op10_url_filter"] = op10_url_filter
+ORACLE_SQL["op10_url_filter"] = """
+with p as (
+  select page_id, url, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end as rest from pages
+),
+h as (
+  select page_id, url,
+         coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path
+  from p
+),
+r(verdict, rh, rp) as (
+  values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+),
+best as (
+  select url, arg_max(rh || rp, length(rh || rp)) as rule, arg_max(verdict, length(rh || rp)) as verdict
+  from (select distinct url, host, path from h), r
+  where (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp)
+  group by url
+)
+select page_id, host, path, rule,
+       coalesce(verdict, case when regexp_matches(host || path, '^([^/]*[.-])?(spam[.-]|(cheap-)?pills[.-]|casino[.-]|porn[.-]|malware-|phishing-)') then 'block' else 'allow' end) as verdict
+from h left join best using (url)
+"""
