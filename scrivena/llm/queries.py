@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from scrivena.llm import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, packing, url_filter
+from scrivena.llm import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, license_scan, packing, quality, url_filter
 from scrivena.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +140,18 @@ select page_id, host, path, rule,
        coalesce(verdict, case when regexp_matches(host || path, '^([^/]*[.-])?(spam[.-]|(cheap-)?pills[.-]|casino[.-]|porn[.-]|malware-|phishing-)') then 'block' else 'allow' end) as verdict
 from h left join best using (url)
 """
+
+
+def op8_quality(spark: SparkSession, data_dir: str) -> DataFrame:
+    return quality.scored(table(spark, data_dir, "documents"), table(spark, data_dir, "labels"))
+
+
+QUERIES["op8_quality"] = op8_quality
+
+
+def op9_license_scan(spark: SparkSession, data_dir: str) -> DataFrame:
+    return license_scan.scanned(table(spark, data_dir, "documents"))
+
+
+QUERIES["op9_license_scan"] = op9_license_scan
+ORACLE_SQL["op9_license_scan"] = license_scan.oracle_sql()
