@@ -286,10 +286,12 @@ def near_duplicates(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw"), "text")
     described = stage(rows.mapInArrow(_describe(n), "row long, doc_id long, raw long, n_words long, d1 long, d2 long, bands array<long>"), "jaccard-described")
     worded = described.filter("n_words > 0")
-    copies = worded.groupBy("d1", "d2", "n_words").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n_copies"))
+    # Sums by key are staged before they are joined back, so that a key with very many rows can be split in the join.
+    sums = worded.groupBy("d1", "d2", "n_words").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n_copies"), F.min("doc_id").alias("least_id"))
+    copies = stage(sums, "jaccard-copies")
     members = worded.join(copies, ["d1", "d2", "n_words"])
     members = members.withColumn("bands", F.when(F.col("row") == F.col("node"), F.col("bands")))
-    wordless = described.filter("n_words = 0").withColumns({"node": F.col("row"), "n_copies": F.lit(1).cast("long"), "bands": F.lit(None).cast("array<long>")})
+    wordless = described.filter("n_words = 0").withColumns({"node": F.col("row"), "n_copies": F.lit(1).cast("long"), "least_id": F.col("doc_id"), "bands": F.lit(None).cast("array<long>")})
     members = stage(members.unionByName(wordless), "jaccard-members")
 
     nodes = members.filter("bands is not null")
@@ -316,10 +318,16 @@ def near_duplicates(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD
 
     degrees = links.groupBy("node").agg(F.sum("links").alias("n_links"))
     roots = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    joined = members.select("doc_id", "raw", "node", "n_copies").join(degrees, "node", "left").join(roots, "node", "left")
-    joined = stage(joined.select("doc_id", "raw", F.coalesce("root", "node").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "jaccard-classes")
-    least = joined.groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    return joined.join(least, "class").select("doc_id", "class_id", "n_links", "n_copies", "raw")
+    linked = stage(roots.join(degrees, "node").join(nodes.select("node", "least_id"), "node"), "jaccard-linked")
+    least = stage(linked.groupBy("root").agg(F.min("least_id").alias("class_id")), "jaccard-least")
+    classes = stage(linked.join(least, "root").select("node", "class_id", "n_links"), "jaccard-classes")
+    return members.join(classes, "node", "left").select(
+        "doc_id",
+        F.when(F.col("n_links").isNull(), F.col("least_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "n_copies",
+        "raw",
+    )
 
 
 def one_of_each_class(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
