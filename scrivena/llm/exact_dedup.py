@@ -155,7 +155,8 @@ def exact_duplicates(docs: DataFrame, segment_chars: int = SEGMENT_CHARS) -> Dat
     """
     key = [*(f"h{k}" for k in range(N)), "n_bytes"]
     prints = stage(fingerprints(docs, segment_chars), "dedup-fingerprints")
-    groups = prints.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # The groups are staged before they are joined back, so that one with very many rows can be split in the join.
+    groups = stage(prints.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "dedup-groups")
     links = stage(prints.join(groups, key), "dedup-links")
 
     shared = links.filter("group_size > 1").select("doc_id", "raw", "keep_id", *key).distinct()
@@ -169,7 +170,7 @@ def exact_duplicates(docs: DataFrame, segment_chars: int = SEGMENT_CHARS) -> Dat
     stays = pieces.filter(F.col("doc_id") == F.col("keep_id")).select(*key, "seg", F.col("text").alias("kept_text"), F.col("raw").alias("kept_raw"))
     # Rows that repeat a doc_id may bring several texts under one keep_id: one of them stays.
     one = stays.groupBy(*key).agg(F.min("kept_raw").alias("kept_raw"))
-    stays = stays.join(one, [*key, "kept_raw"]).dropDuplicates([*key, "seg"])
+    stays = stage(stays.join(one, [*key, "kept_raw"]).dropDuplicates([*key, "seg"]), "dedup-stays")
     compared = (
         pieces.join(stays.hint("shuffle_hash"), [*key, "seg"], "left")
         .groupBy("doc_id", "raw", *key)

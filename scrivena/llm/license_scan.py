@@ -81,7 +81,7 @@ def canonical_lines(text: Column) -> Column:
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "\n")
     for pattern, spelling in SPELLINGS:
         out = F.regexp_replace(out, pattern, spelling)
-    return F.transform(F.split(F.regexp_replace(out, PUNCTUATION, " "), "\n"), F.trim)
+    return F.transform(F.split(F.regexp_replace(out, PUNCTUATION, " "), "\n"), lambda line: F.trim(line))
 
 
 def whole(lines: Column) -> Column:

@@ -21,6 +21,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrivena.plans.staging import stage
+
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOKEN_EDGE = "[^a-z0-9]+"
 
@@ -94,6 +96,7 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFr
     index = rules.join(rarest, "id").select("token", "id", "rule", "verdict", "pattern", "rank")
     fits = spread.join(index, "token").filter(F.regexp_like("key", F.col("pattern")))
     first = F.max_by(F.struct("rule", "verdict"), F.struct("rank", F.coalesce("rule", F.lit("")), -F.col("id")))
-    chosen = fits.groupBy("url").agg(first.alias("found")).select("url", "found.rule", "found.verdict")
+    # Staged before it is joined back, so that a url with very many rows can be split in the join.
+    chosen = stage(fits.groupBy("url").agg(first.alias("found")).select("url", "found.rule", "found.verdict"), "url-chosen")
     rows = pages.select("page_id", "url").join(chosen, "url", "left")
     return rows.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
