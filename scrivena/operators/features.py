@@ -103,36 +103,37 @@ def standard_scaled(long: DataFrame, key: str, role: str = "role") -> DataFrame:
     return long.join(F.broadcast(fit), "feature").select(key, "feature", rounded((F.col("value") - F.col("m")) / F.col("sd"), 4).alias("z"))  # a row per feature
 
 
-def word_grams(text: Column, low: int, high: int) -> Column:
-    """Runs of low to high words of at least two letters or digits, joined by spaces."""
-    words = F.filter(tx.tokens(text), lambda w: F.length(w) > 1)
-    return F.concat(*(_runs(words, n) for n in range(low, high + 1)))
+def _runs(items: Column, low: int, high: int, between: str) -> Column:
+    """Runs of low to high neighbouring items, each length made of the one before it and the item that follows."""
+    run, found = items, [items] if low == 1 else []
+    for n in range(2, high + 1):
+        # The last items have none to follow: null, and taken out.
+        run = F.filter(F.zip_with(run, F.slice(items, F.lit(n), F.size(items)), lambda a, b: F.concat(a, F.lit(between), b)), lambda x: x.isNotNull())
+        if n >= low:
+            found.append(run)
+    return F.concat(*found)
 
 
-def _runs(words: Column, n: int) -> Column:
-    if n == 1:
-        return words
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+def with_word_grams(texts: DataFrame, low: int, high: int) -> DataFrame:
+    """id, role, grams: runs of low to high words of at least two letters or digits, joined by spaces."""
+    words = F.filter(tx.tokens(F.col("text")), lambda w: F.length(w) > 1)
+    return texts.select("id", "role", words.alias("items")).select("id", "role", _runs(F.col("items"), low, high, " ").alias("grams"))
 
 
-def char_grams(text: Column, low: int, high: int) -> Column:
-    """Runs of low to high characters of the lower-cased text with white space as single spaces."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\s\x0B]+", " ")
-    none = F.array().cast("array<string>")
-    return F.concat(*(F.when(F.length(plain) >= n, _char_runs(plain, n)).otherwise(none) for n in range(low, high + 1)))
+def with_char_grams(texts: DataFrame, low: int, high: int) -> DataFrame:
+    """id, role, grams: runs of low to high characters of the lower-cased text with white space as single spaces."""
+    plain = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[\s\x0B]+", " ")
+    letters = F.filter(F.split(plain, ""), lambda c: c != "")
+    return texts.select("id", "role", letters.alias("items")).select("id", "role", _runs(F.col("items"), low, high, "").alias("grams"))
 
 
-def _char_runs(plain: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(plain) - (n - 1)), lambda i: F.substring(plain, i, F.lit(n)))
-
-
-def tfidf(documents: DataFrame, grams: Column, min_df: int, most: int, role: str = "role") -> DataFrame:
-    """id, term, weight: tf * (ln((1 + n) / (1 + df)) + 1), each row of length 1; terms and df are those of the train rows.
+def tfidf(documents: DataFrame, min_df: int, most: int, role: str = "role") -> DataFrame:
+    """id, term, weight of documents (id, role, grams): tf * (ln((1 + n) / (1 + df)) + 1), each row of length 1; terms and df are those of the train rows.
 
     Terms in fewer than ``min_df`` train rows are left out; of the others the ``most`` most frequent stay,
     ties by term.  Counting is one grouping by (id, term); the terms that stay are a bounded table.
     """
-    counts = documents.select("id", role, F.explode(grams).alias("term")).groupBy("id", role, "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = documents.select("id", role, F.explode("grams").alias("term")).groupBy("id", role, "term").agg(F.count(F.lit(1)).alias("tf"))
     train = counts.filter(F.col(role) == "train")
     terms = train.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(most)
     n = documents.filter(F.col(role) == "train").agg(F.count(F.lit(1)).alias("n"))

@@ -39,7 +39,7 @@ def fold_stability(metrics: DataFrame, keys: list[str], metric: str) -> DataFram
 def block_comparison(summary: DataFrame, kind: str, candidate: str) -> DataFrame:
     """kind, candidates, mean, median and best mean, and the best candidate."""
     return summary.groupBy(kind).agg(
-        F.count(F.lit(1)).alias("candidates"), rounded(F.avg("mean")).alias("mean_of_means"), rounded(F.median("mean")).alias("median_of_means"), F.max("mean").alias("best_mean"),
+        F.count(F.lit(1)).alias("candidates"), rounded(F.avg("mean"), 7).alias("mean_of_means"), rounded(F.median("mean"), 7).alias("median_of_means"), F.max("mean").alias("best_mean"),
         F.max_by(candidate, F.struct("mean", candidate)).alias("best_candidate"),
     )
 

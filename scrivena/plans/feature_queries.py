@@ -106,8 +106,8 @@ def feature_non_finite(spark, d):
     return ft.non_finite_counts(counts(spark, d), "role", ft.TEXT_COUNTS)
 
 
-def tfidf_sql(grams: str, min_df: int, most: int) -> str:
-    return f"""with {TEXTS}, g as (select id, role, term, count(*) as tf from (select id, role, unnest({grams}) as term from texts) group by id, role, term),
+def tfidf_sql(grams: str, items: str, min_df: int, most: int) -> str:
+    return f"""with {TEXTS}, g as (select id, role, term, count(*) as tf from (select id, role, unnest({grams}) as term from (select id, role, {items} as w from texts)) group by id, role, term),
 v as (select term, count(*) as df, sum(tf) as total from g where role = 'train' group by term having count(*) >= {min_df} order by total desc, term limit {most}),
 w as (select id, g.term, tf * (ln((1.0 + (select count(*) from texts where role = 'train')) / (1.0 + df)) + 1.0) as w from g join v on g.term = v.term)
 select id, term, round(w / sqrt(sum(w * w) over (partition by id)), 6) as weight from w"""
@@ -117,17 +117,21 @@ PLAIN = "regexp_replace(lower(coalesce(text, '')), '[\\s\\x0B]+', ' ', 'g')"
 LONG_WORDS = f"list_filter({TOKENS}, lambda x: length(x) > 1)"
 
 
-@query("tfidf_word", tfidf_sql(f"list_concat({LONG_WORDS}, list_transform(range(1, len({LONG_WORDS})), lambda i: {LONG_WORDS}[i] || ' ' || {LONG_WORDS}[i + 1]))", 5, 1000).replace(
-    f"(select id, role, unnest(list_concat({LONG_WORDS}, list_transform(range(1, len({LONG_WORDS})), lambda i: {LONG_WORDS}[i] || ' ' || {LONG_WORDS}[i + 1]))) as term from texts)",
-    f"(select id, role, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from (select id, role, {LONG_WORDS} as w from texts))",
-))
+def pairs_sql(between: str) -> str:
+    return f"list_transform(list_zip(w[:-2], w[2:]), lambda x: x[1] || '{between}' || x[2])"
+
+
+@query("tfidf_word", tfidf_sql(f"list_concat(w, {pairs_sql(' ')})", LONG_WORDS, 5, 1000))
 def tfidf_word(spark, d):
-    return ft.tfidf(texts(spark, d), ft.word_grams(F.col("text"), 1, 2), 5, 1000)
+    return ft.tfidf(ft.with_word_grams(texts(spark, d), 1, 2), 5, 1000)
+
+
+TRIPLES = "list_transform(list_zip(w[:-3], w[2:-2], w[3:]), lambda x: x[1] || x[2] || x[3])"
 
 
-@query("tfidf_char", tfidf_sql("list_concat(list_transform(range(1, length(p)), lambda i: substr(p, i, 2)), list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3)))", 5, 500).replace("from texts) group by", f"from (select id, role, {PLAIN} as p from texts)) group by"))
+@query("tfidf_char", tfidf_sql(f"list_concat({pairs_sql('')}, {TRIPLES})", f"string_split({PLAIN}, '')", 5, 500))
 def tfidf_char(spark, d):
-    return ft.tfidf(texts(spark, d), ft.char_grams(F.col("text"), 2, 3), 5, 500)
+    return ft.tfidf(ft.with_char_grams(texts(spark, d), 2, 3), 5, 500)
 
 
 BLOCK = "case when feature like 'n\\_%' escape '\\' then 'counts' else 'style' end"
@@ -207,7 +211,7 @@ def fold_stability(spark, d):
 
 
 @query("block_comparison", with_views("pred", CANDIDATES + """ select case when blocks like '%prob\\_%' escape '\\' and blocks like '%hard\\_%' escape '\\' then 'mixed' when blocks like '%prob\\_%' escape '\\' then 'probability' when blocks like '%hard\\_%' escape '\\' then 'hard' else 'base' end as kind,
-  count(*) as candidates, round(avg(mean), 9) as mean_of_means, round(median(mean), 9) as median_of_means, max(mean) as best_mean, arg_max(candidate_id, (mean, candidate_id)) as best_candidate from su group by 1"""))
+  count(*) as candidates, round(avg(mean), 7) as mean_of_means, round(median(mean), 7) as median_of_means, max(mean) as best_mean, arg_max(candidate_id, (mean, candidate_id)) as best_candidate from su group by 1"""))
 def block_comparison(spark, d):
     return se.block_comparison(summary(spark, d).withColumn("kind", se.block_kind(F.col("blocks"))), "kind", "candidate_id")
 
