@@ -55,10 +55,9 @@ def overall_metrics(predictions: DataFrame, by: list[str] | None = None, weight:
     )
 
 
-def inverse_author_weight(author: str = "id_person", by: list[str] | None = None, normalised: bool = False) -> Column:
-    """1 / rows of the author (within ``by``), with mean 1 over all rows if normalised."""
-    weight = 1.0 / F.count(F.lit(1)).over(Window.partitionBy(*(by or []), author))
-    return weight if not normalised else weight
+def inverse_author_weight(author: str = "id_person", by: list[str] | None = None) -> Column:
+    """1 / rows of the author (within ``by``)."""
+    return 1.0 / F.count(F.lit(1)).over(Window.partitionBy(*(by or []), author))
 
 
 def author_weighted(predictions: DataFrame, author: str = "id_person") -> DataFrame:

@@ -96,16 +96,29 @@ def temporal_folds(speeches: DataFrame, folds: list[tuple[int, list[int], int]])
     return speeches.join(F.broadcast(table), "election").select("id_speech", "id_person", "fold_id", "fold_role")  # a row per fold and election
 
 
+def dealt_in_turn(authors: DataFrame, k: int, seed: int, ranges: int = 256) -> DataFrame:
+    """id_person, bucket: authors in the order of party, a draw from ``seed`` and id, dealt over k buckets in turn.
+
+    Places are counted within ranges of the draw and set off by the sizes of the ranges before, so that
+    no task orders all authors; what is ordered in one place has a row for each party and range.
+    """
+    span = 2147483647
+    drawn = authors.withColumn("draw", (F.col("id_person") * 48271 + seed) % span).withColumn("range", F.floor(F.col("draw") * ranges / span))
+    sizes = drawn.groupBy("party", "range").agg(F.count(F.lit(1)).alias("size"))
+    before = Window.orderBy(F.col("party").asc_nulls_last(), "range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("party").alias("_party"), F.col("range").alias("_range"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("party", "range").orderBy("draw", "id_person"))
+    joined = drawn.withColumn("place", place).join(offsets, F.col("party").eqNullSafe(F.col("_party")) & (F.col("range") == F.col("_range")))
+    return joined.select("id_person", ((F.col("offset") + F.col("place") - 1) % k).cast("int").alias("bucket"))
+
+
 def grouped_folds(speeches: DataFrame, k: int, seed: int) -> DataFrame:
     """id_speech, id_person, fold_id, fold_role: authors are dealt over k buckets, party by party, in an order drawn from ``seed``.
 
-    Dealing to the smallest bucket, the first of equal ones, is dealing in turn.  The order is over authors, not rows.
+    Dealing to the smallest bucket, the first of equal ones, is dealing in turn.
     """
     authors = speeches.groupBy("id_person").agg(F.min("party").alias("party"))
-    draw = (F.col("id_person") * 48271 + seed) % 2147483647
-    turn = F.row_number().over(Window.orderBy(F.col("party").asc_nulls_last(), draw, "id_person"))
-    buckets = authors.select("id_person", ((turn - 1) % k).cast("int").alias("bucket"))
-    return folds_of_buckets(speeches.select("id_speech", "id_person").join(buckets, "id_person"), k)
+    return folds_of_buckets(speeches.select("id_speech", "id_person").join(dealt_in_turn(authors, k, seed), "id_person"), k)
 
 
 def grouped_outer(speeches: DataFrame, authors: DataFrame) -> DataFrame:
@@ -198,18 +211,17 @@ def select_per_party(pool: DataFrame, k: int, metric: str = "total_chars") -> Da
 
 def select_alternating(pool: DataFrame, k: int, metric: str = "total_chars") -> DataFrame:
     """The first k authors when parties, ordered by their best author, take turns."""
-    ranked = with_party_rank(pool, metric)
+    ranked = with_party_rank(pool, metric).filter(F.col("party_rank") <= k)  # no party has more than k turns
     parties = pool.groupBy("party").agg(F.max(metric).alias("best"))
     turn = parties.select("party", F.row_number().over(Window.orderBy(F.desc("best"), "party")).alias("party_turn"))
     joined = ranked.join(turn, "party")
-    place = F.row_number().over(Window.orderBy("party_rank", "party_turn"))  # over authors, of which k are kept
+    place = F.row_number().over(Window.orderBy("party_rank", "party_turn"))  # over k authors of each party at most
     return joined.withColumn("place", place).filter(F.col("place") <= k).select("id_person", "party", metric, "place")
 
 
 def select_with_party_minimum(pool: DataFrame, k: int, least: int, metric: str = "total_chars") -> DataFrame:
     """The top k, without parties that have fewer than ``least`` of them; others of the remaining parties fill up."""
-    place = F.row_number().over(Window.orderBy(F.desc(metric), "id_person"))
-    ranked = pool.withColumn("place", place)
-    good = ranked.filter(F.col("place") <= k).groupBy("party").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    kept = ranked.join(good.select("party"), "party", "left_semi")
-    return kept.orderBy("place").limit(k).select("id_person", "party", metric, F.col("place").cast("int").alias("place"))
+    good = select_top(pool, k, metric).groupBy("party").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    kept = select_top(pool.join(good.select("party"), "party", "left_semi"), k, metric)
+    place = F.row_number().over(Window.orderBy(F.desc(metric), "id_person"))  # over k authors at most
+    return kept.select("id_person", "party", metric, place.alias("place"))

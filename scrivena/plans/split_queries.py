@@ -170,7 +170,7 @@ def select_alternating(spark, d):
 
 @query("refill_selection", with_views("speech", POOL + """, r as (select *, row_number() over (order by total_chars desc, id_person)::int as place from pool),
 g as (select party from r where place <= 15 group by party having count(*) >= 3)
-select id_person, party, total_chars, place from r where party in (select party from g) order by place limit 15"""))
+select id_person, party, total_chars, row_number() over (order by total_chars desc, id_person)::int as place from r where party in (select party from g) order by place limit 15"""))
 def refill_selection(spark, d):
     return sp.select_with_party_minimum(sp.author_pool(views.speech(spark, d)), 15, 3)
 
