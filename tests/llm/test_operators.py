@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from scrivena.llm import (
     chat_format,
@@ -326,7 +327,7 @@ def test_bounds_are_optimal():
 def test_batches_keep_the_budget_and_all_tokens(spark):
     rng = random.Random(23)
     rows = [(i, prose(rng, rng.choice([5, 5, 5, 40, rng.randrange(1, 300)])), None) for i in range(300)] + [(900, None, None), (901, "", None), (902, "a b", None), (902, "a b", None)]
-    docs = documents(spark, rows, ", bucket int") if False else documents(spark, rows)
+    docs = documents(spark, rows).withColumn("bucket", F.lit("clash"))
     found = packing.packed(docs, most_tokens=100, buckets=4, budget=400).toPandas()
     assert len(found) == packing.pieces(docs, 100).count()
     tokens = found.groupby("doc_id").n_tokens.sum()
