@@ -52,29 +52,32 @@ def char_buckets(speeches: DataFrame, k: int) -> DataFrame:
     """id_speech, id_person, bucket: each author's speeches in order, in k runs of about equal characters.
 
     A run is closed once it holds total / k characters, or when each later run needs one of the rows
-    that are left.  Authors with fewer than k speeches have none.  This is a fold over an author's
-    rows, of which only ids and lengths are gathered.
+    that are left.  Authors with fewer than k speeches have none.  Run by run, its last row is the first
+    that fills it; all windows share one shuffle and one sort, and none gathers an author's rows.
     """
-    rows = F.array_sort(F.collect_list(F.struct(*ORDER, "char_count")))
-    authors = speeches.groupBy("id_person").agg(rows.alias("rows"), F.sum("char_count").alias("total"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
-    start = F.struct(F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("held"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("i"), F.array().cast("array<int>").alias("out"))
-
-    def step(state: Column, row: Column) -> Column:
-        forced = (state["bucket"] < k - 1) & (state["size"] > 0) & (state["i"] >= F.col("n") - (k - 1 - state["bucket"]))
-        bucket = state["bucket"] + F.when(forced, 1).otherwise(0)
-        held = F.when(forced, F.lit(0).cast("long")).otherwise(state["held"]) + row["char_count"]
-        full = (bucket < k - 1) & (held * k >= F.col("total"))
-        return F.struct(
-            (bucket + F.when(full, 1).otherwise(0)).cast("int").alias("bucket"),
-            F.when(full, F.lit(0).cast("long")).otherwise(held).alias("held"),
-            F.when(full, 0).otherwise(F.when(forced, 1).otherwise(state["size"] + 1)).cast("int").alias("size"),
-            (state["i"] + 1).alias("i"),
-            F.concat(state["out"], F.array(bucket.cast("int"))).alias("out"),
+    w = Window.partitionBy("id_person")
+    ordered = w.orderBy(*ORDER)
+    rows = speeches.select(
+        "id_speech",
+        "id_person",
+        (F.row_number().over(ordered) - 1).alias("i"),
+        F.sum("char_count").over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("sum"),
+        F.count(F.lit(1)).over(w).alias("n"),
+        F.sum("char_count").over(w).alias("total"),
+    ).filter(F.col("n") >= k)
+    rows = rows.withColumns({"start": F.lit(0).cast("long"), "base": F.lit(0).cast("long"), "bucket": F.lit(0)})
+    for b in range(k - 1):
+        full = F.when((F.col("i") >= F.col("start")) & ((F.col("sum") - F.col("base")) * k >= F.col("total")), F.col("i"))
+        latest = F.col("n") - (k - 1 - b) - 1
+        rows = rows.withColumn("end", F.greatest("start", F.least(F.coalesce(F.min(full).over(w), latest), latest)))
+        rows = rows.withColumns(
+            {
+                "base": F.max(F.when(F.col("i") == F.col("end"), F.col("sum"))).over(w),
+                "start": F.col("end") + 1,
+                "bucket": F.when(F.col("i") > F.col("end"), b + 1).otherwise(F.col("bucket")),
+            }
         )
-
-    placed = authors.withColumn("buckets", F.aggregate("rows", start, step, lambda s: s["out"]))
-    each = placed.select("id_person", F.explode(F.arrays_zip(F.transform("rows", lambda r: r["id_speech"]).alias("id_speech"), F.col("buckets").alias("bucket"))).alias("x"))
-    return each.select("x.id_speech", "id_person", "x.bucket")
+    return rows.select("id_speech", "id_person", "bucket")
 
 
 def folds_of_buckets(buckets: DataFrame, k: int) -> DataFrame:
