@@ -19,16 +19,20 @@ an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scrivena.plans.staging import stage
+
 TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 START, SEP, END = "<|start|>", "<|sep|>", "<|end|>"  # the template's control strings
 LEARNED_ROLE = "assistant"
@@ -38,11 +42,15 @@ ENCODED_AT_ONCE = 1 << 19
 _TURN = re.compile(re.escape(START) + "(.*?)" + re.escape(SEP) + "(.*?)" + re.escape(END), re.S)
 
 SCHEMA = (
-    "conv_id long, chunk long, part int, n_turns int, text string, input_ids array<int>, "
+    "conv_id long, chunk long, part int, whole boolean, n_turns int, text string, input_ids array<int>, "
     "token_begin array<int>, token_end array<int>, loss_mask array<boolean>"
 )
 
 
+READ = "conv_id long, chunk long, part int, whole boolean, n_turns long, loss_chars long, chars long, said string, loss string"
+READ_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+
 def escape(text: str) -> str:
     return re.sub(r"<(\\*)\|", r"<\\\1|", text)
 
@@ -78,13 +86,14 @@ def mask(begins: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) ->
     return (at < len(first)) & (first[np.minimum(at, len(first) - 1)] < ends) & (ends > begins)
 
 
-def masked_texts(text: str, begins: list[int], ends: list[int], learned: list[bool]) -> list[str]:
+def masked_texts(text: str, begins: Sequence[int], ends: Sequence[int], learned: Sequence[bool]) -> list[str]:
     """The texts under the mask: one for each run of masked tokens, unescaped."""
     flags = np.concatenate([[False], np.array(learned, bool), [False]])
     edges = np.flatnonzero(flags[1:] != flags[:-1])
     return [unescape(text[begins[a] : ends[b - 1]]) for a, b in zip(edges[::2], edges[1::2])]
 
 
+@functools.cache
 def load_tokenizer(path: str):
     """The tokenizer with the control strings added as tokens of their own."""
     from tokenizers import AddedToken, Tokenizer
@@ -97,11 +106,12 @@ def load_tokenizer(path: str):
 
 def _format(path: str):
     def encode(tokenizer, parts: list[tuple]) -> pa.RecordBatch:
-        rendered = [render(turns) for _, _, _, turns in parts]
+        rendered = [render(turns) for *_, turns in parts]
         encoded = tokenizer.encode_batch([text for text, _ in rendered], add_special_tokens=False)
-        begins, ends, masks = [], [], []
+        ids, begins, ends, masks = [], [], [], []
         for e, (_, spans) in zip(encoded, rendered):
-            at = np.array(e.offsets, np.int32).reshape(-1, 2)
+            ids.append(np.fromiter(e.ids, np.int32, len(e)))
+            at = np.fromiter(itertools.chain.from_iterable(e.offsets), np.int32, 2 * len(e)).reshape(-1, 2)
             begins.append(at[:, 0])
             ends.append(at[:, 1])
             masks.append(mask(at[:, 0], at[:, 1], spans))
@@ -111,34 +121,35 @@ def _format(path: str):
                 pa.array([p[0] for p in parts], pa.int64()),
                 pa.array([p[1] for p in parts], pa.int64()),
                 pa.array([p[2] for p in parts], pa.int32()),
-                pa.array([len(p[3]) for p in parts], pa.int32()),
+                pa.array([p[3] for p in parts], pa.bool_()),
+                pa.array([len(p[4]) for p in parts], pa.int32()),
                 pa.array([text for text, _ in rendered], pa.string()),
-                pa.array([np.array(e.ids, np.int32) for e in encoded], ints),
+                pa.array(ids, ints),
                 pa.array(begins, ints),
                 pa.array(ends, ints),
                 pa.array(masks, flags),
             ],
-            ["conv_id", "chunk", "part", "n_turns", "text", "input_ids", "token_begin", "token_end", "loss_mask"],
+            ["conv_id", "chunk", "part", "whole", "n_turns", "text", "input_ids", "token_begin", "token_end", "loss_mask"],
         )
 
     def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer(path)
         done: list[tuple] = []
-        key, part, turns, size, held = None, 0, [], 0, 0
+        key, alone, part, turns, size, held = None, True, 0, [], 0, 0
         for batch in batches:
-            for conv, chunk, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "chunk", "role", "text"))):
+            for conv, chunk, goes_on, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "chunk", "goes_on", "role", "text"))):
                 if turns and (key != (conv, chunk) or size > PART_CHARS):
-                    done.append((*key, part, turns))
+                    done.append((*key, part, alone and part == 0 and key != (conv, chunk), turns))
                     part = part + 1 if key == (conv, chunk) else 0
                     turns, size, held = [], 0, held + size
                     if held > ENCODED_AT_ONCE:
                         yield encode(tokenizer, done)
                         done, held = [], 0
-                key = (conv, chunk)
+                key, alone = (conv, chunk), not goes_on
                 turns.append((role, text))
                 size += len(role) + len(text) + 32
         if turns:
-            done.append((*key, part, turns))
+            done.append((*key, part, alone and part == 0, turns))
         if done:
             yield encode(tokenizer, done)
 
@@ -146,7 +157,10 @@ def _format(path: str):
 
 
 def formatted(conversations: DataFrame, tokenizer_file: str = TOKENIZER_FILE) -> DataFrame:
-    """Rendered and encoded conversations: conv_id, chunk, part, n_turns, text, input_ids, token spans, loss_mask."""
+    """Rendered and encoded conversations: conv_id, chunk, part, whole, n_turns, text, input_ids, token spans, loss_mask.
+
+    whole tells that the part is all of its conversation.
+    """
     rows = conversations.select(
         "conv_id",
         F.coalesce(F.floor(F.col("turn") / TURNS_A_PART), F.lit(0)).cast("long").alias("chunk"),
@@ -154,33 +168,62 @@ def formatted(conversations: DataFrame, tokenizer_file: str = TOKENIZER_FILE) ->
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    dealt = rows.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "turn", "role", "text")
+    reach = rows.groupBy("conv_id").agg(F.min("chunk").alias("lowest"), F.max("chunk").alias("highest"))
+    long = stage(reach.filter("lowest < highest").select(F.col("conv_id").alias("long_id"), F.lit(True).alias("goes_on")), "chat-long")
+    marked = rows.join(long, rows.conv_id.eqNullSafe(long.long_id), "left").withColumn("goes_on", F.coalesce("goes_on", F.lit(False)))
+    dealt = marked.drop("long_id").repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "turn", "role", "text")
     return dealt.mapInArrow(_format(tokenizer_file), SCHEMA)
 
 
+def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The lists of a column, as slices of one array."""
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return (values[a:b] for a, b in zip(at[:-1], at[1:]))
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each part says under its roles and under its mask: digests if it is all of its conversation, else the texts."""
+    for batch in batches:
+        rows = []
+        columns = (batch.column(c).to_pylist() for c in ("conv_id", "chunk", "part", "whole", "text"))
+        spans = (_lists(batch.column(c)) for c in ("token_begin", "token_end", "loss_mask"))
+        for conv, chunk, part, whole, text, begins, ends, learned in zip(*columns, *spans):
+            turns = read_back(text)
+            said = "".join(f"{role}\n{own}\n" for role, own in turns)
+            loss = "".join(masked_texts(text, begins, ends, learned))
+            if whole:
+                texts = (hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(loss.encode()).hexdigest())
+            else:
+                texts = (said, loss)
+            rows.append((conv, chunk, part, whole, len(turns), len(loss), len(text), *texts))
+        if rows:
+            names = ["conv_id", "chunk", "part", "whole", "n_turns", "loss_chars", "chars", "said", "loss"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), READ_TYPES)], names)
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts in order -> counts and digests of each conversation, read back from the rendered text and the mask."""
+    """The texts of parts in order -> counts and digests of each conversation."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     key, begun, rows = None, False, []
     n_turns = loss_chars = chars = 0
     turns, loss = hashlib.sha256(), hashlib.sha256()
-    batch = None
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("conv_id", "text", "token_begin", "token_end", "loss_mask"))
-        for conv, text, begins, ends, learned in zip(*columns):
+        columns = (batch.column(c).to_pylist() for c in ("conv_id", "whole", "n_turns", "loss_chars", "chars", "said", "loss"))
+        for conv, whole, own_turns, own_loss, own_chars, said, learned in zip(*columns):
+            if whole:
+                rows.append((conv, own_turns, said, own_loss, learned, own_chars))
+                continue
             if begun and conv != key:
                 rows.append((key, n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
                 n_turns = loss_chars = chars = 0
                 turns, loss = hashlib.sha256(), hashlib.sha256()
             key, begun = conv, True
-            chars += len(text)
-            for role, own in read_back(text):
-                n_turns += 1
-                turns.update(f"{role}\n{own}\n".encode())
-            for own in masked_texts(text, begins, ends, learned):
-                loss_chars += len(own)
-                loss.update(own.encode())
+            n_turns += own_turns
+            loss_chars += own_loss
+            chars += own_chars
+            turns.update(said.encode())
+            loss.update(learned.encode())
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
             rows = []
@@ -192,8 +235,10 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digests(parts: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of the output of ``formatted``.
 
-    A digest is made of all turns in order, so the parts of one conversation pass through one task, one at a time.
+    A part that is all of its conversation is digested where it was made.  A digest is made of all turns in order,
+    so the parts of a longer conversation pass through one task, one at a time.
     """
-    columns = ["conv_id", "chunk", "part", "text", "token_begin", "token_end", "loss_mask"]
-    ordered = parts.select(*columns).repartition("conv_id").sortWithinPartitions("conv_id", "chunk", "part")
+    columns = ["conv_id", "chunk", "part", "whole", "text", "token_begin", "token_end", "loss_mask"]
+    read = parts.select(*columns).mapInArrow(_read, READ)
+    ordered = read.repartition("conv_id").sortWithinPartitions("conv_id", "chunk", "part")
     return ordered.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
