@@ -4,7 +4,7 @@ from pyspark.sql.types import StructType
 
 from scrivena.sources import files
 
-SPEECHES = StructType().add("id_speech", "long").add("name", "string").add("text", "string").add("age", "int")
+SPEECHES = StructType().add("id_speech", "long").add("name", "string").add("text", "string").add("age", "integer")
 
 
 def test_csv_by_declared_columns(spark, tmp_path):
