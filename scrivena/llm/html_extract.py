@@ -6,7 +6,12 @@ many to the next one out and so on; a container's points are discounted by the
 share of its text that stands in links.  The best container is kept, with
 those of its siblings that score nearly as well, head it or read as prose.
 What page furniture says (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments) is never read.
+forms, scripts, styles, reader comments) is never read.  Furniture goes by
+element, role, and class and id names of which all words say so; names that
+say so in part only lessen an element's points.  Names never count on headings,
+nor on what holds an article or, on pages without one, most of the text, nor,
+as ids, on the sections of an article; a page that is empty by them is read
+without them.
 
 Cases: a null or empty page has an empty text; broken markup is read as far as
 it goes (unclosed and stray tags, a page cut anywhere); nesting of any depth
@@ -19,6 +24,7 @@ from __future__ import annotations
 import html as references
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,6 +33,7 @@ from pyspark.sql import functions as F
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe noframes noembed xmp textarea title svg math".split())
+FOREIGN = frozenset({"svg", "math"})
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -36,13 +43,22 @@ FURNITURE = frozenset(
     "nav footer aside form fieldset button select option label input menu dialog canvas object embed audio video map head".split()
 ) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note status".split())
-# Words of class and id names that mark furniture.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|advertorial|adsense|banner|sponsor(?:ed|s)?|promo(?:tion|s)?|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|header|masthead|footer|foot|sidebar|side|aside|widget|rail|"
-    r"cookies?|consent|gdpr|notice|notices|notification|alert|disclaimer|popup|modal|overlay|subscribe|subscription|newsletter|signup|login|"
-    r"comments?|comment-?list|disqus|respond|replies|reviews|share|sharing|social|related|recommended|recommendations|toolbar|tags|hidden)(?:$|[\s_\d-])"
+# Words of class and id names that mark furniture; those of reader comments, which may outweigh the article; words that may stand beside them.
+REMARKS = frozenset("comment comments commentlist disqus respond replies reviews".split())
+MARKS = REMARKS | frozenset(
+    "ad ads advert adverts advertisement advertising advertorial adsense banner sponsor sponsored sponsors promo promotion promos promotions "
+    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager header masthead footer foot sidebar side aside widget rail "
+    "cookie cookies consent gdpr notice notices notification alert disclaimer popup modal overlay subscribe subscription newsletter signup login "
+    "share sharing social related recommended recommendations toolbar tags hidden".split()
 )
+BESIDE = frozenset(
+    "site page main global top bottom left right primary secondary post posts entry article articles story stories area box bar list block wrapper wrap "
+    "container inner outer link links item items panel section title button buttons icon icons media module unit slot group row column col form sticky mobile desktop".split()
+)
+# First words of names that tell of a layout, and words by which a header is the article's own.
+STATES = frozenset("no has have with without not show hide enable disable toggle".split())
+OWN = frozenset("post entry article story".split())
+WEAK, STRONG, REMARK = 1, 2, 3
 # An element of the left kind ends where one of the right kinds begins.
 ENDED_BY = {
     "p": BLOCK,
@@ -54,20 +70,25 @@ ENDED_BY = {
     "th": frozenset({"td", "th", "tr", "tbody", "tfoot"}),
     "option": frozenset({"option", "optgroup"}),
 } | dict.fromkeys(HEADINGS, HEADINGS)
+# What may stand in a head; anything else ends it.
+HEAD = frozenset("title meta link base basefont bgsound script style noscript noframes template".split())
 SCOPES = frozenset("table ul ol dl select html body td th article section div".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPACE = re.compile(r"\s+")
+PARTS = re.compile(r"[_-]+|(?<=[a-z])(?=\d)")
+# A slash at the end of an unquoted value is part of the value.
+UNQUOTED = re.compile(r"=\s*[^\s\"'>]+/\Z")
 
 
 class Node:
-    """An element: its name, parent, children in order (elements and strings) and whether it is furniture."""
+    """An element: its name, parent, children in order (elements and strings), whether it is furniture and how its names mark it."""
 
-    __slots__ = ("children", "furniture", "links", "name", "own", "parent", "points", "size")
+    __slots__ = ("children", "furniture", "links", "mark", "name", "own", "parent", "points", "size")
 
-    def __init__(self, name: str, parent: Node | None, furniture: bool):
-        self.name, self.parent, self.furniture = name, parent, furniture
+    def __init__(self, name: str, parent: Node | None, furniture: bool, mark: int = 0):
+        self.name, self.parent, self.furniture, self.mark = name, parent, furniture, mark
         self.children: list[Node | str] = []
         self.points = 0.0
         self.size = self.links = self.own = 0
@@ -86,23 +107,80 @@ def _is_furniture(name: str, attributes: str, parent: Node) -> bool:
     if attributes and name not in ("html", "body", "article", "main"):
         for key, *values in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values).lower()
-            if key in ("class", "id") and MARKS.search(value):
-                return True
             if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
                 return True
     return False
 
 
-def parse(page: str) -> Node:
+def _within_article(node: Node | None) -> bool:
+    while node is not None and node.name not in ("article", "main"):
+        node = node.parent
+    return node is not None
+
+
+@lru_cache(maxsize=10_000)
+def _name_mark(token: str) -> int:
+    """How one class or id name marks its element."""
+    words = [w for w in PARTS.split(token) if w]
+    if not words or words[0] in STATES or MARKS.isdisjoint(words):
+        return 0
+    if "header" in words and not OWN.isdisjoint(words):
+        return 0
+    if all(w in MARKS or w in BESIDE or w.isdigit() for w in words):
+        return STRONG if REMARKS.isdisjoint(words) else REMARK
+    return WEAK
+
+
+def _mark(name: str, attributes: str, parent: Node) -> int:
+    """How an element's class and id names mark it."""
+    if not attributes or parent.furniture or name in HEADINGS or name in ("html", "body", "article", "main"):
+        return 0
+    found = 0
+    for key, *values in ATTRIBUTE.findall(attributes):
+        key = key.lower()
+        if key in ("class", "id"):
+            mark = max(map(_name_mark, "".join(values).lower().split()), default=0)
+            # Ids of sections are often made from their headings.
+            if mark and mark != REMARK and name == "section" and (mark == WEAK or key == "id" and _within_article(parent)):
+                mark = 0
+            found = max(found, mark)
+    return found
+
+
+def _settle(nodes: list[Node]) -> None:
+    """Makes furniture of what is marked, but for what holds an article or, if there is none, most of the text.  Parents stand before their children."""
+    if not any(node.mark > WEAK for node in nodes):
+        return
+    holds, named = set(), False
+    for node in reversed(nodes):
+        node.own = 0 if node.furniture else node.own + sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        if node.parent is not None:
+            node.parent.own += node.own
+            if node.own and (node.name in ("article", "main") or id(node) in holds):
+                holds.add(id(node.parent))
+                named = True
+    whole = nodes[0].own
+    for node in nodes:
+        if node.parent is not None and node.parent.furniture:
+            node.furniture = True
+        elif node.mark > WEAK and id(node) not in holds and (named or node.mark == REMARK or 2 * node.own <= whole):
+            node.furniture = True
+
+
+def parse(page: str, marks: bool = True) -> Node:
     """The page as a tree.  End tags close the nearest open element of their name; stray ones are skipped."""
     root = Node("#root", None, False)
-    at, here = 0, root
+    at, here, nodes = 0, root, [root]
     while True:
         match = TOKEN.search(page, at)
         text = page[at : match.start() if match else len(page)]
         if text:
+            if here.name == "head" and not text.isspace():
+                here = here.parent
             here.children.append(text)
         if match is None:
+            if marks:
+                _settle(nodes)
             return root
         at = match.end()
         end, name, attributes, _ = match.groups()
@@ -120,7 +198,10 @@ def parse(page: str) -> Node:
                 here = node.parent
             elif name == "p":
                 here.children.append(Node("p", here, here.furniture))
+                nodes.append(here.children[-1])
             continue
+        if here.name == "head" and name not in HEAD:
+            here = here.parent
         if name in BLOCK:
             # A block ends the open elements that it can't stand in, and the inline ones inside those.
             node, ended = here, None
@@ -132,13 +213,18 @@ def parse(page: str) -> Node:
                 node = node.parent
             if ended is not None:
                 here = ended.parent
-        node = Node(name, here, _is_furniture(name, attributes, here))
+        furniture = _is_furniture(name, attributes, here)
+        node = Node(name, here, furniture, _mark(name, attributes, here) if marks and not furniture else 0)
         here.children.append(node)
+        nodes.append(node)
         if name in VOID or attributes.endswith("/") and name not in BLOCK and name not in RAW:
             continue
+        if name in FOREIGN and attributes.endswith("/") and not UNQUOTED.search(attributes):
+            continue
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            if close or name not in FOREIGN:  # what is after a drawing that never ends is the page
+                at = close.end() if close else len(page)
             continue
         here = node
 
@@ -202,7 +288,10 @@ def main_text(page: str | None) -> str:
     """The blocks of the page's main text, joined by blank lines."""
     if not page:
         return ""
-    root = parse(page)
+    return _text_of(parse(page)) or _text_of(parse(page, marks=False))
+
+
+def _text_of(root: Node) -> str:
     blocks = [b for b in _blocks(root) if not _header_text(b[0], root)]
     if not blocks:
         return ""
@@ -222,7 +311,7 @@ def main_text(page: str | None) -> str:
             node.links += min(linked, len(text))
             scored[id(node)] = node
             node = node.parent
-    value = lambda node: node.points * (1 - node.links / max(1, node.size))
+    value = lambda node: node.points * (1 - node.links / max(1, node.size)) / (2 if node.mark == WEAK else 1)
     best = max(scored.values(), key=value)  # the first of equal ones is the innermost
     node = best
     while node is not None and node.name not in ("article", "main"):

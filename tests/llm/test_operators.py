@@ -98,6 +98,32 @@ def test_odd_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
+LONG = "A paragraph of the article, with commas, and long enough to be read as prose by any measure."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<div class="content no-sidebar"><article><p>{LONG}</article></div>', LONG),
+        (f'<div class="has-sidebar"><div><p>{LONG}<p>{LONG}</div><div class="sidebar"><p>Side, side, side</div></div>', f"{LONG}\n\n{LONG}"),
+        (f'<div id="sidebar"><article><p>{LONG}</article></div>', LONG),
+        (f'<div class="header-layout social"><p>{LONG}</div>', LONG),
+        (f'<div class="widget">{LONG}</div><div class="menu">Menu</div>', LONG),
+        (f'<article><section id="side-effects"><h2 id="related-work">Related work</h2><p>{LONG}</section></article>', f"Related work\n\n{LONG}"),
+        (f'<main><p>{LONG}<section id="social-policy"><p>Second.</section><section id="related"><p>Third.</section></main>', f"{LONG}\n\nSecond.\n\nThird."),
+        (f'<article><p>{LONG}<div class="ad">Buy</div><div class="related-posts">More</div><section class="comments"><p>{LONG * 9}</section></article>', LONG),
+        (f'<div class="ad">{LONG}</div><article><p>Short.</article>', "Short."),
+        (f'<div><p>{LONG}</div><section id="comments"><p>{LONG * 9}</section>', LONG),
+        (f"<html><head><title>T</title><meta charset=utf-8><body><article><p>{LONG}</article></body></html>", LONG),
+        (f"<html><head><title>T</title><h1>Head</h1><p>{LONG}", f"Head\n\n{LONG}"),
+        (f'<article><svg viewBox="0 0 1 1"/><p>{LONG}<math/><p>Second.</article>', f"{LONG}\n\nSecond."),
+        (f'<article><p>{LONG}<svg><text>no</text></svg><p>Second.<svg class=x><p>Third.</article>', f"{LONG}\n\nSecond.\n\nThird."),
+    ],
+)
+def test_articles_are_not_lost_to_names_or_omitted_tags(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_extraction_query_columns(spark):
     rows = [(1, "u", "<article><p>Ünï</p></article>", "clash"), (2, None, None, "x"), (2, None, None, "x")]
     found = html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
