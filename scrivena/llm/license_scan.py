@@ -72,7 +72,13 @@ SPELLINGS = [
     (r"\bunauthorised\b", "unauthorized"),
     (r"\bversion\b", "v"),
 ]
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright[ \t]|©|\(c\)[ \t])[^\n]*"
+# A copyright notice's line. A line of prose that is wrapped before "copyright notice" or the like is none, unless it has a year.
+COPYRIGHT_LINE = (
+    r"(^|\n)[ \t]*(copyright[ \t]+(?![ \t])(?!(?:notices?|holders?|owners?|laws?|licen[cs]es?|statements?|interests?|rights?|claims?|protections?|permissions?|and|or|in|is|to)"
+    r"(?![a-z0-9_])(?![^\n]*(?<![0-9])(?:19|20)[0-9][0-9](?![0-9])))(?=[^\n])|©|\(c\)[ \t])[^\n]*"
+)
+# What the SQL below takes for one: RE2 can't look ahead, so the SQL drops wrapped lines of prose too.
+SQL_COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright[ \t]|©|\(c\)[ \t])[^\n]*"
 PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F«»“”‘’–—…]+"
 
 
@@ -122,11 +128,11 @@ def scanned(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
 
 
 def oracle_sql(known: list[tuple[str, str]] = KNOWN) -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL, for texts that don't wrap before the word copyright."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
 
     def lines(column: str) -> str:
-        out = f"regexp_replace(lower(coalesce({column}, '')), {quoted(COPYRIGHT_LINE)}, chr(10), 'g')"
+        out = f"regexp_replace(lower(coalesce({column}, '')), {quoted(SQL_COPYRIGHT_LINE)}, chr(10), 'g')"
         for pattern, spelling in SPELLINGS:
             out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(spelling)}, 'g')"
         out = f"regexp_replace({out}, {quoted(PUNCTUATION)}, ' ', 'g')"

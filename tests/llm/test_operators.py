@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import textwrap
 
 import numpy as np
 import pandas as pd
@@ -514,6 +515,16 @@ def test_licence_texts_are_found_in_their_variants(spark):
     assert license_scan.scanned(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("width", [20, 40, 60, 72, 79])
+def test_known_texts_are_found_at_any_width(spark, width):
+    wrap = lambda text, w: "\n\n".join(textwrap.fill(p, w, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n"))
+    notices = ["Copyright (c) 2020 A. Person", "Copyright © A. Person", "Copyright 2020 A. Person", "Copyright by A. Person", "Copyright The Authors", "Copyright holder: A. Person, 2020"]
+    cases = [(name, notices[(i + w) % len(notices)] + "\n\n" + wrap(text, w)) for i, (name, text) in enumerate(license_scan.KNOWN) for w in range(width, width + 8)]
+    cases.append(("ISC", dict(license_scan.KNOWN)["ISC"].replace("above copyright", "above\ncopyright")))
+    found = {r.doc_id: r.license for r in license_scan.scanned(documents(spark, [(i, text, None) for i, (_, text) in enumerate(cases)])).collect()}
+    assert found == {i: name for i, (name, _) in enumerate(cases)}
+
+
 # 10 urls
 
 
