@@ -15,7 +15,8 @@ benchmarks.
 
 Cases: null and wordless texts have no words and are never contaminated; a
 wordless item has no window; repeated rows are judged each for itself; items
-that repeat an item_id count once; an empty benchmark leaves all clean;
+that repeat an item_id count once; items without an id hit like all others,
+count together as one item and add nothing to the digest of ids; an empty benchmark leaves all clean;
 further columns are ignored.
 """
 
@@ -68,24 +69,29 @@ def winnowed(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(hashes == highest[place - pad])
 
 
+def _ordered(items: set[str | None]) -> list[str | None]:
+    """The ids in order, null last."""
+    return sorted(items, key=lambda i: (i is None, i or ""))
+
+
 class ItemIndex:
     """The windows of a block of items: sorted hashes, with their words and items."""
 
-    def __init__(self, item_ids: list[str], texts: list[str]):
+    def __init__(self, item_ids: list[str | None], texts: list[str]):
         data, offsets = utf8(pa.array(texts, pa.string()))
         words = words_of(data, offsets)
         counts = words.counts()
         self.lengths = sorted({SPAN} & set(np.minimum(counts, SPAN).tolist()) | {int(c) for c in counts if 0 < c < SPAN})
-        self.windows: dict[int, dict[int, list[tuple[bytes, str]]]] = {}
+        self.windows: dict[int, dict[int, list[tuple[bytes, str | None]]]] = {}
         self.sorted: dict[int, np.ndarray] = {}
         for n in self.lengths:
             hashes, first = grams(words, n)
-            table: dict[int, dict[bytes, set[str]]] = {}
+            table: dict[int, dict[bytes, set[str | None]]] = {}
             for i in np.flatnonzero((counts >= SPAN) if n == SPAN else (counts == n)):
                 for j in range(int(first[i]), int(first[i + 1])):
                     at = int(words.first[i]) + j - int(first[i])
                     table.setdefault(int(hashes[j]), {}).setdefault(words.text(at, at + n), set()).add(item_ids[i])
-            self.windows[n] = {h: [(t, item) for t, items in same.items() for item in sorted(items)] for h, same in table.items()}
+            self.windows[n] = {h: [(t, item) for t, items in same.items() for item in _ordered(items)] for h, same in table.items()}
             self.sorted[n] = np.sort(np.fromiter(table, np.uint64, len(table)))
         hashes, first = grams(words, GRAM)
         self.prints = np.unique(hashes[winnowed(hashes, first)])
@@ -96,9 +102,9 @@ class ItemIndex:
             return np.zeros(len(values), bool)
         return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
-    def hits(self, words: Words) -> dict[int, tuple[list[tuple[int, int]], set[str]]]:
+    def hits(self, words: Words) -> dict[int, tuple[list[tuple[int, int]], set[str | None]]]:
         """Of each text with an occurring window: the windows' word spans in the text, and the items."""
-        found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
+        found: dict[int, tuple[list[tuple[int, int]], set[str | None]]] = {}
         for n in self.lengths:
             hashes, first = grams(words, n)
             if not len(hashes):
@@ -148,13 +154,13 @@ def _scanned(text: Column, index: ItemIndex) -> Column:
         n = len(column)
         n_words = np.zeros(n, np.int64)
         spans: list[list[dict]] = [[] for _ in range(n)]
-        items: list[list[str]] = [[] for _ in range(n)]
+        items: list[list[str | None]] = [[] for _ in range(n)]
         for begin, end in runs_of_texts(offsets):
             words = words_of(data, offsets[begin : end + 1])
             n_words[begin:end] = words.counts()
             for i, (own, ids) in index.hits(words).items():
                 spans[begin + i] = [{"begin": a, "end": b} for a, b in merged(own)]
-                items[begin + i] = sorted(ids)
+                items[begin + i] = _ordered(ids)
         span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
         return pa.StructArray.from_arrays([pa.array(n_words), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], ["n_words", "spans", "items"])
 
@@ -162,9 +168,9 @@ def _scanned(text: Column, index: ItemIndex) -> Column:
     return F.arrow_udf(scan, FOUND).asNondeterministic()(text)
 
 
-def _item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list[str], list[str]]]:
+def _item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list[str | None], list[str]]]:
     """The items in blocks of about ``block_words`` words (bytes / 4 bounds the words from above well enough)."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null").distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (4 * block_words)))
     for k in range(blocks):

@@ -273,6 +273,26 @@ def test_contamination_against_brute_force(spark, block_words):
     assert sorted(map(tuple, found.drop("spans").collect())) == contamination_by_force(docs, items)
 
 
+@pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 3])
+def test_items_without_an_id_are_hit_too(spark, block_words):
+    rng = random.Random(37)
+    long, other, both = (prose(rng, 20, 5000) for _ in range(3))
+    items = [(None, long), (None, "two words"), (7, other), (8, both), (None, both)]
+    docs = [(1, long), (2, "two words and two words"), (3, other), (4, both), (5, f"{long} {both}"), (6, "clean")]
+    found = decontaminate.contamination(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words
+    )
+    digest = decontaminate.items_digest
+    assert sorted(map(tuple, found.drop("spans").collect())) == [
+        (1, 20, 20, 1, digest([]), True),
+        (2, 5, 4, 1, digest([]), True),
+        (3, 20, 20, 1, digest(["7"]), True),
+        (4, 20, 20, 2, digest(["8"]), True),
+        (5, 40, 40, 2, digest(["8"]), True),
+        (6, 1, 0, 0, digest([]), False),
+    ]
+
+
 def test_decontaminated_keeps_columns_and_empty_benchmarks(spark):
     rows = [(1, "one two three", "a", 1), (2, "clean text here", "b", 2), (3, None, "c", 3)]
     docs = documents(spark, rows, ", items int")
