@@ -8,7 +8,8 @@ fingerprints are equal are then compared piece by piece with the text that
 stays, so a collision can never drop a document.
 
 Cases: a null text counts as empty; rows with the same doc_id and text are
-copies of each other and share one decision; a null doc_id is never the one
+copies of each other and share one decision, and of those that stay
+``deduplicated`` returns one; a null doc_id is never the one
 that stays unless its whole group is null; an empty table gives no rows;
 further columns are ignored.
 """
@@ -185,9 +186,28 @@ def exact_duplicates(docs: DataFrame, segment_chars: int = SEGMENT_CHARS) -> Dat
 
 
 def deduplicated(docs: DataFrame, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stay."""
-    found = exact_duplicates(docs, segment_chars)
-    return without(docs, found.filter(~F.col("kept")))
+    """The rows of ``docs``, with all their columns, that stay: one of each group, also where rows repeat its doc_id."""
+    return one_of_each(docs, exact_duplicates(docs, segment_chars), ["doc_id", "text_sha256"])
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, group: list[str]) -> DataFrame:
+    """Of the rows of ``docs`` that ``found`` (doc_id, raw, kept, and the columns of ``group``) keeps, one of each group.
+
+    Where rows of a group repeat its doc_id, the text of the least raw stays, with the columns of any one
+    of its rows.  Only those rows are grouped with their texts.
+    """
+    dropped, stays = found.filter(~F.col("kept")).select("doc_id", "raw"), found.filter("kept")
+    ids = stage(stays.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "dedup-repeated-ids")
+    if ids.isEmpty():
+        return without(docs, dropped)
+    groups = stays.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("raw").alias("one"), F.collect_set("raw").alias("raws")).filter("n > 1")
+    groups = stage(groups.select(F.col("doc_id").alias("_id"), F.col("one").alias("_raw"), F.col("raws")), "dedup-repeated")
+    taken = dropped.unionByName(groups.select(F.col("_id").alias("doc_id"), F.explode("raws").alias("raw")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"))
+    raw = F.xxhash64(F.coalesce(F.col("d.text"), F.lit("")))
+    repeated = rows.join(groups.drop("raws"), F.col("d.doc_id").eqNullSafe(F.col("_id")) & (raw == F.col("_raw")))
+    firsts = repeated.groupBy("_id", "_raw").agg(F.first("d").alias("d"))
+    return without(docs, taken).unionByName(firsts.select("d.*"))
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivena.llm.components import connected_components
-from scrivena.llm.exact_dedup import without
+from scrivena.llm.exact_dedup import one_of_each
 from scrivena.llm.words import grams, mix, runs_of_texts, utf8, words_of
 from scrivena.plans.staging import stage
 
@@ -283,6 +283,11 @@ def near_duplicates(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD
     with the same words.  Texts that links connect, and copies, share a class; class_id is the
     least doc_id in it.  raw is xxhash64 of the text as it is, null as empty.
     """
+    return _classed(docs, n, threshold, tolerance, block).drop("worded", "class")
+
+
+def _classed(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    """As ``near_duplicates``, with what tells classes apart that share a class_id: worded, and class (of wordless rows raw)."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw"), "text")
     described = stage(rows.mapInArrow(_describe(n), "row long, doc_id long, raw long, n_words long, d1 long, d2 long, bands array<long>"), "jaccard-described")
     worded = described.filter("n_words > 0")
@@ -320,17 +325,19 @@ def near_duplicates(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD
     roots = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = stage(roots.join(degrees, "node").join(nodes.select("node", "least_id"), "node"), "jaccard-linked")
     least = stage(linked.groupBy("root").agg(F.min("least_id").alias("class_id")), "jaccard-least")
-    classes = stage(linked.join(least, "root").select("node", "class_id", "n_links"), "jaccard-classes")
+    classes = stage(linked.join(least, "root").select("node", "root", "class_id", "n_links"), "jaccard-classes")
     return members.join(classes, "node", "left").select(
         "doc_id",
         F.when(F.col("n_links").isNull(), F.col("least_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         "n_copies",
         "raw",
+        (F.col("n_words") > 0).alias("worded"),
+        F.when(F.col("n_words") == 0, F.col("raw")).otherwise(F.coalesce("root", "node")).alias("class"),
     )
 
 
 def one_of_each_class(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose doc_id is the least of their class."""
-    found = near_duplicates(docs, n, threshold)
-    return without(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))))
+    """The rows of ``docs``, with all their columns, whose doc_id is the least of their class; one of them where rows repeat it."""
+    found = _classed(docs, n, threshold).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return one_of_each(docs, found, ["doc_id", "worded", "class"])

@@ -5,7 +5,7 @@ import os
 import pytest
 
 import corpus_pipeline
-from scrivena.llm import packing, queries
+from scrivena.llm import exact_dedup, jaccard_join, packing, queries
 from tests.llm.test_operators import ASCII_LOWER, classes_by_force, contamination_by_force, language_rows, near_rows
 
 DATA = "/root/testdata/sf0.001"
@@ -40,6 +40,18 @@ def test_stages_keep_what_they_should(spark, tmp_path):
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, expected.collect()))
 
 
+def test_one_row_of_each_group_stays_where_rows_repeat(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    schema = "doc_id long, text string, lang string"
+    exact = [(1, "Twice", "a"), (1, "Twice", "a"), (2, "x", "a"), (2, "X", "b"), (2, "other", "b"), (3, "twice", "c"), (3, "TWICE", "d"), (3, "twice", "e")]
+    exact += [(None, "lost", "a"), (None, "lost", "a"), (None, "Lost", "b"), (None, "else", "a"), (5, None, "a"), (5, "", "b"), (6, "once", "a")]
+    found = exact_dedup.deduplicated(spark.createDataFrame(exact, schema)).collect()
+    assert sorted((str(r.doc_id), (r.text or "").lower()) for r in found) == [("2", "other"), ("2", "x"), ("3", "twice"), ("5", ""), ("6", "once"), ("None", "else"), ("None", "lost")]
+    near = [(1, base, "a"), (1, base, "a"), (1, base + " more", "b"), (2, base, "c"), (1, "else entirely", "d"), (7, None, "e"), (7, None, "e"), (8, "!", "f"), (9, "alone", "g"), (9, "alone", "g")]
+    found = jaccard_join.one_of_each_class(spark.createDataFrame(near, schema)).collect()
+    assert sorted((r.doc_id, r.lang.replace("b", "a")) for r in found) == [(1, "a"), (1, "d"), (7, "e"), (8, "f"), (9, "g")]
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_matches_duckdb(spark, name):
