@@ -3,7 +3,9 @@
 A staged table cuts lineage the way ``DataFrame.checkpoint`` does, but is
 columnar and compressed, is pruned when reread, and survives the loss of any
 executor.  The folder is the one the cluster names in
-``spark.checkpoint.dir``; only where that is unset (tests) is one made.
+``spark.checkpoint.dir``.  Where that is unset one is made, if driver and
+tasks are one process; on a cluster, where each machine would write to a folder
+of its own, that is an error.
 """
 
 from __future__ import annotations
@@ -15,14 +17,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a new local one if that is unset."""
+    """The folder of ``spark.checkpoint.dir``; if that is unset, with a local master, a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="scrivena-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has staged; DataFrames that read it can't be used any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/scrivena-{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and return it reread."""
     spark = df.sparkSession
