@@ -4,7 +4,11 @@ A page is read into a tree.  Each paragraph gives points, one for itself, one
 for each comma and up to three for its length, to its container and half as
 many to the next one out and so on; a container's points are discounted by the
 share of its text that stands in links.  The best container is kept, with
-those of its siblings that score nearly as well, head it or read as prose.
+those of its siblings that score nearly as well, head it or read as prose.  An
+article or main around the best container stands for it and its siblings, if
+less than half of its text stands in links; lists and sections within it of
+which most text stands in links are left out.
+
 What page furniture says (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments) is never read.  Furniture goes by
 element, role, and class and id names of which all words say so; names that
@@ -13,17 +17,24 @@ nor on what holds an article or, on pages without one, most of the text, nor,
 as ids, on the sections of an article; a page that is empty by them is read
 without them.
 
+A page takes time in proportion to its length: open elements are indexed by
+name, and what elements get from those around or within them is passed on in
+one sweep over the tree.
+
 Cases: a null or empty page has an empty text; broken markup is read as far as
-it goes (unclosed and stray tags, a page cut anywhere); nesting of any depth
-costs no recursion; repeated rows are read each for itself; further columns
-are ignored.
+it goes (unclosed and stray tags, a page cut anywhere, quotes within unquoted
+values; a quote that never ends is an ordinary character); nesting of any depth
+costs no recursion; very long pages are read whole; of containers with equal
+points that of the least text, then the first, is kept; repeated rows are read each for
+itself; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as references
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -72,52 +83,59 @@ ENDED_BY = {
 } | dict.fromkeys(HEADINGS, HEADINGS)
 # What may stand in a head; anything else ends it.
 HEAD = frozenset("title meta link base basefont bgsound script style noscript noframes template".split())
-SCOPES = frozenset("table ul ol dl select html body td th article section div".split())
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+SCOPES = frozenset("table ul ol dl select html body article section div".split())
+# Where a block begins, the open elements of these names end.
+ENDS = {name: [left for left, rights in ENDED_BY.items() if name in rights] for name in BLOCK}
+# Inline end tags close nothing around these.
+WALLS = ("article", "table", "body", "html")
+PARAGRAPHS = frozenset("p pre li td dd dt blockquote".split())
+# Left out of what is kept if most of their text stands in links.
+LISTED = frozenset("ul ol dl div section table".split())
+
+# An attribute by the HTML rules: a quote opens a value only where the value begins; one that never ends is part of an unquoted value.
+_VALUE = r"\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))?+"
+ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?:{_VALUE})?+")
+_ATTRIBUTES = re.sub(r"\((?![?])", "(?:", ATTRIBUTE.pattern)
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTES})*+)(>|\Z)", re.S)
 SPACE = re.compile(r"\s+")
 PARTS = re.compile(r"[_-]+|(?<=[a-z])(?=\d)")
-# A slash at the end of an unquoted value is part of the value.
-UNQUOTED = re.compile(r"=\s*[^\s\"'>]+/\Z")
 
 
 class Node:
-    """An element: its name, parent, children in order (elements and strings), whether it is furniture and how its names mark it."""
+    """An element: its name, parent, children in order (elements and strings), whether it is furniture, how its names mark it, and what is around it."""
 
-    __slots__ = ("children", "furniture", "links", "mark", "name", "own", "parent", "points", "size")
+    __slots__ = ("article", "block", "children", "furniture", "header", "heading", "kept", "links", "mark", "name", "own", "parent", "points", "prose", "size")
 
     def __init__(self, name: str, parent: Node | None, furniture: bool, mark: int = 0):
         self.name, self.parent, self.furniture, self.mark = name, parent, furniture, mark
         self.children: list[Node | str] = []
         self.points = 0.0
-        self.size = self.links = self.own = 0
+        self.size = self.links = self.own = self.prose = 0
+        self.kept = False
+        self.block: Node = self if name in BLOCK or parent is None else parent.block
+        self.article: Node | None = self if name in ("article", "main") else parent and parent.article
+        self.header = name == "header" or parent is not None and parent.header
+        self.heading = name in HEADINGS or parent is not None and parent.heading
+
+
+def attributes_of(text: str) -> dict[str, str]:
+    """The attributes of a tag, the first of each name."""
+    found: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), "".join(values))
+    return found
 
 
-def _is_furniture(name: str, attributes: str, parent: Node) -> bool:
+def _is_furniture(name: str, attributes: dict[str, str], parent: Node) -> bool:
     if parent.furniture or name in FURNITURE:
         return True
-    within = parent
-    while name == "header" and within is not None:  # an article's own header has its headings
-        if within.name in ("article", "main"):
-            break
-        within = within.parent
-    if name == "header" and within is None:
+    if name == "header" and parent.article is None:  # an article's own header has its headings
         return True
     if attributes and name not in ("html", "body", "article", "main"):
-        for key, *values in ATTRIBUTE.findall(attributes):
-            key, value = key.lower(), "".join(values).lower()
-            if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-                return True
+        return attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
     return False
 
 
-def _within_article(node: Node | None) -> bool:
-    while node is not None and node.name not in ("article", "main"):
-        node = node.parent
-    return node is not None
-
-
 @lru_cache(maxsize=10_000)
 def _name_mark(token: str) -> int:
     """How one class or id name marks its element."""
@@ -131,19 +149,17 @@ def _name_mark(token: str) -> int:
     return WEAK
 
 
-def _mark(name: str, attributes: str, parent: Node) -> int:
+def _mark(name: str, attributes: dict[str, str], parent: Node) -> int:
     """How an element's class and id names mark it."""
     if not attributes or parent.furniture or name in HEADINGS or name in ("html", "body", "article", "main"):
         return 0
     found = 0
-    for key, *values in ATTRIBUTE.findall(attributes):
-        key = key.lower()
-        if key in ("class", "id"):
-            mark = max(map(_name_mark, "".join(values).lower().split()), default=0)
-            # Ids of sections are often made from their headings.
-            if mark and mark != REMARK and name == "section" and (mark == WEAK or key == "id" and _within_article(parent)):
-                mark = 0
-            found = max(found, mark)
+    for key in ("class", "id"):
+        mark = max(map(_name_mark, attributes.get(key, "").lower().split()), default=0)
+        # Ids of sections are often made from their headings.
+        if mark and mark != REMARK and name == "section" and (mark == WEAK or key == "id" and parent.article is not None):
+            mark = 0
+        found = max(found, mark)
     return found
 
 
@@ -167,66 +183,88 @@ def _settle(nodes: list[Node]) -> None:
             node.furniture = True
 
 
-def parse(page: str, marks: bool = True) -> Node:
-    """The page as a tree.  End tags close the nearest open element of their name; stray ones are skipped."""
+class _Open:
+    """The open elements, outermost first, with the places of each name's, so that no lookup walks the tree."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, place: int) -> None:
+        """Close the element at a place and all within it."""
+        while len(self.stack) > place:
+            self.places[self.stack.pop().name].pop()
+
+    def last(self, names: Iterable[str]) -> int:
+        """Place of the innermost open element of one of the names; 0 if there is none."""
+        return max((places[-1] for name in names if (places := self.places.get(name))), default=0)
+
+    def first_after(self, names: Iterable[str], place: int) -> int:
+        """Place of the outermost open element of one of the names within the one at ``place``; 0 if there is none."""
+        found = [places[k] for name in names if (places := self.places.get(name)) and (k := bisect.bisect_right(places, place)) < len(places)]
+        return min(found, default=0)
+
+
+def parse(page: str, marks: bool = True) -> tuple[Node, list[Node]]:
+    """The page as a tree, and its elements in order.  End tags close the nearest open element of their name; stray ones are skipped."""
     root = Node("#root", None, False)
-    at, here, nodes = 0, root, [root]
+    at, opened, nodes = 0, _Open(root), [root]
     while True:
         match = TOKEN.search(page, at)
         text = page[at : match.start() if match else len(page)]
+        here = opened.stack[-1]
         if text:
             if here.name == "head" and not text.isspace():
-                here = here.parent
+                opened.cut(len(opened.stack) - 1)
+                here = opened.stack[-1]
             here.children.append(text)
         if match is None:
             if marks:
                 _settle(nodes)
-            return root
+            return root, nodes
         at = match.end()
-        end, name, attributes, _ = match.groups()
+        end, name, tag, _ = match.groups()
         if name is None:
             continue
         name = name.lower()
         if end:
-            node = here
-            while node is not root and node.name != name:
-                if node.name in ("article", "table", "body", "html") and name not in BLOCK:
-                    node = root  # an inline end tag doesn't close blocks around it
-                    break
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            place = opened.last((name,))
+            if place and name not in BLOCK and place < opened.last(WALLS):
+                place = 0  # an inline end tag doesn't close blocks around it
+            if place:
+                opened.cut(place)
             elif name == "p":
                 here.children.append(Node("p", here, here.furniture))
                 nodes.append(here.children[-1])
             continue
         if here.name == "head" and name not in HEAD:
-            here = here.parent
-        if name in BLOCK:
-            # A block ends the open elements that it can't stand in, and the inline ones inside those.
-            node, ended = here, None
-            while node is not root:
-                if name in ENDED_BY.get(node.name, ()):
-                    ended = node
-                if node.name in SCOPES and node.name not in ENDED_BY:
-                    break
-                node = node.parent
-            if ended is not None:
-                here = ended.parent
+            opened.cut(len(opened.stack) - 1)
+        if name in ENDS and (place := opened.first_after(ENDS[name], opened.last(SCOPES))):
+            opened.cut(place)  # a block ends the open elements that it can't stand in, and what is open in those
+        here = opened.stack[-1]
+        attributes = attributes_of(tag) if tag else {}
         furniture = _is_furniture(name, attributes, here)
         node = Node(name, here, furniture, _mark(name, attributes, here) if marks and not furniture else 0)
         here.children.append(node)
         nodes.append(node)
-        if name in VOID or attributes.endswith("/") and name not in BLOCK and name not in RAW:
-            continue
-        if name in FOREIGN and attributes.endswith("/") and not UNQUOTED.search(attributes):
+        closed = tag.endswith("/") and not (attributes and ATTRIBUTE.findall(tag)[-1][3].endswith("/"))  # a slash that ends an unquoted value is part of it
+        if name in VOID or closed and (name in FOREIGN or name not in BLOCK and name not in RAW):
             continue
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
+            close = _end_of(name).search(page, at)
             if close or name not in FOREIGN:  # what is after a drawing that never ends is the page
                 at = close.end() if close else len(page)
             continue
-        here = node
+        opened.push(node)
+
+
+@lru_cache(maxsize=100)
+def _end_of(name: str) -> re.Pattern[str]:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I)
 
 
 def _blocks(top: Node) -> Iterator[tuple[Node, str, int]]:
@@ -268,75 +306,75 @@ def _blocks(top: Node) -> Iterator[tuple[Node, str, int]]:
                 if found := flush():
                     yield found
                 linked = 0
-                owner = node.parent or top
-                while owner.name not in BLOCK and owner.parent is not None:
-                    owner = owner.parent
-
-
-def _header_text(owner: Node, top: Node) -> bool:
-    """Whether a block is in a header but not in one of its headings."""
-    inside = False
-    while owner is not top and owner is not None:
-        if owner.name in HEADINGS:
-            return False
-        inside = inside or owner.name == "header"
-        owner = owner.parent
-    return inside
+                owner = (node.parent or top).block
 
 
 def main_text(page: str | None) -> str:
     """The blocks of the page's main text, joined by blank lines."""
     if not page:
         return ""
-    return _text_of(parse(page)) or _text_of(parse(page, marks=False))
+    return _text_of(*parse(page)) or _text_of(*parse(page, marks=False))
 
 
-def _text_of(root: Node) -> str:
-    blocks = [b for b in _blocks(root) if not _header_text(b[0], root)]
+def block_points(owner: Node, text: str) -> float:
+    """What a block of text gives to its container."""
+    if owner.name in HEADINGS or len(text) < 25:
+        return 0.25
+    return 1 + text.count(",") + min(len(text) // 100, 3)
+
+
+def _score(blocks: list[tuple[Node, str, int]], nodes: list[Node]) -> None:
+    """Passes points, sizes and linked characters of blocks on to all that is around them."""
+    for owner, text, linked in blocks:
+        paragraph = owner.name in PARAGRAPHS or owner.name in HEADINGS
+        container = owner.parent if paragraph and owner.parent is not None else owner
+        container.points += block_points(owner, text)
+        container.size += len(text)
+        container.links += min(linked, len(text))
+        container.prose += linked < 0.25 * len(text) and (len(text) > 80 or text[-1] in ".!?:")
+    for node in reversed(nodes):  # children stand after their parents
+        if node.parent is not None:
+            node.parent.points += node.points / 2 if node.block is node else node.points
+            node.parent.size += node.size
+            node.parent.links += node.links
+            node.parent.prose += node.prose
+
+
+def value(node: Node) -> float:
+    """A container's points, discounted by the share of its text in links and by what its names say."""
+    return node.points * (1 - node.links / max(1, node.size)) / (2 if node.mark == WEAK else 1)
+
+
+def _text_of(root: Node, nodes: list[Node]) -> str:
+    blocks = [b for b in _blocks(root) if not b[0].header or b[0].heading]
     if not blocks:
         return ""
-    scored: dict[int, Node] = {}
+    _score(blocks, nodes)
+    best = max((n for n in nodes if n.size and n.block is n), key=lambda n: (value(n), -n.size))
+    whole = best.article
+    if whole is not None and 2 * whole.links < whole.size:
+        whole.kept = True
+    else:
+        best.kept = True
+        if best.parent is not None:
+            _keep_siblings(best, blocks)
+    for node in nodes:
+        if node.parent is not None and node.parent.kept:
+            node.kept = not (node.name in LISTED and node is not best and 2 * node.links > node.size and not node.prose)
+    return "\n\n".join(text for owner, text, _ in blocks if owner.kept)
+
+
+def _keep_siblings(best: Node, blocks: list[tuple[Node, str, int]]) -> None:
+    """Siblings that score a fifth as well, headings before the best container, and paragraphs beside it."""
+    siblings = [c for c in best.parent.children if isinstance(c, Node) and not c.furniture]
+    least = max(2.0, 0.2 * value(best))
+    for c in siblings[: siblings.index(best)]:
+        c.kept = c.kept or c.name in HEADINGS
+    for c in siblings:
+        c.kept = c.kept or value(c) >= least
     for owner, text, linked in blocks:
-        paragraph = owner.name in ("p", "pre", "li", "td", "dd", "dt", "blockquote") or owner.name in HEADINGS
-        container = owner.parent if paragraph and owner.parent is not None else owner
-        points = 1 + text.count(",") + min(len(text) // 100, 3)
-        if owner.name in HEADINGS or len(text) < 25:
-            points = 0.25
-        share, node = 1.0, container
-        while node is not None:
-            if node.name in BLOCK or node is root:
-                node.points += points * share
-                share /= 2
-            node.size += len(text)
-            node.links += min(linked, len(text))
-            scored[id(node)] = node
-            node = node.parent
-    value = lambda node: node.points * (1 - node.links / max(1, node.size)) / (2 if node.mark == WEAK else 1)
-    best = max(scored.values(), key=value)  # the first of equal ones is the innermost
-    node = best
-    while node is not None and node.name not in ("article", "main"):
-        node = node.parent
-    kept = {id(best if node is None else node)}
-    if node is None and best.parent is not None:
-        siblings = [c for c in best.parent.children if isinstance(c, Node) and not c.furniture]
-        least = max(2.0, 0.2 * value(best))
-        before = siblings[: siblings.index(best)]
-        kept |= {id(c) for c in before if c.name in HEADINGS}
-        for c in siblings:
-            own = scored.get(id(c))
-            if own is not None and value(own) >= least:
-                kept.add(id(c))
-        for owner, text, linked in blocks:
-            if owner.name == "p" and owner.parent is best.parent and linked < 0.25 * len(text) and (len(text) > 80 or text[-1:] in ".!?"):
-                kept.add(id(owner))
-    texts = []
-    for owner, text, _ in blocks:
-        node = owner
-        while node is not None and id(node) not in kept:
-            node = node.parent
-        if node is not None:
-            texts.append(text)
-    return "\n\n".join(texts)
+        if owner.name == "p" and owner.parent is best.parent and linked < 0.25 * len(text) and (len(text) > 80 or text[-1:] in ".!?"):
+            owner.kept = True
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -125,6 +125,76 @@ def test_articles_are_not_lost_to_names_or_omitted_tags(page, text):
     assert html_extract.main_text(page) == text
 
 
+PROBES = [
+    (f"<article><p>{LONG}<p data-x=don't>{LONG}<p title=it's>{LONG}</article>", f"{LONG}\n\n{LONG}\n\n{LONG}"),
+    (f"<article><p title='a > b' class=\"x\">{LONG}<p class='y' lang=\"en>{LONG}</article>", f"{LONG}\n\n{LONG}"),
+    (f'<article><h2 id="related-work">Related work</h2><section id="notice-and-consent"><p>{LONG}</section><p class="social-science">{LONG}<div class="side-by-side"><p>{LONG}</div></article>', f"Related work\n\n{LONG}\n\n{LONG}\n\n{LONG}"),
+    (f'<article><p>{LONG}<ul><li><a href=1>Read more about one</a><li><a href=2>Another story</a></ul></article>', LONG),
+    (f'<article><p>{LONG}<ul><li>See <a href=1>one</a>, which tells the same at some more length and with figures.</ul></article>', f"{LONG}\n\nSee one, which tells the same at some more length and with figures."),
+    (f'<div><ul><li><a>One</a><li><a>Two</a></ul></div><div><p>{LONG}<p>{LONG}</div>', f"{LONG}\n\n{LONG}"),
+    (f"<div><p>{LONG}</div><div><p>{LONG}</div>", f"{LONG}\n\n{LONG}"),  # a tie: the other is a sibling
+    ("<p><a href=x>only a link</a>", "only a link"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), PROBES)
+def test_markup_read_by_the_rules_and_links_discounted(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def tree_by_force(page):
+    """Scores of all block containers, each summed on its own over the paragraphs within it by walking up from each."""
+    root, nodes = html_extract.parse(page)
+    values = {}
+    for top in nodes:
+        if top.block is not top:
+            continue
+        points = size = links = 0
+        for owner, text, linked in html_extract._blocks(root):
+            if owner.header and not owner.heading:
+                continue
+            at = owner.parent if (owner.name in html_extract.PARAGRAPHS or owner.heading and owner.name in html_extract.HEADINGS) and owner.parent else owner
+            share = 1.0
+            while at is not None and at is not top:
+                share = share / 2 if at.block is at else share
+                at = at.parent
+            if at is top:
+                given = 0.25 if owner.name in html_extract.HEADINGS or len(text) < 25 else 1 + text.count(",") + min(len(text) // 100, 3)
+                points, size, links = points + given * share, size + len(text), links + min(linked, len(text))
+        values[nodes.index(top)] = points * (1 - links / max(size, 1)) / (2 if top.mark == html_extract.WEAK else 1)
+    return values
+
+
+def test_scores_against_a_brute_force_scorer():
+    rng = random.Random(41)
+    for _ in range(60):
+        page = "".join(
+            rng.choice(["<div>", "</div>", "<p>", "</p>", "<section class=side-by-side>", "</section>", "<b>", "</b>", "<a href=x>", "</a>", "<h2>", "</h2>", "<li>", "<ul>", "</ul>", LONG, "few, words ", "x" * 120 + ", "])
+            for _ in range(rng.randrange(3, 40))
+        )
+        expected = tree_by_force(page)
+        root, nodes = html_extract.parse(page)
+        html_extract._score([b for b in html_extract._blocks(root) if not b[0].header or b[0].heading], nodes)
+        assert {k: html_extract.value(n) for k, n in enumerate(nodes) if n.block is n} == pytest.approx(expected)
+
+
+@pytest.mark.parametrize("page", ["<div>x " * 100_000, "<b>" * 50_000 + "</i>" * 50_000, "<b>" * 50_000 + "<div>x</div>" * 50_000, "<a b='" * 50_000, "<p>" * 30_000 + "</q></p>" * 30_000, "<table><tr><td>" * 30_000, "<!--" * 50_000 + "<svg>" * 20_000])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_extract.main_text(page)
+    whole = time.process_time() - began
+    began = time.process_time()
+    html_extract.main_text(page[: len(page) // 4])
+    assert whole < 16 * (time.process_time() - began) + 2 and whole < 10
+
+
+def test_long_pages_are_read_whole():
+    page = "<article>" + "".join(f"<p>{LONG} {i}</p>" for i in range(20_000)) + "</article>"
+    assert html_extract.main_text(page) == "\n\n".join(f"{LONG} {i}" for i in range(20_000))
+
+
 def test_extraction_query_columns(spark):
     rows = [(1, "u", "<article><p>Ünï</p></article>", "clash"), (2, None, None, "x"), (2, None, None, "x")]
     found = html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
