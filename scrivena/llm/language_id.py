@@ -10,12 +10,16 @@ as each other is flagged as ambiguous.
 
 Only text and lang are used, and lang only in fitting.  The classifiers are
 fitted on at most about ``fit_rows`` labelled texts, spread evenly over the
-languages; every text is predicted whole.
-
-Cases: a null text, or one without a letter, is ``und`` with score 0; null
-labels are not learned; if nothing is learned all is ``und``; ties go to the
-alphabetically first language; repeated rows are predicted each for itself; an
-empty table gives no rows; further columns are ignored.
+languages; every text is predicted whole.  Any number of languages can be
+learned: their counts are summed in tasks, and the driver and the tasks hold one
+codeword for each.
+
+Cases: a null text, or one without a letter (``str.isalpha``; numerals such as
+roman or circled ones are none), is ``und`` with score 0; very long texts are
+read whole, in pieces; null labels are not learned; if nothing is learned all
+is ``und``; ties go to the alphabetically first language; repeated rows are
+predicted each for itself; an empty table gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -30,14 +34,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrivena.plans.staging import stage
+
 FIT_ROWS = 40_000
+LEAST_EACH = 20
 BUCKETS = 1 << 12
-MOST_LANGUAGES = 512
 CODE_BITS = 63  # of more than 7 languages
 MARGIN_SCALE = 4.0
 AMBIGUOUS = 0.02
 PIECE = 1 << 18
-LETTER = re.compile(r"[^\W\d_]")
+WORDLY = re.compile(r"[^\W\d_]+")
+HELD_LANGUAGES = 64  # of which a task holds counts before it passes them on
+SUM_PARTS = 8
 UNDETERMINED = "und"
 
 
@@ -56,6 +64,11 @@ def codewords(n: int) -> np.ndarray:
     return code[:, np.abs(code.sum(axis=0)) < n]
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is a letter; ``\\w`` has numerals too."""
+    return any(any(map(str.isalpha, run.group())) for run in WORDLY.finditer(text))
+
+
 def gram_buckets(text: str) -> np.ndarray:
     """How many character 1-, 2- and 3-grams of the lower-cased text fall in each bucket; runs of non-letters count as one space."""
     counts = np.zeros(BUCKETS, np.int64)
@@ -91,7 +104,7 @@ class Coder:
 
     def decode(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether the choice is ambiguous."""
-        if not self.languages or text is None or not LETTER.search(text):
+        if not self.languages or text is None or not has_letter(text):
             return UNDETERMINED, 0.0, True
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False
@@ -108,67 +121,112 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _sample(labelled: DataFrame, fit_rows: int) -> tuple[DataFrame, list[str]]:
-    """At most about ``fit_rows`` rows (text, lang), chosen by a hash of the text, evenly over the languages."""
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    each = fit_rows / max(1, len(sizes))
-    chance = F.lit(0.0)
-    for lang, n in sizes.items():
-        chance = F.when(F.col("lang") == lang, min(1.0, each / n)).otherwise(chance)
+def _sample(labelled: DataFrame, fit_rows: int) -> DataFrame:
+    """About ``fit_rows`` rows (text, lang) at most, or LEAST_EACH of each language, chosen by a hash of the text, evenly over the languages."""
+    sizes = stage(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-sizes")
+    each = max(LEAST_EACH, fit_rows / max(1, sizes.count()))
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return labelled.filter(draw < chance), sorted(sizes)
+    return labelled.join(sizes, "lang").filter(draw * F.col("n") < each).select("text", "lang")
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many grams of each bucket the texts of each language have."""
+    sums: dict[str, np.ndarray] = {}
+
+    def passed_on() -> Iterator[pd.DataFrame]:
+        for lang, own in sums.items():
+            some = np.flatnonzero(own)
+            yield pd.DataFrame({"lang": lang, "bucket": some.astype(np.int32), "n": own[some]})
+        sums.clear()
+
+    for batch in batches:
+        for text, lang in zip(batch["text"], batch["lang"]):
+            if lang not in sums:
+                if len(sums) == HELD_LANGUAGES:
+                    yield from passed_on()
+                sums[lang] = np.zeros(BUCKETS, np.int64)
+            sums[lang] += gram_buckets(text)
+    yield from passed_on()
+
+
+def log_odds(plus: np.ndarray, minus: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Weights (buckets x bits): log-odds of a bucket between the mean shares of the two groups of each bit, given the sums of their shares."""
+    return np.log(plus / (code > 0).sum(axis=0)) - np.log(minus / (code < 0).sum(axis=0))
 
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Coder:
-    """Learn from rows (text, lang).  What comes to the driver is one row of sums for each language and bucket, then for each bit."""
-    rows, languages = _sample(labelled.filter("lang is not null and text is not null").select("text", "lang"), fit_rows)
+    """Learn from rows (text, lang).
+
+    To the driver come the languages, one margin of each language and bit, and for each of SUM_PARTS tasks the
+    sums of two shares of each bucket and bit; counts by language stay distributed.
+    """
+    rows = _sample(labelled.filter("lang is not null and text <> ''").select("text", "lang"), fit_rows)
+    counts = rows.mapInPandas(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    # One row for each language: the share of bucket b is (n + 0.5) / (total + BUCKETS / 2).
+    shares = stage(
+        counts.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list(F.col("n").cast("double")).alias("n"), (F.sum("n") + BUCKETS / 2).alias("total")),
+        "language-shares",
+    )
+    languages = sorted(r.lang for r in shares.select("lang").collect())
     n = len(languages)
     code = codewords(n)
+    bits = code.shape[1]
     if n < 2:
-        empty = np.zeros(code.shape[1])
-        return Coder(languages, code, np.zeros((BUCKETS, code.shape[1])), empty, empty + 1, empty + 1)
+        empty = np.zeros(bits)
+        return Coder(languages, code, np.zeros((BUCKETS, bits)), empty, empty + 1, empty + 1)
+    number = {lang: i for i, lang in enumerate(languages)}
+
+    def share_of(buckets: np.ndarray, n: np.ndarray, total: float) -> np.ndarray:
+        own = np.full(BUCKETS, 0.5)
+        own[buckets] += n
+        return own / total
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = {lang: np.zeros(BUCKETS, np.int64) for lang in languages}
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plus, minus = np.zeros((BUCKETS, bits)), np.zeros((BUCKETS, bits))
         for batch in batches:
-            for text, lang in zip(batch["text"], batch["lang"]):
-                sums[lang] += gram_buckets(text)
-        for lang, own in sums.items():
-            some = np.flatnonzero(own)
-            yield pd.DataFrame({"lang": lang, "bucket": some.astype(np.int32), "n": own[some]})
+            own = [share_of(*r) for r in zip(batch["buckets"], batch["n"], batch["total"])]
+            codes = code[[number[lang] for lang in batch["lang"]]]
+            for begin in range(0, len(own), HELD_LANGUAGES):
+                part = np.stack(own[begin : begin + HELD_LANGUAGES]).T
+                plus += part @ (codes[begin : begin + HELD_LANGUAGES] > 0)
+                minus += part @ (codes[begin : begin + HELD_LANGUAGES] < 0)
+        yield pd.DataFrame({"plus": [plus.tobytes()], "minus": [minus.tobytes()]})
+
+    dealt = shares.repartition(SUM_PARTS, "lang").sortWithinPartitions("lang")  # sums in one order, however often they are made
+    sums = dealt.mapInPandas(summed, "plus binary, minus binary").collect()
+    plus, minus = (sum(np.frombuffer(r[name]).reshape(BUCKETS, bits) for r in sums) for name in ("plus", "minus"))
+    weights = log_odds(plus, minus, code)
+
+    def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"lang": batch["lang"], "margins": [(share_of(*r) @ weights).tolist() for r in zip(batch["buckets"], batch["n"], batch["total"])]})
 
-    counts = np.zeros((n, BUCKETS))
-    for r in rows.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas().itertuples():
-        counts[languages.index(r.lang), r.bucket] = r.n
-    shares = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
-    weights = np.empty((BUCKETS, code.shape[1]))
-    for bit in range(code.shape[1]):
-        weights[:, bit] = np.log(shares[code[:, bit] > 0].mean(axis=0)) - np.log(shares[code[:, bit] < 0].mean(axis=0))
-    expected = shares @ weights  # margin of each language's average text
-    middle = np.array([(expected[code[:, b] > 0, b].min() + expected[code[:, b] < 0, b].max()) / 2 for b in range(code.shape[1])])
-    spread = np.array([max(1e-9, (expected[code[:, b] > 0, b].min() - expected[code[:, b] < 0, b].max()) / 2) for b in range(code.shape[1])])
-    coder = Coder(languages, code, weights, middle, spread, np.ones(code.shape[1]))
+    expected = np.zeros((n, bits))  # margin of each language's average text
+    for r in shares.mapInPandas(margins, "lang string, margins array<double>").collect():
+        expected[number[r.lang]] = r.margins
+    low = np.array([expected[code[:, b] > 0, b].min() for b in range(bits)])
+    high = np.array([expected[code[:, b] < 0, b].max() for b in range(bits)])
+    middle, spread = (low + high) / 2, np.maximum(1e-9, (low - high) / 2)
+    coder = Coder(languages, code, weights, middle, spread, np.ones(bits))
 
     def right(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        good, seen = np.zeros(code.shape[1]), 0
+        good, seen = np.zeros(bits), 0
         for batch in batches:
             for text, lang in zip(batch["text"], batch["lang"]):
-                if LETTER.search(text):
-                    good += coder.margins(text) * code[languages.index(lang)] > 0
+                if has_letter(text):
+                    good += coder.margins(text) * code[number[lang]] > 0
                     seen += 1
         yield pd.DataFrame({"bit": np.arange(len(good)), "good": good, "seen": float(seen)})
 
     share = rows.mapInPandas(right, "bit int, good double, seen double").groupBy("bit").agg((F.sum("good") + 1).alias("good"), (F.sum("seen") + 2).alias("seen")).toPandas()
-    accuracy = np.full(code.shape[1], 0.75)
+    accuracy = np.full(bits, 0.75)
     accuracy[share["bit"]] = share["good"] / share["seen"]
     coder.reliability = np.maximum(2 * accuracy - 1, 0.01)
     return coder
 
 
 def decoded(text: Column, coder: Coder) -> Column:
-    """Struct of lang_pred, score (0 to 1) and ambiguous; the coder has at most MOST_LANGUAGES codewords and BUCKETS weights a bit."""
+    """Struct of lang_pred, score (0 to 1) and ambiguous; the coder has one codeword a language and BUCKETS weights a bit."""
 
     def decode(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([coder.decode(t) for t in texts], columns=["lang_pred", "score", "ambiguous"])

@@ -1,10 +1,12 @@
 """Small cases of each operator: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import string
 import textwrap
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -235,6 +237,85 @@ def test_language_without_labels_or_rows(spark):
     assert {r.lang_pred for r in only} == {"aa"}
 
 
+def test_numerals_are_no_letters(spark):
+    assert [language_id.has_letter(t) for t in ("½ 12", "² Ⅷ ①", "_", "٣", "", "½a", "ǅ", "ʰ", "中")] == [False] * 5 + [True] * 4
+    rows = language_rows(60, 6) + [(100, "½ 12", "aa"), (101, "Ⅷ ①", None)]
+    assert {r.lang_pred for r in language_id.identified(documents(spark, rows)).collect() if r.doc_id >= 100} == {"und"}
+
+
+def test_any_number_of_languages_is_learned(spark):
+    rng = random.Random(43)
+    alphabets = {f"l{k:03d}": "".join(chr(0x4E00 + 20 * k + j) for j in range(20)) for k in range(600)}
+    rows = [(i, " ".join("".join(rng.choices(own, k=6)) for _ in range(60)), lang) for i, (lang, own) in enumerate([*alphabets.items()] * 4)]
+    found = language_id.identified(documents(spark, rows)).toPandas().set_index("doc_id")
+    held = [i for i, *_ in rows if found.held_out[i]]
+    learned = {rows[i][2] for i, *_ in rows if not found.held_out[i]}
+    tried = [found.lang_pred[i] == rows[i][2] for i in held if rows[i][2] in learned]
+    assert len(learned) > 512 and np.mean(tried) > 0.8  # by chance 1 in 600
+
+
+def decoded_by_force(rows, text):
+    """Counts, log-odds, losses and choice by plain loops over the grams' buckets."""
+    learned = [r for r in rows if r[2] is not None and r[1] and zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    languages = sorted({lang for *_, lang in learned})
+    code = language_id.codewords(len(languages))
+    counts = {lang: [0.5] * language_id.BUCKETS for lang in languages}
+    for _, own, lang in learned:
+        for b, n in enumerate(language_id.gram_buckets(own).tolist()):
+            counts[lang][b] += n
+    share = {lang: [x / sum(own) for x in own] for lang, own in counts.items()}
+
+    def weight(bit, b):
+        group = lambda sign: [share[lang][b] for i, lang in enumerate(languages) if code[i, bit] * sign > 0]
+        return math.log(sum(group(1)) / len(group(1))) - math.log(sum(group(-1)) / len(group(-1)))
+
+    weights = [[weight(bit, b) for b in range(language_id.BUCKETS)] for bit in range(code.shape[1])]
+
+    def margins(values, total):
+        out = []
+        for bit, own in enumerate(weights):
+            ends = [[sum(w * x for w, x in zip(own, share[lang])) for i, lang in enumerate(languages) if code[i, bit] * sign > 0] for sign in (1, -1)]
+            low, high = min(ends[0]), max(ends[1])
+            out.append((sum(w * v for w, v in zip(own, values)) / total - (low + high) / 2) / max(1e-9, (low - high) / 2))
+        return out
+
+    def of(own):
+        values = language_id.gram_buckets(own).tolist()
+        return margins(values, max(1, sum(values)))
+
+    good = [1] * code.shape[1]
+    for _, own, lang in learned:
+        for bit, m in enumerate(of(own)):
+            good[bit] += m * code[languages.index(lang), bit] > 0
+    reliability = [max(2 * g / (len(learned) + 2) - 1, 0.01) for g in good]
+    found = of(text)
+    losses = [sum(r * math.exp(-code[i, bit] * min(max(m, -3), 3) * 4 / 3) for bit, (m, r) in enumerate(zip(found, reliability))) / sum(reliability) for i in range(len(languages))]
+    likely = [math.exp(-4 * (x - min(losses))) for x in losses]
+    return languages[losses.index(min(losses))], max(likely) / sum(likely)
+
+
+def test_decoding_against_a_brute_force_decoder(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "BUCKETS", 1 << 12)
+    rows = language_rows(24, 8)
+    found = {r.doc_id: r for r in language_id.identified(documents(spark, [*rows, (500, rows[0][1], None), (500, rows[0][1], None)], "")).collect()}
+    for i, text, _ in rows[:5]:
+        lang, score = decoded_by_force(rows, text)
+        assert found[i].lang_pred == lang and found[i].score == pytest.approx(score)
+
+
+def test_equal_losses_go_to_the_first_language_and_long_texts_and_clashing_columns_are_read(spark):
+    code = language_id.codewords(3)
+    nothing = np.zeros(code.shape[1])
+    coder = language_id.Coder(["aa", "bb", "cc"], code, np.zeros((language_id.BUCKETS, code.shape[1])), nothing, nothing + 1, nothing + 1)
+    assert coder.decode("any text") == ("aa", pytest.approx(1 / 3), True)
+    rows = language_rows(60, 9)
+    docs = documents(spark, rows).withColumn("lang_pred", F.lit("clash")).withColumn("decoded", F.lit(1))
+    assert language_id.with_language(docs).columns == docs.columns and language_id.with_language(docs).count() == 60
+    assert {tuple(r) for r in language_id.identified(docs).collect()} == {tuple(r) for r in language_id.identified(documents(spark, rows)).collect()}
+    long = [(100, rows[0][1] * 20_000, None), (100, rows[0][1], None)]
+    assert {r.lang_pred for r in language_id.identified(documents(spark, rows + long)).collect() if r.doc_id == 100} == {rows[0][2]}
+
+
 def test_codewords_differ_and_long_texts_are_read_in_pieces(monkeypatch):
     for n in (2, 3, 7, 8, 40):
         code = language_id.codewords(n)
