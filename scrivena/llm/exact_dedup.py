@@ -5,13 +5,14 @@ at four fixed points modulo 2^31 - 1.  Hashes of neighbouring pieces combine by
 arithmetic, ``H(ab) = H(a) * r^len(b) + H(b)``, so pieces are hashed
 independently and a very long text is spread over many tasks.  Texts whose
 fingerprints are equal are then compared piece by piece with the text that
-stays, so a collision can never drop a document.
+stays, so a collision can never drop a document.  Texts are cut in one pass,
+so a text of any length takes time in proportion to it.
 
 Cases: a null text counts as empty; rows with the same doc_id and text are
 copies of each other and share one decision, and of those that stay
 ``deduplicated`` returns one; a null doc_id is never the one
-that stays unless its whole group is null; an empty table gives no rows;
-further columns are ignored.
+that stays unless its whole group is null, and is compared like any other; an
+empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -113,9 +114,8 @@ def _hash_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _segments(text: Column, size: int) -> Column:
-    """Array of (seg, text): the pieces of ``size`` characters; an empty text has one empty piece."""
-    last = F.greatest(F.ceil(F.length(text) / F.lit(size)) - 1, F.lit(0)).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("seg"), F.substring(text, i * size + 1, F.lit(size)).alias("text")))
+    """Array of the pieces of ``size`` characters, cut in one pass; an empty text has one empty piece."""
+    return F.when(F.length(text) <= size, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
 
 
 def _appended(k: int):
@@ -127,16 +127,16 @@ def fingerprints(docs: DataFrame, segment_chars: int = SEGMENT_CHARS) -> DataFra
     """(doc_id, raw, h0..h3, n_bytes, text_sha256) of each row; raw is a hash of the text as it is.
 
     Texts of up to ``segment_chars`` characters are hashed where they are read.  Longer ones
-    are cut, their pieces dealt over the cluster, hashed there and combined in order.
+    are cut, their pieces dealt over the cluster, hashed there and combined in order; they are
+    staged under a number of their row, which thus stays the same if tasks are run again.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("raw"))
     hashes = ", ".join(f"h{k} long" for k in range(N)) + ", n_bytes long"
     short = rows.filter(F.length("text") <= segment_chars).mapInArrow(_hash_texts, f"doc_id long, raw long, {hashes}, text_sha256 string")
-    long = rows.filter(F.length("text") > segment_chars).withColumn("row", F.monotonically_increasing_id())
+    long = stage(rows.filter(F.length("text") > segment_chars).withColumn("row", F.monotonically_increasing_id()), "dedup-long")
     parts = (
-        long.select("row", F.explode(_segments(F.col("text"), segment_chars)).alias("part"))
-        .select("row", "part.seg", "part.text")
+        long.select("row", F.posexplode(_segments(F.col("text"), segment_chars)).alias("seg", "text"))
         .repartition("row", "seg")
         .mapInArrow(_hash_segments, f"row long, seg int, {hashes}, {', '.join(f's{k} long' for k in range(N))}")
     )
@@ -160,15 +160,15 @@ def exact_duplicates(docs: DataFrame, segment_chars: int = SEGMENT_CHARS) -> Dat
     groups = stage(prints.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "dedup-groups")
     links = stage(prints.join(groups, key), "dedup-links")
 
-    shared = links.filter("group_size > 1").select("doc_id", "raw", "keep_id", *key).distinct()
+    shared = links.filter("group_size > 1").select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw"), "keep_id", *key).distinct()
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("raw", F.xxhash64("text"))
     pieces = (  # the hint spares a sort of whole texts; the side that is hashed has ids only
-        texts.join(shared.hint("shuffle_hash"), ["doc_id", "raw"])
-        .select("doc_id", "raw", "keep_id", *key, F.explode(_segments(normalised(F.col("text")), segment_chars)).alias("part"))
-        .select("doc_id", "raw", "keep_id", *key, "part.seg", "part.text")
+        texts.join(shared.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("raw") == F.col("_raw")))
+        .select("doc_id", "raw", "keep_id", *key, F.posexplode(_segments(F.col("text"), segment_chars)).alias("seg", "text"))
+        .withColumn("text", normalised(F.col("text")))
     )
     pieces = stage(pieces, "dedup-pieces")
-    stays = pieces.filter(F.col("doc_id") == F.col("keep_id")).select(*key, "seg", F.col("text").alias("kept_text"), F.col("raw").alias("kept_raw"))
+    stays = pieces.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(*key, "seg", F.col("text").alias("kept_text"), F.col("raw").alias("kept_raw"))
     # Rows that repeat a doc_id may bring several texts under one keep_id: one of them stays.
     one = stays.groupBy(*key).agg(F.min("kept_raw").alias("kept_raw"))
     stays = stage(stays.join(one, [*key, "kept_raw"]).dropDuplicates([*key, "seg"]), "dedup-stays")
@@ -177,7 +177,6 @@ def exact_duplicates(docs: DataFrame, segment_chars: int = SEGMENT_CHARS) -> Dat
         .groupBy("doc_id", "raw", *key)
         .agg(F.min(F.coalesce((F.col("text") == F.col("kept_text")).cast("int"), F.lit(0))).alias("same"))
     )
-    # A null doc_id can't be found again by a join; its digest, already at hand, decides.
     differing = stage(compared.filter("same = 0").select("doc_id", "raw", *key), "dedup-differing")
     result = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "raw"]
     if differing.isEmpty():

@@ -29,6 +29,8 @@ from scrivena.llm import (
     words,
 )
 
+from scrivena.plans import staging
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ASCII_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -359,6 +361,39 @@ def test_colliding_fingerprints_drop_nothing(spark, monkeypatch):
     assert found == {1: (3, 2, False), 3: (3, 2, True), 2: (4, 2, False), 4: (4, 2, True), None: (None, 1, True)}
 
 
+def test_null_ids_are_compared_too(spark, monkeypatch):
+    rows = [(None, "alpha", None), (None, "bravo", None), (None, "ALPHA", None), (7, "bravo", None), (None, "Bravo", None), (8, "delta", None)]
+    real = exact_dedup.fingerprints
+
+    def colliding(docs, size):
+        found = real(docs, size)
+        for k in range(exact_dedup.N):
+            found = found.withColumn(f"h{k}", found.n_bytes * 0)
+        return found
+
+    expected = sorted([("None", "None", 2, True)] * 2 + [("None", "7", 3, False)] * 2 + [("7", "7", 3, True), ("8", "8", 1, True)])
+    for colliding_or_not in (real, colliding):
+        monkeypatch.setattr(exact_dedup, "fingerprints", colliding_or_not)
+        found = exact_dedup.exact_duplicates(documents(spark, rows)).collect()
+        assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in found) == expected
+
+
+def test_huge_texts_take_time_in_proportion(spark):
+    import time
+
+    def seconds(megabytes):
+        text = f"concat('Ü', repeat('Some Words, ', int(id * 0) + {megabytes * 87_381}), if(id = 1, '1', '0'))"
+        docs = staging.stage(spark.range(3).repartition(3).select(F.col("id").alias("doc_id"), F.expr(f"if(id = 0, replace({text}, 'S', 's'), {text})").alias("text")), "huge")
+        began = time.time()
+        found = exact_dedup.exact_duplicates(docs).orderBy("doc_id").collect()
+        assert [(r.keep_id, r.group_size) for r in found] == [(2, 2), (1, 1), (2, 2)]
+        return time.time() - began
+
+    seconds(1)
+    small, large = seconds(4), seconds(32)
+    assert large < 12 * small, (small, large)
+
+
 def test_polynomials_of_pieces_compose():
     rng = np.random.default_rng(3)
     table = exact_dedup._chunk_powers()
