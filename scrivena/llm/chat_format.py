@@ -8,12 +8,16 @@ and token spans are both sorted, so a binary search finds for each token the
 assistant text that it overlaps.  The control strings are tokens of their own,
 so a token never reaches from one turn into another.
 
-A conversation is rendered whole, but for turns numbered 4096 and beyond,
-which go on in further parts of 4096 turn numbers, and for parts of more than
-``PART_CHARS`` characters: so one conversation may hold any share of all rows.
-
-Cases: a null text or role is empty; turns with equal numbers go by role, then
-text, repeated rows are repeated turns; null conv_ids are one conversation;
+A conversation of up to ``PART_CHARS`` characters is rendered whole and encoded
+once, where it is.  One that is longer may hold any share of all rows: its turns
+are dealt over the cluster by range and each task renders and encodes the runs
+of turns it gets, in parts of about that size.  As control strings are tokens of
+their own, no token crosses the end of a turn: the parts' ids, offsets and masks,
+joined, are those of the whole conversation encoded at once.
+
+Cases: a null text or role is empty; turns with equal numbers, or null ones,
+which come first, go by role, then text; repeated rows are repeated turns; null
+conv_ids are one conversation; a very long text is one turn, which is not cut;
 an empty table gives no rows; further columns are ignored.
 """
 
@@ -36,8 +40,9 @@ from scrivena.plans.staging import stage
 TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 START, SEP, END = "<|start|>", "<|sep|>", "<|end|>"  # the template's control strings
 LEARNED_ROLE = "assistant"
-TURNS_A_PART = 4096
 PART_CHARS = 1 << 20
+TURN_CHARS = 32  # counted for the control strings of a turn
+ORDER_CHARS = 64  # of a text, by which turns of equal number and role are dealt
 ENCODED_AT_ONCE = 1 << 19
 _TURN = re.compile(re.escape(START) + "(.*?)" + re.escape(SEP) + "(.*?)" + re.escape(END), re.S)
 
@@ -104,7 +109,7 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
-def _format(path: str):
+def _format(path: str, whole: bool):
     def encode(tokenizer, parts: list[tuple]) -> pa.RecordBatch:
         rendered = [render(turns) for *_, turns in parts]
         encoded = tokenizer.encode_batch([text for text, _ in rendered], add_special_tokens=False)
@@ -121,8 +126,8 @@ def _format(path: str):
                 pa.array([p[0] for p in parts], pa.int64()),
                 pa.array([p[1] for p in parts], pa.int64()),
                 pa.array([p[2] for p in parts], pa.int32()),
-                pa.array([p[3] for p in parts], pa.bool_()),
-                pa.array([len(p[4]) for p in parts], pa.int32()),
+                pa.array([whole] * len(parts), pa.bool_()),
+                pa.array([len(p[3]) for p in parts], pa.int32()),
                 pa.array([text for text, _ in rendered], pa.string()),
                 pa.array(ids, ints),
                 pa.array(begins, ints),
@@ -135,21 +140,22 @@ def _format(path: str):
     def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer(path)
         done: list[tuple] = []
-        key, alone, part, turns, size, held = None, True, 0, [], 0, 0
+        key, part, turns, size, held = None, 0, [], 0, 0
         for batch in batches:
-            for conv, chunk, goes_on, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "chunk", "goes_on", "role", "text"))):
-                if turns and (key != (conv, chunk) or size > PART_CHARS):
-                    done.append((*key, part, alone and part == 0 and key != (conv, chunk), turns))
+            for conv, chunk, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "chunk", "role", "text"))):
+                more = len(role) + len(text) + TURN_CHARS
+                if turns and (key != (conv, chunk) or not whole and size + more > PART_CHARS):
+                    done.append((*key, part, turns))
                     part = part + 1 if key == (conv, chunk) else 0
                     turns, size, held = [], 0, held + size
                     if held > ENCODED_AT_ONCE:
                         yield encode(tokenizer, done)
                         done, held = [], 0
-                key, alone = (conv, chunk), not goes_on
+                key = (conv, chunk)
                 turns.append((role, text))
-                size += len(role) + len(text) + 32
+                size += more
         if turns:
-            done.append((*key, part, alone and part == 0, turns))
+            done.append((*key, part, turns))
         if done:
             yield encode(tokenizer, done)
 
@@ -159,20 +165,24 @@ def _format(path: str):
 def formatted(conversations: DataFrame, tokenizer_file: str = TOKENIZER_FILE) -> DataFrame:
     """Rendered and encoded conversations: conv_id, chunk, part, whole, n_turns, text, input_ids, token spans, loss_mask.
 
-    whole tells that the part is all of its conversation.
+    whole tells that the row is all of its conversation; the rows of any other go by chunk, then part.
     """
-    rows = conversations.select(
-        "conv_id",
-        F.coalesce(F.floor(F.col("turn") / TURNS_A_PART), F.lit(0)).cast("long").alias("chunk"),
-        "turn",
-        F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
-    reach = rows.groupBy("conv_id").agg(F.min("chunk").alias("lowest"), F.max("chunk").alias("highest"))
-    long = stage(reach.filter("lowest < highest").select(F.col("conv_id").alias("long_id"), F.lit(True).alias("goes_on")), "chat-long")
-    marked = rows.join(long, rows.conv_id.eqNullSafe(long.long_id), "left").withColumn("goes_on", F.coalesce("goes_on", F.lit(False)))
-    dealt = marked.drop("long_id").repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "turn", "role", "text")
-    return dealt.mapInArrow(_format(tokenizer_file), SCHEMA)
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    size = F.length("role") + F.length("text") + TURN_CHARS
+    sizes = rows.groupBy(F.col("conv_id").alias("long_id")).agg(F.sum(size).alias("size"))
+    long = stage(sizes.filter(F.col("size") > PART_CHARS).select("long_id"), "chat-long")
+    order = ["conv_id", "turn", "role", "text"]
+    if long.isEmpty():
+        return _whole(rows, order, tokenizer_file)
+    is_long = F.col("conv_id").eqNullSafe(F.col("long_id"))
+    dealt = rows.join(long, is_long, "left_semi").repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, ORDER_CHARS))
+    parts = dealt.sortWithinPartitions(*order).withColumn("chunk", F.spark_partition_id().cast("long")).mapInArrow(_format(tokenizer_file, whole=False), SCHEMA)
+    return _whole(rows.join(long, is_long, "left_anti"), order, tokenizer_file).unionByName(parts)
+
+
+def _whole(rows: DataFrame, order: list[str], tokenizer_file: str) -> DataFrame:
+    dealt = rows.repartition("conv_id").sortWithinPartitions(*order).withColumn("chunk", F.lit(0).cast("long"))
+    return dealt.mapInArrow(_format(tokenizer_file, whole=True), SCHEMA)
 
 
 def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:

@@ -503,7 +503,8 @@ def test_conversations_read_back(spark, monkeypatch):
     rng = random.Random(17)
     bits = ["héllo ", "☃☃", "<|end|>", "  ", "\n\n", "</s>[INST] ok [/INST]", "<|endoftext|>", "", "x" * 50, "𝔘", "\\", "<"]
     rows = [(c, t, rng.choice(["user", "assistant", "system", None]), "".join(rng.choices(bits, k=rng.randrange(6)))) for c in range(30) for t in range(rng.randrange(1, 9))]
-    rows += [(50, t, "assistant" if t % 2 else "user", f"turn {t}") for t in range(9000)]  # goes on in further parts
+    rows += [(50, t, "assistant" if t % 2 else "user", f"turn {t}") for t in range(9000)]  # dealt in parts
+    rows += [(52, None, "user", f"{k % 300}") for k in range(600)]  # all turns are equal
     rows += [(51, 0, "assistant", None), (51, 0, "assistant", None), (None, None, "user", "lost")]
     monkeypatch.setattr(chat_format, "PART_CHARS", 4000)
     expected = {}
@@ -519,8 +520,26 @@ def test_conversations_read_back(spark, monkeypatch):
     parts = chat_format.formatted(df)
     found = {r.conv_id: tuple(r)[1:5] for r in chat_format.digests(parts).collect()}
     assert found == expected
-    assert parts.filter("conv_id = 50").count() > 2
+    assert parts.filter("conv_id = 50").count() > 2 and parts.filter("conv_id = 52").count() > 2
     assert chat_format.digests(chat_format.formatted(df.limit(0))).count() == 0
+    # Whether in parts or not, a conversation has the tokens, offsets and mask of the whole encoded once.
+    tokenizer = chat_format.load_tokenizer(chat_format.TOKENIZER_FILE)
+    by_id = {}
+    for r in parts.orderBy("conv_id", "chunk", "part").collect():
+        by_id.setdefault(r.conv_id, []).append(r)
+    for conv, turns in by_conversation.items():
+        text, spans = chat_format.render([(r, t) for _, r, t in turns])
+        whole = tokenizer.encode(text, add_special_tokens=False)
+        at = np.array(whole.offsets).reshape(-1, 2)
+        assert by_id[conv][0].whole == (len(by_id[conv]) == 1 and sum(len(r) + len(t) + 32 for _, r, t in turns) <= 4000)
+        shift, ids, begins, masks = 0, [], [], []
+        for r in by_id[conv]:
+            ids += r.input_ids
+            begins += [shift + b for b in r.token_begin]
+            masks += r.loss_mask
+            shift += len(r.text)
+        assert "".join(r.text for r in by_id[conv]) == text
+        assert ids == whole.ids and begins == at[:, 0].tolist() and masks == chat_format.mask(at[:, 0], at[:, 1], spans).tolist()
 
 
 def test_no_token_is_half_in_a_turn():
