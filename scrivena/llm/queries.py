@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scrivena.llm import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, license_scan, packing, quality, url_filter
 from scrivena.sources.tables import table
@@ -106,7 +107,7 @@ from c group by conv_id
 
 
 def op6_packing(spark: SparkSession, data_dir: str) -> DataFrame:
-    return packing.packed(table(spark, data_dir, "documents"))
+    return packing.packed(table(spark, data_dir, "documents")).withColumn("input_ids", F.xxhash64("input_ids")).withColumnRenamed("input_ids", "ids_hash")
 
 
 QUERIES["op6_packing"] = op6_packing

@@ -1,6 +1,7 @@
 """Small cases of each operator: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -562,8 +563,6 @@ def padding(lengths, counts, bounds):
 
 
 def test_bounds_are_optimal():
-    import itertools
-
     rng = random.Random(19)
     for _ in range(40):
         lengths = sorted(rng.sample(range(1, 60), rng.randrange(1, 9)))
@@ -576,23 +575,71 @@ def test_bounds_are_optimal():
     assert packing.best_bounds([], [], 4) == []
 
 
-def test_batches_keep_the_budget_and_all_tokens(spark):
+def packed_by_force(rows, most, buckets, budget):
+    """Every piece with its place, by plain loops: pieces in the order of their buckets, shares and ids."""
+    tokenizer, _ = packing.load_tokenizer(packing.TOKENIZER_FILE)
+    cut = []
+    for doc_id, text in rows:
+        ids = tokenizer.encode_ordinary(text or "")
+        for k in range(max(1, -(-len(ids) // most))):
+            own = ids[k * most : k * most + most]
+            before = len(tokenizer.decode_bytes(ids[: k * most]))
+            name = zlib.crc32(np.array(own, "<i4").tobytes(), zlib.crc32(f"{doc_id}/{k}".encode()))
+            cut.append((doc_id, k, k * most, len(own), before, len(tokenizer.decode_bytes(own)), own, name))
+    lengths = sorted({c[3] for c in cut if c[3]})
+    counts = [sum(c[3] == n for c in cut) for n in lengths]
+    choices = [[*c, lengths[-1]] for m in range(min(buckets, len(lengths))) for c in itertools.combinations(lengths[:-1], m)]
+    least = min(padding(lengths, counts, c) for c in choices)
+    bounds = packing.best_bounds(lengths, counts, buckets)
+    assert padding(lengths, counts, bounds) == least and len(bounds) <= buckets
+    out = [(*c[:7], None, None, None) for c in cut if not c[3]]
+    shares = packing.number_of_shares(sum(counts))
+    for low, bound in zip([0, *bounds], bounds):
+        own = sorted((c for c in cut if low < c[3] <= bound), key=lambda c: (c[7] % shares, c[0], c[1], c[6]))
+        slots = max(1, budget // bound)
+        out += [(*c[:7], bound, i // slots, i % slots) for i, c in enumerate(own)]
+    return out
+
+
+def test_packing_against_brute_force(spark):
+    rng = random.Random(23)
+    texts = [prose(rng, rng.choice([2, 5, 5, 40, 90])) for _ in range(60)] + ["Ünïcode ☃☃ 𝔘 " * 30, "\n\n  \t x" * 20, "a" * 500]
+    rows = [*enumerate(texts), (900, None), (901, ""), (902, "a b"), (902, "a b"), (903, "a"), (903, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"bucket": F.lit("clash"), "input_ids": F.lit(1), "hash": F.lit("x")})
+    found = packing.packed(docs, most_tokens=60, buckets=3, budget=200)
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, packed_by_force(rows, 60, 3, 200)))
+    assert packing.packed(documents(spark, [])).count() == 0
+
+
+def test_batches_keep_the_budget_and_pieces_their_place(spark):
     rng = random.Random(23)
-    rows = [(i, prose(rng, rng.choice([5, 5, 5, 40, rng.randrange(1, 300)])), None) for i in range(300)] + [(900, None, None), (901, "", None), (902, "a b", None), (902, "a b", None)]
-    docs = documents(spark, rows).withColumn("bucket", F.lit("clash"))
-    found = packing.packed(docs, most_tokens=100, buckets=4, budget=400).toPandas()
-    assert len(found) == packing.pieces(docs, 100).count()
-    tokens = found.groupby("doc_id").n_tokens.sum()
-    assert all(tokens[i] == len(t.split()) for i, t, _ in rows[:300]) and tokens[900] == tokens[901] == 0
+    rows = [(i, prose(rng, rng.choice([5, 5, 5, 40, rng.randrange(1, 300)])) + " ☃", None) for i in range(300)] + [(900, None, None), (902, "a b", None), (902, "a b", None)]
+    found = packing.packed(documents(spark, rows), most_tokens=100, buckets=4, budget=400).toPandas()
+    tokenizer, _ = packing.load_tokenizer(packing.TOKENIZER_FILE)
+    text_of = {i: t.encode() for i, t, _ in rows if t}
     full = found[found.n_tokens > 0]
+    for r in full.itertuples():
+        assert tokenizer.decode_bytes(list(r.input_ids)) == text_of[r.doc_id][r.first_byte : r.first_byte + r.n_bytes] and len(r.input_ids) == r.n_tokens
+    assert all(own.n_bytes.sum() == len(text_of[i]) * (2 if i == 902 else 1) for i, own in full.groupby("doc_id"))
     assert (full.n_tokens <= full.bucket).all() and full.bucket.nunique() <= 4
     for (bucket, _), own in full.groupby(["bucket", "batch"]):
         assert sorted(own.slot) == list(range(len(own))) and len(own) * bucket <= max(400, bucket)
     for bucket, own in full.groupby("bucket"):  # only the last batch of a bucket is not full
         sizes = own.groupby("batch").size()
         assert (sizes.iloc[:-1] == max(1, 400 // bucket)).all() and list(sizes.index) == list(range(len(sizes)))
-    assert found[found.n_tokens == 0].bucket.isna().all()
-    assert packing.packed(documents(spark, [])).count() == 0
+
+
+def test_long_texts_are_encoded_as_they_would_be_whole(monkeypatch):
+    rng = random.Random(47)
+    tokenizer, sizes = packing.load_tokenizer(packing.TOKENIZER_FILE)
+    monkeypatch.setattr(packing, "BLOCK_CHARS", 50)
+    for _ in range(200):
+        text = "".join(rng.choice(["word", " ", "  ", "\n", "it's", "12", "☃", ", ", "\u3000", " x"]) for _ in range(rng.randrange(200)))
+        assert "".join(packing.blocks_of(text, 50)) == text
+        assert packing.encoded(text).tolist() == tokenizer.encode_ordinary(text)
+    for text in ("x" * 1000, " " * 1000, "\n" * 130 + "y" * 200):  # cut in the stretch: other tokens, the same text
+        ids = packing.encoded(text)
+        assert tokenizer.decode(ids.tolist()) == text and sizes[ids].sum() == len(text)
 
 
 # 7 Jaccard join
