@@ -8,16 +8,19 @@ document are looked up among those of the items and compared word by word.
 Items of fewer than 13 words, for which winnowing guarantees nothing, are one
 window each and are looked up by all runs of their length.
 
-The item side is sent to the tasks in blocks of about ``block_words`` words,
-each a column of its own over all documents, so nothing is shuffled and what
-a task holds at a time follows the block.  One block is enough for most
-benchmarks.
+The windows of all items and the documents' candidates are tables that Spark
+joins, by broadcast where the item side is measured to be small.  What documents
+send to that join is cut down beforehand by a bit for each item print and window
+in a map of at most ``1 << MOST_BITS`` bits, which is all that goes through the
+driver; a map that is too full for a benchmark lets more candidates pass and
+loses none.
 
 Cases: null and wordless texts have no words and are never contaminated; a
-wordless item has no window; repeated rows are judged each for itself; items
+wordless item has no window; very long texts and items are read whole, in
+overlapping blocks; repeated rows are judged each for itself; items
 that repeat an item_id count once; items without an id hit like all others,
 count together as one item and add nothing to the digest of ids; an empty benchmark leaves all clean;
-further columns are ignored.
+an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,18 +30,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivena.llm.words import Words, grams, runs_of_texts, utf8, words_of
+from scrivena.llm.words import Words, grams, taken, utf8
+from scrivena.plans.staging import stage
 
 SPAN = 13
 GRAM = 5
 WINDOW = SPAN - GRAM + 1
-BLOCK_WORDS = 2_000_000
+LEAST_BITS, MOST_BITS = 16, 27  # of the map
+MAP_PARTS = 8
 NONE = np.uint64((1 << 64) - 1)
 
-FOUND = "n_words long, spans array<struct<begin: long, end: long>>, items array<string>"
+WINDOWS = "n int, hash long, words string, item string"
+CANDIDATES = "row long, doc_id long, raw long, n_words long, candidates array<struct<n: int, at: long, hash: long, words: string>>"
 
 
 def _sliding(x: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
@@ -69,158 +75,151 @@ def winnowed(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(hashes == highest[place - pad])
 
 
-def _ordered(items: set[str | None]) -> list[str | None]:
-    """The ids in order, null last."""
-    return sorted(items, key=lambda i: (i is None, i or ""))
-
-
-class ItemIndex:
-    """The windows of a block of items: sorted hashes, with their words and items."""
-
-    def __init__(self, item_ids: list[str | None], texts: list[str]):
-        data, offsets = utf8(pa.array(texts, pa.string()))
-        words = words_of(data, offsets)
-        counts = words.counts()
-        self.lengths = sorted({SPAN} & set(np.minimum(counts, SPAN).tolist()) | {int(c) for c in counts if 0 < c < SPAN})
-        self.windows: dict[int, dict[int, list[tuple[bytes, str | None]]]] = {}
-        self.sorted: dict[int, np.ndarray] = {}
-        for n in self.lengths:
-            hashes, first = grams(words, n)
-            table: dict[int, dict[bytes, set[str | None]]] = {}
-            for i in np.flatnonzero((counts >= SPAN) if n == SPAN else (counts == n)):
-                for j in range(int(first[i]), int(first[i + 1])):
-                    at = int(words.first[i]) + j - int(first[i])
-                    table.setdefault(int(hashes[j]), {}).setdefault(words.text(at, at + n), set()).add(item_ids[i])
-            self.windows[n] = {h: [(t, item) for t, items in same.items() for item in _ordered(items)] for h, same in table.items()}
-            self.sorted[n] = np.sort(np.fromiter(table, np.uint64, len(table)))
-        hashes, first = grams(words, GRAM)
-        self.prints = np.unique(hashes[winnowed(hashes, first)])
-
-    @staticmethod
-    def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-        if not len(known):
-            return np.zeros(len(values), bool)
-        return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
-
-    def hits(self, words: Words) -> dict[int, tuple[list[tuple[int, int]], set[str | None]]]:
-        """Of each text with an occurring window: the windows' word spans in the text, and the items."""
-        found: dict[int, tuple[list[tuple[int, int]], set[str | None]]] = {}
-        for n in self.lengths:
-            hashes, first = grams(words, n)
-            if not len(hashes):
-                continue
-            counts = np.diff(first)
-            if n == SPAN:
-                five, five_first = grams(words, GRAM)
-                kept = winnowed(five, five_first)
-                kept = kept[self._among(five[kept], self.prints)]
-                text = np.searchsorted(five_first, kept, side="right") - 1
-                inner = kept - five_first[text]  # the word at which the shared gram begins
-                begin = (inner[:, None] - np.arange(WINDOW)).ravel()  # windows that have the gram whole
-                owner = np.repeat(text, WINDOW)
-                fits = (begin >= 0) & (begin < counts[owner])
-                places = np.unique(first[owner[fits]] + begin[fits])
-            else:
-                places = np.arange(len(hashes))
-            places = places[self._among(hashes[places], self.sorted[n])]
-            text = np.searchsorted(first, places, side="right") - 1
-            for place, i in zip(places.tolist(), text.tolist()):
-                at = place - int(first[i])
-                own = words.text(int(words.first[i]) + at, int(words.first[i]) + at + n)
-                items = [item for t, item in self.windows[n][int(hashes[place])] if t == own]
-                if items:
-                    spans, ids = found.setdefault(i, ([], set()))
-                    spans.append((at, at + n))
-                    ids.update(items)
-        return found
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Disjoint spans that cover the same words."""
-    out: list[tuple[int, int]] = []
-    for begin, end in sorted(spans):
-        if out and begin <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items -> their windows (n, hash, words, item), and their prints as windows of no words with n = 0."""
+    for batch in batches:
+        data, offsets = utf8(batch.column("text"))
+        items = batch.column("item_id").to_pylist()
+        for begin, end, words, before, again in taken(data, offsets, SPAN - 1):
+            counts, rows = words.counts(), []
+            for n in range(1, SPAN + 1):
+                # A block that isn't the first belongs to an item of more than SPAN words.
+                own = [i for i in range(end - begin) if (before or counts[i] >= SPAN if n == SPAN else not before and counts[i] == n)]
+                if own:
+                    hashes, first = grams(words, n)
+                    for i in own:
+                        for j in range(int(first[i]), int(first[i + 1])):
+                            at = int(words.first[i]) + j - int(first[i])
+                            rows.append((n, int(hashes[j].view(np.int64)), words.text(at, at + n), items[begin + i]))
+            hashes, first = grams(words, GRAM)
+            rows += [(0, int(h), None, None) for h in np.unique(hashes[winnowed(hashes, first)]).view(np.int64)]
+            types = [pa.int32(), pa.int64(), pa.string(), pa.string()]
+            names = ["n", "hash", "words", "item"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+
+
+class BitMap:
+    """A bit for each of the hashes that were added."""
+
+    def __init__(self, bits: int, body: np.ndarray | None = None):
+        self.shift = np.uint64(64 - bits)
+        self.body = np.zeros(1 << (bits - 3), np.uint8) if body is None else body
+
+    def add(self, hashes: np.ndarray) -> None:
+        at = hashes >> self.shift
+        np.bitwise_or.at(self.body, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes >> self.shift
+        return (self.body[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _bit_map(windows: DataFrame, most_bits: int) -> BitMap:
+    """The map of all prints and windows; to the driver come MAP_PARTS of at most ``1 << most_bits`` bits."""
+    bits = min(most_bits, max(LEAST_BITS, (16 * windows.count()).bit_length()))
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = BitMap(bits)
+        for batch in batches:
+            found.add(batch.column("hash").to_numpy().view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array([found.body.tobytes()], pa.binary())], ["body"])
+
+    whole = BitMap(bits)
+    for r in windows.select("hash").coalesce(MAP_PARTS).mapInArrow(mapped, "body binary").toLocalIterator():
+        whole.body |= np.frombuffer(r.body, np.uint8)
+    return whole
+
+
+def _candidates(words: Words, lengths: list[int], known: BitMap, again: int) -> Iterator[tuple[int, int, int, int]]:
+    """(text, n, word in it, place among the grams) of windows that may be an item's; those in the first ``again`` words are left out."""
+    for n in lengths:
+        hashes, first = grams(words, n)
+        if not len(hashes):
+            continue
+        if n == SPAN:
+            five, five_first = grams(words, GRAM)
+            kept = winnowed(five, five_first)
+            kept = kept[known.has(five[kept])]
+            text = np.searchsorted(five_first, kept, side="right") - 1
+            inner = kept - five_first[text]  # the word at which the shared gram begins
+            begin = (inner[:, None] - np.arange(WINDOW)).ravel()  # windows that have the gram whole
+            owner = np.repeat(text, WINDOW)
+            fits = (begin >= 0) & (begin < np.diff(first)[owner])
+            places = np.unique(first[owner[fits]] + begin[fits])
         else:
-            out.append((begin, end))
-    return out
-
-
-def _scanned(text: Column, index: ItemIndex) -> Column:
-    """The words, hit spans and items of each text, against a block of items."""
-
-    def scan(column: pa.Array) -> pa.Array:
-        data, offsets = utf8(column)
-        n = len(column)
-        n_words = np.zeros(n, np.int64)
-        spans: list[list[dict]] = [[] for _ in range(n)]
-        items: list[list[str | None]] = [[] for _ in range(n)]
-        for begin, end in runs_of_texts(offsets):
-            words = words_of(data, offsets[begin : end + 1])
-            n_words[begin:end] = words.counts()
-            for i, (own, ids) in index.hits(words).items():
-                spans[begin + i] = [{"begin": a, "end": b} for a, b in merged(own)]
-                items[begin + i] = _ordered(ids)
-        span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-        return pa.StructArray.from_arrays([pa.array(n_words), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], ["n_words", "spans", "items"])
-
-    # Not deterministic: else a filter on the result is pushed below it and the texts are scanned twice.
-    return F.arrow_udf(scan, FOUND).asNondeterministic()(text)
-
-
-def _item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list[str | None], list[str]]]:
-    """The items in blocks of about ``block_words`` words (bytes / 4 bounds the words from above well enough)."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null").distinct()
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (4 * block_words)))
-    for k in range(blocks):
-        own = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
-        yield [r.item_id for r in own], [r.text for r in own]
-
-
-def contamination_of(text: Column, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[list[Column], Column]:
-    """Columns that hold each item block's finds, and the column that joins the columns named _found0, _found1, ...
-
-    The joined one is a struct of n_words, n_hit, n_items, items_sha256, contaminated and spans.
-    """
-    finds = [_scanned(text, ItemIndex(ids, texts)) for ids, texts in _item_blocks(benchmark, block_words)]
-    names = [f"_found{k}" for k in range(len(finds))]
-    spans = F.array_sort(F.concat(*(F.col(f"{name}.spans") for name in names)))
-    items = F.array_sort(F.array_distinct(F.concat(*(F.col(f"{name}.items") for name in names))))
-    n_words = F.col("_found0.n_words")
-    # Spans of several blocks may overlap: each adds what lies beyond the furthest end so far.
-    n_hit = F.aggregate(
-        spans,
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")),
-        lambda acc, s: F.struct((acc["n"] + F.greatest(s["end"] - F.greatest(s["begin"], acc["to"]), F.lit(0))).alias("n"), F.greatest(acc["to"], s["end"]).alias("to")),
-        lambda acc: acc["n"],
-    )
-    whole = F.struct(
-        n_words.alias("n_words"),
-        n_hit.alias("n_hit"),
-        F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= n_words)).alias("contaminated"),
-        spans.alias("spans"),
-    )
-    return [find.alias(name) for find, name in zip(finds, names)], whole
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+            places = np.arange(len(hashes))
+        places = places[known.has(hashes[places])]
+        text = np.searchsorted(first, places, side="right") - 1
+        for place, i in zip(places.tolist(), text.tolist()):
+            at = place - int(first[i])
+            if at + n > again:
+                yield i, n, at, int(hashes[place].view(np.int64))
+
+
+def _scan(lengths: list[int], known: BitMap):
+    """Documents -> their words and the windows that may be an item's."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            n_words = np.zeros(batch.num_rows, np.int64)
+            found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for begin, end, words, before, again in taken(data, offsets, SPAN - 1):
+                n_words[begin:end] += words.counts() - again
+                for i, n, at, h in _candidates(words, lengths, known, again):
+                    own = int(words.first[i]) + at
+                    found[begin + i].append({"n": n, "at": before + at, "hash": h, "words": words.text(own, own + n)})
+            lists = pa.array(found, pa.list_(pa.struct([("n", pa.int32()), ("at", pa.int64()), ("hash", pa.int64()), ("words", pa.string())])))
+            kept = [batch.column(c) for c in ("row", "doc_id", "raw")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(n_words), lists], ["row", "doc_id", "raw", "n_words", "candidates"])
+
+    return scan
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, most_bits: int) -> DataFrame:
+    """As ``contamination``, with raw."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null").distinct()
+    windows = stage(items.mapInArrow(_windows, WINDOWS).distinct(), "benchmark-windows")
+    lengths = sorted(r.n for r in windows.filter("n > 0").select("n").distinct().collect())  # SPAN different ones at most
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw"), "text")
+    scanned = stage(rows.mapInArrow(_scan(lengths, _bit_map(windows, most_bits)), CANDIDATES), "benchmark-candidates")
+    nothing = scanned.filter(F.size("candidates") == 0).select(
+        "doc_id", "raw", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"),
+        F.lit(None).cast("array<struct<begin: long, end: long>>").alias("spans"),
+    )
+    some = scanned.filter(F.size("candidates") > 0)
+    places = some.select("row", F.explode("candidates").alias("c")).select("row", "c.*")
+    key = ["n", "hash", "words"]
+    known = windows.filter("n > 0")
+    hits = places.join(known.select(*key).distinct(), key, "left_semi")
+    # Runs of windows that touch or overlap are one span.
+    earlier = Window.partitionBy("row").orderBy("at", "n")
+    reach = F.max(F.col("at") + F.col("n")).over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+    begun = hits.select("row", "n", "at", (F.col("at") > F.coalesce(reach, F.lit(-1))).cast("int").alias("begins"))
+    runs = begun.withColumn("run", F.sum("begins").over(earlier)).groupBy("row", "run").agg(F.min("at").alias("begin"), F.max(F.col("at") + F.col("n")).alias("end"))
+    spans = runs.groupBy("row").agg(F.sum(F.col("end") - F.col("begin")).alias("n_hit"), F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+    named = places.select("row", *key).distinct().join(known, key).select("row", "item").distinct()
+    digest = F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256)
+    named = named.groupBy("row").agg(F.count(F.lit(1)).alias("n_items"), digest.alias("items_sha256"))
+    found = some.join(spans, "row", "left").join(named, "row", "left")
+    found = found.select("doc_id", "raw", "n_words", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_hit", "n_items")), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), "spans")
+    judged = nothing.unionByName(found).withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<begin: long, end: long>>")))
+    return judged.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
     A document is contaminated when at least a twentieth of its words, and one, are hit.
     """
-    finds, whole = contamination_of(F.col("text"), benchmark, block_words)
-    return docs.select("doc_id", *finds).select("doc_id", whole.alias("found")).select("doc_id", "found.*")
+    return _judged(docs, benchmark, most_bits).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are not contaminated; nothing is shuffled."""
-    finds, whole = contamination_of(F.col("d.text"), benchmark, block_words)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"))
-    found = rows.select("d", *finds).select("d", whole.alias("found"))
-    return found.filter(~F.col("found.contaminated")).select("d.*")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not contaminated; the side that is joined has the ids of those that are."""
+    bad = _judged(docs, benchmark, most_bits).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw")).distinct()
+    raw = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(stage(bad, "benchmark-contaminated"), docs["doc_id"].eqNullSafe(F.col("_id")) & (raw == F.col("_raw")), "left_anti")
 
 
 def items_digest(items: list[str]) -> str:

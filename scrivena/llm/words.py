@@ -2,8 +2,10 @@
 
 A word is a longest run of bytes that are digits, ASCII letters (A-Z taken as
 a-z) or non-ASCII, which over UTF-8 is ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after
-lower-casing A-Z.  Words are hashed to 64 bits with whole-array arithmetic, in
-blocks of bounded size, so that memory follows the block and not the text.
+lower-casing A-Z.  Words are hashed to 64 bits with whole-array arithmetic.  Texts
+are taken many at a time up to ``BLOCK_BYTES``, longer ones by ``blocks_of`` in
+overlapping blocks of about that size, so that memory follows the block and not
+the text; only a single word is never cut.
 """
 
 from __future__ import annotations
@@ -134,6 +136,45 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(hashes, starts, ends, np.searchsorted(starts, cuts), low)
 
 
+def blocks_of(data: np.ndarray, overlap: int) -> Iterator[tuple[Words, int, int]]:
+    """Words of one text in blocks: (words, number of words before them, how many of them the block before has as well).
+
+    A block begins with the last ``overlap`` words of the one before it, so a run of up to ``overlap`` + 1 words is whole in one;
+    all blocks but the last have more words than that.
+    """
+    at = before = again = reached = 0
+    n = len(data)
+    while True:
+        end = min(n, reached + BLOCK_BYTES)
+        while end < n and IS_WORD[data[end - 1]]:  # back to the end of a word, or on if that is all there is
+            gaps = np.flatnonzero(~IS_WORD[data[reached:end]])
+            if len(gaps):
+                end = reached + int(gaps[-1]) + 1
+            else:
+                end = min(n, end + BLOCK_BYTES)
+        words = words_of(data, np.array([at, end]))
+        if end < n and len(words.hashes) <= overlap:
+            reached = end
+            continue
+        yield words, before, again
+        if end >= n:
+            return
+        again = min(overlap, len(words.hashes))
+        before += len(words.hashes) - again
+        at = at + int(words.starts[-again]) if again else end
+        reached = end
+
+
+def taken(data: np.ndarray, offsets: np.ndarray, overlap: int) -> Iterator[tuple[int, int, Words, int, int]]:
+    """Texts begin to end with their words, then for the blocks of a longer text as of ``blocks_of``: (begin, end, words, before, again)."""
+    for begin, end in runs_of_texts(offsets):
+        if offsets[end] - offsets[begin] <= BLOCK_BYTES:
+            yield begin, end, words_of(data, offsets[begin : end + 1]), 0, 0
+        else:
+            for words, before, again in blocks_of(data[offsets[begin] : offsets[end]], overlap):
+                yield begin, end, words, before, again
+
+
 def grams(words: Words, n: int, whole_if_shorter: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``n`` words within a text, and the first gram of each text.
 

@@ -439,8 +439,8 @@ def contamination_by_force(docs, items):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 20])
-def test_contamination_against_brute_force(spark, block_words):
+@pytest.mark.parametrize("most_bits", [decontaminate.MOST_BITS, 4])
+def test_contamination_against_brute_force(spark, most_bits):
     rng = random.Random(11)
     items = [(i, prose(rng, n)) for i, n in enumerate([30, 13, 14, 40, 3, 1, 12, 25, 0])] + [(20, None), (21, "!!"), (3, prose(rng, 20))]
     items += [(30, items[0][1]), (31, items[0][1].upper())]
@@ -455,19 +455,56 @@ def test_contamination_against_brute_force(spark, block_words):
         docs.append((i, rng.choice([text, text.title(), text.replace(" ", " -- ")])))
     docs += [(90, None), (91, ""), (92, items[0][1]), (92, items[0][1])]
     found = decontaminate.contamination(
-        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), most_bits
     )
     assert sorted(map(tuple, found.drop("spans").collect())) == contamination_by_force(docs, items)
 
 
-@pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 3])
-def test_items_without_an_id_are_hit_too(spark, block_words):
+def test_blocks_of_long_texts_have_every_run_once(monkeypatch):
+    rng = random.Random(51)
+    monkeypatch.setattr(words, "BLOCK_BYTES", 40)
+    for text in [prose(rng, 200), "x" * 500, f"{'y' * 90} " * 6, f"a {'z' * 200} b c d e f", "-" * 300, prose(rng, 30) + "-" * 200 + prose(rng, 30)]:
+        data, offsets = words.utf8(pa.array([text]))
+        whole = words.words_of(data, offsets)
+        for overlap in (0, 1, 4, 12):
+            for n in range(1, overlap + 2):
+                seen = {}
+                total = 0
+                for own, before, again in words.blocks_of(data, overlap):
+                    total += len(own.hashes) - again
+                    for j in range(len(own.hashes) - n + 1):
+                        if j + n > again:
+                            assert before + j not in seen
+                            seen[before + j] = own.text(j, j + n)
+                assert total == len(whole.hashes)
+                assert seen == {j: whole.text(j, j + n) for j in range(len(whole.hashes) - n + 1)}
+
+
+def test_very_long_texts_and_items_are_scanned_whole(spark):
+    rng = random.Random(53)
+    long = prose(rng, 400_000, 10**6)  # of several blocks
+    items = [(1, prose(rng, 20, 10**6)), (2, "two words"), (3, prose(rng, 250_000, 10**6))]
+    first, last = items[0][1], items[2][1].split()[-40:]
+    docs = [(1, f"{first} {long} two words {' '.join(last)}"), (2, f"{long} {first}"), (3, " ".join(items[2][1].split()[100_000:100_100])), (4, long), (5, "x" * 3_000_000), (6, None)]
+    found = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, [tuple(s) for s in r.spans]) for r in found.collect()) == [
+        (1, 400_062, 62, 3, [(0, 20), (400_020, 400_062)]),
+        (2, 400_020, 20, 1, [(400_000, 400_020)]),
+        (3, 100, 100, 1, [(0, 100)]),
+        (4, 400_000, 0, 0, []),
+        (5, 1, 0, 0, []),
+        (6, 0, 0, 0, []),
+    ]
+
+
+@pytest.mark.parametrize("most_bits", [decontaminate.MOST_BITS, 3])
+def test_items_without_an_id_are_hit_too(spark, most_bits):
     rng = random.Random(37)
     long, other, both = (prose(rng, 20, 5000) for _ in range(3))
     items = [(None, long), (None, "two words"), (7, other), (8, both), (None, both)]
     docs = [(1, long), (2, "two words and two words"), (3, other), (4, both), (5, f"{long} {both}"), (6, "clean")]
     found = decontaminate.contamination(
-        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), most_bits
     )
     digest = decontaminate.items_digest
     assert sorted(map(tuple, found.drop("spans").collect())) == [
