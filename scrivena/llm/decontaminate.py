@@ -9,7 +9,7 @@ Items of fewer than 13 words, for which winnowing guarantees nothing, are one
 window each and are looked up by all runs of their length.
 
 The windows of all items and the documents' candidates are tables that Spark
-joins, by broadcast where the item side is measured to be small.  What documents
+joins, by broadcast if there are at most ``BROADCAST_WINDOWS`` of them.  What documents
 send to that join is cut down beforehand by a bit for each item print and window
 in a map of at most ``1 << MOST_BITS`` bits, which is all that goes through the
 driver; a map that is too full for a benchmark lets more candidates pass and
@@ -41,6 +41,7 @@ GRAM = 5
 WINDOW = SPAN - GRAM + 1
 LEAST_BITS, MOST_BITS = 16, 27  # of the map
 MAP_PARTS = 8
+BROADCAST_WINDOWS = 100_000  # of about 13 words: some 15 MB
 NONE = np.uint64((1 << 64) - 1)
 
 WINDOWS = "n int, hash long, words string, item string"
@@ -80,7 +81,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         items = batch.column("item_id").to_pylist()
-        for begin, end, words, before, again in taken(data, offsets, SPAN - 1):
+        for begin, end, words, before, again, _ in taken(data, offsets, SPAN - 1):
             counts, rows = words.counts(), []
             for n in range(1, SPAN + 1):
                 # A block that isn't the first belongs to an item of more than SPAN words.
@@ -114,9 +115,9 @@ class BitMap:
         return (self.body[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _bit_map(windows: DataFrame, most_bits: int) -> BitMap:
+def _bit_map(windows: DataFrame, number: int, most_bits: int) -> BitMap:
     """The map of all prints and windows; to the driver come MAP_PARTS of at most ``1 << most_bits`` bits."""
-    bits = min(most_bits, max(LEAST_BITS, (16 * windows.count()).bit_length()))
+    bits = min(most_bits, max(LEAST_BITS, (16 * number).bit_length()))
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = BitMap(bits)
@@ -164,7 +165,7 @@ def _scan(lengths: list[int], known: BitMap):
             data, offsets = utf8(batch.column("text"))
             n_words = np.zeros(batch.num_rows, np.int64)
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for begin, end, words, before, again in taken(data, offsets, SPAN - 1):
+            for begin, end, words, before, again, _ in taken(data, offsets, SPAN - 1):
                 n_words[begin:end] += words.counts() - again
                 for i, n, at, h in _candidates(words, lengths, known, again):
                     own = int(words.first[i]) + at
@@ -180,9 +181,10 @@ def _judged(docs: DataFrame, benchmark: DataFrame, most_bits: int) -> DataFrame:
     """As ``contamination``, with raw."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null").distinct()
     windows = stage(items.mapInArrow(_windows, WINDOWS).distinct(), "benchmark-windows")
+    number = windows.count()
     lengths = sorted(r.n for r in windows.filter("n > 0").select("n").distinct().collect())  # SPAN different ones at most
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw"), "text")
-    scanned = stage(rows.mapInArrow(_scan(lengths, _bit_map(windows, most_bits)), CANDIDATES), "benchmark-candidates")
+    scanned = stage(rows.mapInArrow(_scan(lengths, _bit_map(windows, number, most_bits)), CANDIDATES), "benchmark-candidates")
     nothing = scanned.filter(F.size("candidates") == 0).select(
         "doc_id", "raw", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"),
         F.lit(None).cast("array<struct<begin: long, end: long>>").alias("spans"),
@@ -191,7 +193,9 @@ def _judged(docs: DataFrame, benchmark: DataFrame, most_bits: int) -> DataFrame:
     places = some.select("row", F.explode("candidates").alias("c")).select("row", "c.*")
     key = ["n", "hash", "words"]
     known = windows.filter("n > 0")
-    hits = places.join(known.select(*key).distinct(), key, "left_semi")
+    if number <= BROADCAST_WINDOWS:
+        known = F.broadcast(known)
+    hits = places.join(known, key, "left_semi")
     # Runs of windows that touch or overlap are one span.
     earlier = Window.partitionBy("row").orderBy("at", "n")
     reach = F.max(F.col("at") + F.col("n")).over(earlier.rowsBetween(Window.unboundedPreceding, -1))

@@ -7,17 +7,23 @@ compared 16 MinHash values at a time and dropped as soon as the posterior
 probability that their similarity reaches the threshold, under a uniform
 prior, is below ``TOLERANCE``.  What is left is verified on the n-gram sets.
 
-A bucket of g nodes is cut into blocks of about ``BLOCK`` nodes, and each pair
-of blocks is a unit of work of its own, so no task meets more than two blocks
-however large a group of near copies is.  A pair is taken up only in the first
-band that it shares.  Pairs never become rows: units pass on the lists of
-partners that are left of each node, and after verification the number of
-links of each node and its least linked node in the unit.
+A bucket of many nodes is cut into blocks of about ``BLOCK`` nodes, fewer where
+texts are long, and each pair of blocks is a unit of work of its own, so no task
+holds more than two blocks however large a group of near copies is.  A pair is
+taken up only in the first band that it shares.  No pair becomes a row: units of
+few pairs pass on the lists of partners that are left of each node; of larger
+ones only the nodes are passed on, and their pairs are told again where they are
+verified, by whole-matrix comparisons and a matrix product of gram sets.  After
+that there are the number of links of each node and its least linked node in the
+unit.  All links between different texts are counted, so a group of g near
+copies costs g * g / 2 comparisons of a fraction of a microsecond, and nothing
+that is written, shuffled or held grows with the pairs.
 
 Cases: null and wordless texts are linked to nothing and copies of nothing;
-a text of fewer words than n has one gram, all its words; repeated rows are
-copies; copies in words share class and links; further columns are ignored;
-an empty table gives no rows.
+a text of fewer words than n has one gram, all its words; very long texts are
+read whole, in overlapping blocks; a similarity of just the threshold is a link;
+repeated rows are copies; copies in words share class and links; further columns
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ from pyspark.sql import functions as F
 
 from scrivena.llm.components import connected_components
 from scrivena.llm.exact_dedup import one_of_each
-from scrivena.llm.words import grams, mix, runs_of_texts, utf8, words_of
+from scrivena.llm.words import grams, mix, taken, utf8
 from scrivena.plans.staging import stage
 
 GRAM = 5
@@ -42,8 +48,12 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-6
-BLOCK = 256
+BLOCK = 2048
+BLOCK_WORDS = 1 << 21
 PAIRS_AT_ONCE = 1 << 18
+FEW_PAIRS = 1 << 11  # a unit
+DENSE = 16  # a matrix product pays if more than one in so many pairs is left
+GRAMS_AT_ONCE = 1 << 11  # columns of a matrix product
 
 _rng = np.random.default_rng(20267)
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -68,49 +78,54 @@ def least_matches(threshold: float, tolerance: float) -> list[tuple[int, int]]:
     return out
 
 
-def _digests(words) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of the sequence of words of each text."""
+def _digests(words, before: int = 0, again: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the sequence of words of each text; those of the blocks of a text are added."""
     counts = words.counts()
-    place = (np.arange(len(words.hashes)) - np.repeat(words.first[:-1], counts) + 1).astype(np.uint64)
+    place = (np.arange(len(words.hashes)) - np.repeat(words.first[:-1], counts) + before + 1).astype(np.uint64)
     out = []
     for step in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        each = mix(words.hashes + place * np.uint64(step))
+        each[:again] = 0
         sums = np.zeros(len(words.hashes) + 1, np.uint64)
-        np.cumsum(mix(words.hashes + place * np.uint64(step)), out=sums[1:])
-        out.append((sums[words.first[1:]] - sums[words.first[:-1]]).view(np.int64))
+        np.cumsum(each, out=sums[1:])
+        out.append(sums[words.first[1:]] - sums[words.first[:-1]])
     return out[0], out[1]
 
 
-def signatures(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """MinHash values (texts x HASHES, 16 bits) of the grams of each text; zeros where there is none."""
+def minima(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """MinHash values (texts x HASHES, 32 bits) of the grams of each text; the highest where there is none."""
     some = np.diff(first) > 0
-    out = np.zeros((len(first) - 1, HASHES), np.uint16)
-    if not some.any():
-        return out
-    starts = first[:-1][some]
-    x = (hashes >> np.uint64(32)).astype(np.uint32)
-    for k in range(HASHES):
-        least = np.minimum.reduceat((x ^ _XOR[k]) * _FACTOR[k], starts)
-        out[some, k] = (least * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
+    out = np.full((len(first) - 1, HASHES), 0xFFFFFFFF, np.uint32)
+    if some.any():
+        starts = first[:-1][some]
+        x = (hashes >> np.uint64(32)).astype(np.uint32)
+        for k in range(HASHES):
+            out[some, k] = np.minimum.reduceat((x ^ _XOR[k]) * _FACTOR[k], starts)
     return out
 
 
+def signatures(least: np.ndarray) -> np.ndarray:
+    """The values in 16 bits."""
+    return (least * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
+
+
 def _describe(n: int):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            n_words, first, second, bands = [], [], [], []
-            for begin, end in runs_of_texts(offsets):
-                words = words_of(data, offsets[begin : end + 1])
-                a, b = _digests(words)
-                n_words.append(words.counts().astype(np.int64))
-                first.append(a)
-                second.append(b)
-                bands.append(signatures(*grams(words, n, whole_if_shorter=True)).view(np.int64))
-            join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            flat = join([x.ravel() for x in bands])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(flat))
+            size = batch.num_rows
+            n_words, first, second = np.zeros(size, np.int64), np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+            least = np.full((size, HASHES), 0xFFFFFFFF, np.uint32)
+            for begin, end, words, before, again, _ in taken(data, offsets, n - 1):
+                a, b = _digests(words, before, again)
+                n_words[begin:end] += words.counts() - again
+                first[begin:end] += a
+                second[begin:end] += b
+                np.minimum(least[begin:end], minima(*grams(words, n, whole_if_shorter=not before)), out=least[begin:end])
+            bands = np.ascontiguousarray(signatures(least)).view(np.int64).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * BANDS), pa.array(bands))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), batch.column("raw"), pa.array(join(n_words)), pa.array(join(first)), pa.array(join(second)), lists],
+                [batch.column("row"), batch.column("doc_id"), batch.column("raw"), pa.array(n_words), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), lists],
                 ["row", "doc_id", "raw", "n_words", "d1", "d2", "bands"],
             )
 
@@ -144,22 +159,19 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int =
             yield table, np.concatenate([np.flatnonzero(new), [table.num_rows]])
 
 
-def _pairs(edges: np.ndarray, block: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs to compare in the units that ``edges`` bound, not too many at once."""
+def _pairs(units: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs to compare in units of few pairs, not too many at once; a unit is the rows of two blocks, or twice the same."""
     left, right, held = [], [], 0
     shapes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        if lo[begin] == hi[begin]:
-            size = end - begin
-            if size not in shapes:
-                shapes[size] = np.triu_indices(size, 1)
-            a, b = shapes[size]
+    for own, other in units:
+        if own is other:
+            if len(own) not in shapes:
+                shapes[len(own)] = np.triu_indices(len(own), 1)
+            a, b = (own[x] for x in shapes[len(own)])
         else:
-            own = np.flatnonzero(block[begin:end] == lo[begin])
-            other = np.flatnonzero(block[begin:end] != lo[begin])
             a, b = np.repeat(own, len(other)), np.tile(other, len(own))
-        left.append(a + begin)
-        right.append(b + begin)
+        left.append(a)
+        right.append(b)
         held += len(a)
         if held >= PAIRS_AT_ONCE:
             yield np.concatenate(left), np.concatenate(right)
@@ -168,8 +180,36 @@ def _pairs(edges: np.ndarray, block: np.ndarray, lo: np.ndarray, hi: np.ndarray)
         yield np.concatenate(left), np.concatenate(right)
 
 
+def compared(own: np.ndarray, other: np.ndarray, band: int, needed: list[tuple[int, int]], same: bool) -> np.ndarray:
+    """Matrix of the pairs of two blocks (nodes x BANDS), or of one with itself, that have their first band in common here and are not dropped."""
+    a_of, b_of = np.ascontiguousarray(own.T), np.ascontiguousarray(other.T)
+    left = a_of[band][:, None] == b_of[band][None, :]
+    for earlier in range(band):
+        left &= a_of[earlier][:, None] != b_of[earlier][None, :]
+    if same:
+        left &= np.triu(np.ones(left.shape, bool), 1)
+    mine, theirs = (np.ascontiguousarray(x).view(np.uint16) for x in (own, other))
+    if DENSE * left.sum() > left.size:
+        mine, theirs = np.ascontiguousarray(mine.T), np.ascontiguousarray(theirs.T)
+        equal = np.zeros(left.shape, np.uint8)
+        for n, m in needed:
+            for k in range(n - STEP, n):
+                equal += mine[k][:, None] == theirs[k][None, :]
+            left &= equal >= m
+        return left
+    a, b = np.nonzero(left)
+    matches = np.zeros(len(a), np.int32)
+    for n, m in needed:
+        matches += (mine[a, n - STEP : n] == theirs[b, n - STEP : n]).sum(axis=1, dtype=np.int32)
+        keep = matches >= m
+        a, b, matches = a[keep], b[keep], matches[keep]
+    left[:] = False
+    left[a, b] = True
+    return left
+
+
 def _compare(threshold: float, tolerance: float):
-    """Units of members -> (unit, node, partners) of the nodes that have or are partners."""
+    """Units of members -> (unit, band, node, side, partners) of the nodes that have or are partners; partners are null in units of many pairs."""
     needed = least_matches(threshold, tolerance)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +219,23 @@ def _compare(threshold: float, tolerance: float):
             bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
             values = np.ascontiguousarray(bands).view(np.uint16)
             unit = mix(mix(key.view(np.uint64) ^ mix(band.astype(np.uint64) + np.uint64(1))) + lo.astype(np.uint64) * np.uint64(1 << 32) + hi.astype(np.uint64)).view(np.int64)
-            lefts, rights = [], []
-            for a, b in _pairs(edges, block, lo, hi):
+            few, lefts, rights, dense = [], [], [], []
+            side = np.zeros(len(node), np.int32)
+            for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                rows = np.arange(begin, end)
+                if lo[begin] == hi[begin]:
+                    own = other = rows
+                    pairs = len(rows) * (len(rows) - 1) // 2
+                else:
+                    side[begin:end] = 1 + (block[begin:end] != lo[begin])
+                    own, other = rows[side[begin:end] == 1], rows[side[begin:end] == 2]
+                    pairs = len(own) * len(other)
+                if pairs <= FEW_PAIRS:
+                    few.append((own, other))
+                    continue
+                left = compared(bands[own], bands[other], int(band[begin]), needed, own is other)
+                dense.append(np.union1d(own[left.any(axis=1)], other[left.any(axis=0)]))
+            for a, b in _pairs(few):
                 shared = bands[a] == bands[b]
                 ours = shared.argmax(axis=1) == band[a]  # the first band that they share
                 a, b = a[ours], b[ours]
@@ -197,9 +252,11 @@ def _compare(threshold: float, tolerance: float):
             a, b = a[order], b[order]
             rows = np.union1d(a, b)
             ends = np.searchsorted(a, rows, side="right")
-            offsets = np.concatenate([[0], ends]).astype(np.int32)
-            partners = pa.ListArray.from_arrays(pa.array(offsets), pa.array(node[b]))
-            yield pa.RecordBatch.from_arrays([pa.array(unit[rows]), pa.array(node[rows]), partners], ["unit", "node", "partners"])
+            partners = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(node[b]))
+            many = np.concatenate(dense) if dense else np.zeros(0, np.int64)
+            for some, lists in ((rows, partners), (many, pa.nulls(len(many), pa.list_(pa.int64())))):
+                columns = [pa.array(unit[some]), pa.array(band[some].astype(np.int32)), pa.array(node[some]), pa.array(side[some]), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["unit", "band", "node", "side", "partners"])
 
     return compare
 
@@ -210,18 +267,59 @@ def _gram_sets(n: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            node, d1, d2 = (batch.column(x).to_numpy() for x in ("node", "d1", "d2"))
-            for begin, end in runs_of_texts(offsets):
-                words = words_of(data, offsets[begin : end + 1])
-                a, b = _digests(words)
-                hashes, first = grams(words, n, whole_if_shorter=True)
-                same = np.flatnonzero((a == d1[begin:end]) & (b == d2[begin:end]))
-                own = [np.unique(hashes[first[i] : first[i + 1]]).view(np.int64) for i in same]
-                yield pa.RecordBatch.from_arrays([pa.array(node[begin:end][same]), pa.array(own, pa.list_(pa.int64()))], ["node", "grams"])
+            d1, d2 = (batch.column(x).to_numpy().view(np.uint64) for x in ("d1", "d2"))
+            first = second = np.zeros(0, np.uint64)
+            parts: list[list[np.ndarray]] = []
+            for begin, end, words, before, again, last in taken(data, offsets, n - 1):
+                if not before:
+                    first, second, parts = np.zeros(end - begin, np.uint64), np.zeros(end - begin, np.uint64), [[] for _ in range(end - begin)]
+                a, b = _digests(words, before, again)
+                first, second = first + a, second + b
+                hashes, at = grams(words, n, whole_if_shorter=not before)
+                for i, part in enumerate(parts):
+                    part.append(np.unique(hashes[at[i] : at[i + 1]]))
+                if last:
+                    same = np.flatnonzero((first == d1[begin:end]) & (second == d2[begin:end]))
+                    own = [(parts[i][0] if len(parts[i]) == 1 else np.unique(np.concatenate(parts[i]))).view(np.int64) for i in same]
+                    kept = [batch.column(c).slice(begin, end - begin).take(pa.array(same)) for c in ("node", "bands")]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(own, pa.list_(pa.int64()))], ["node", "bands", "grams"])
 
     return sets
 
 
+def shared_matrix(own: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """How many values each of some sets has in common with each of others: products of 0/1 matrices, some columns at a time."""
+    sizes = [len(x) for x in (*own, *other)]
+    _, place, number = np.unique(np.concatenate([*own, *other]), return_inverse=True, return_counts=True)
+    several = number > 1  # the others are in no two sets
+    row, place = np.repeat(np.arange(len(sizes)), sizes)[several[place]], (np.cumsum(several) - 1)[place[several[place]]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    out = np.zeros((len(own), len(other)), np.int64)
+    columns = int(several.sum())
+    for begin in range(0, columns, GRAMS_AT_ONCE):
+        a, b = np.searchsorted(place, (begin, begin + GRAMS_AT_ONCE))
+        part = np.zeros((len(sizes), min(GRAMS_AT_ONCE, columns - begin)), np.float32)
+        part[row[a:b], place[a:b] - begin] = 1
+        out += (part[: len(own)] @ part[len(own) :].T).astype(np.int64)
+    return out
+
+
+def _linked(own: np.ndarray, other: np.ndarray, linked: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each of the nodes, and the least node that it is linked to by way of others, from the matrix of two blocks' rows."""
+    links = np.zeros(len(nodes), np.int64)
+    np.add.at(links, own, linked.sum(axis=1))
+    np.add.at(links, other, linked.sum(axis=0))
+    root = nodes.copy()
+    highest = np.iinfo(np.int64).max
+    while True:
+        before = root.copy()
+        np.minimum.at(root, own, np.where(linked, root[other][None, :], highest).min(axis=1, initial=highest))
+        np.minimum.at(root, other, np.where(linked, root[own][:, None], highest).min(axis=0, initial=highest))
+        if (root == before).all():
+            return links, root
+
+
 def shared_counts(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     """How many of the sorted values ``own`` each of the others has."""
     sizes = np.array([len(x) for x in others])
@@ -230,48 +328,68 @@ def shared_counts(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(found.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
 
 
-def _verify(threshold: float):
-    """Units of (node, partners, grams) -> (node, links, least linked node) by the exact similarity."""
+def _verify(threshold: float, tolerance: float):
+    """Units of (band, node, side, partners, bands, grams) -> (node, links, least linked node) by the exact similarity."""
     least = Fraction(str(threshold))
+    needed = least_matches(threshold, tolerance)
+
+    def similar(both, a, b):
+        return both * least.denominator >= least.numerator * (a + b - both)
+
+    def sparse(nodes: list[int], partners: list[np.ndarray], sets: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
+        grams_of = dict(zip(nodes, sets))
+        root = {k: k for k in nodes}
+        links = dict.fromkeys(nodes, 0)
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for me, mine in zip(nodes, partners):
+            if not len(mine):
+                continue
+            mine, own = mine.tolist(), grams_of[me]
+            for p, both in zip(mine, shared_counts(own, [grams_of[p] for p in mine]).tolist()):
+                if similar(both, len(own), len(grams_of[p])):
+                    links[me] += 1
+                    links[p] += 1
+                    x, y = find(me), find(p)
+                    root[max(x, y)] = min(x, y)
+        return ((k, number, find(k)) for k, number in links.items() if number)
+
+    def dense(nodes: np.ndarray, side: np.ndarray, band: int, bands: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
+        own, other = (np.arange(len(nodes)),) * 2 if not side.any() else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
+        left = compared(bands[own], bands[other], band, needed, own is other)
+        sizes = np.array([len(x) for x in sets])
+        if DENSE * left.sum() > left.size:
+            both = shared_matrix([sets[i] for i in own], [sets[i] for i in other])
+        else:
+            both = np.zeros(left.shape, np.int64)
+            for k in np.flatnonzero(left.any(axis=1)):
+                mine = np.flatnonzero(left[k])
+                both[k, mine] = shared_counts(sets[own[k]], [sets[i] for i in other[mine]])
+        links, root = _linked(own, other, left & similar(both, sizes[own][:, None], sizes[other][None, :]), nodes)
+        some = np.flatnonzero(links)
+        return zip(nodes[some].tolist(), links[some].tolist(), root[some].tolist())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edges in whole_groups(batches, ["unit"], most=256):
-            node = table.column("node").to_numpy()
-            partners = table.column("partners").combine_chunks()
-            sets = table.column("grams").combine_chunks()
+            node, side, band = (table.column(c).to_numpy() for c in ("node", "side", "band"))
+            partners, sets = (table.column(c).combine_chunks() for c in ("partners", "grams"))
+            bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            many = partners.is_null().to_numpy(zero_copy_only=False)
             set_at, set_of = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
             near_at, near_of = partners.offsets.to_numpy(), partners.values.to_numpy()
-            out_node, out_links, out_root = [], [], []
+            out: list[tuple[int, int, int]] = []
             for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                grams_of = {int(node[i]): set_of[set_at[i] : set_at[i + 1]] for i in range(begin, end)}
-                root = {k: k for k in grams_of}
-                links = dict.fromkeys(grams_of, 0)
-
-                def find(x: int) -> int:
-                    while root[x] != x:
-                        root[x] = root[root[x]]
-                        x = root[x]
-                    return x
-
-                for i in range(begin, end):
-                    mine = near_of[near_at[i] : near_at[i + 1]].tolist()
-                    if not mine:
-                        continue
-                    me = int(node[i])
-                    own = grams_of[me]
-                    shared = shared_counts(own, [grams_of[p] for p in mine])
-                    for p, both in zip(mine, shared.tolist()):
-                        if both * least.denominator >= least.numerator * (len(own) + len(grams_of[p]) - both):
-                            links[me] += 1
-                            links[p] += 1
-                            x, y = find(me), find(p)
-                            root[max(x, y)] = min(x, y)
-                for k, number in links.items():
-                    if number:
-                        out_node.append(k)
-                        out_links.append(number)
-                        out_root.append(find(k))
-            yield pa.RecordBatch.from_arrays([pa.array(out_node, pa.int64()), pa.array(out_links, pa.int64()), pa.array(out_root, pa.int64())], ["node", "links", "root"])
+                own_sets = [set_of[set_at[i] : set_at[i + 1]] for i in range(begin, end)]
+                if many[begin]:
+                    out += dense(node[begin:end], side[begin:end], int(band[begin]), bands[begin:end], own_sets)
+                else:
+                    out += sparse(node[begin:end].tolist(), [near_of[near_at[i] : near_at[i + 1]] for i in range(begin, end)], own_sets)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], ["node", "links", "root"])
 
     return verify
 
@@ -300,9 +418,9 @@ def _classed(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, toler
     members = stage(members.unionByName(wordless), "jaccard-members")
 
     nodes = members.filter("bands is not null")
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    blocks = F.ceil(F.col("size") / block).cast("int")
+    banded = nodes.select("node", "n_words", F.posexplode("bands").alias("band", "key"))
+    buckets = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.sum("n_words").alias("words")).filter("size > 1")
+    blocks = F.least(F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("words") / BLOCK_WORDS)), F.col("size")).cast("int")
     placed = (
         banded.join(buckets, ["band", "key"])
         .select("node", "band", "key", blocks.alias("blocks"))
@@ -312,14 +430,14 @@ def _classed(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, toler
     )
     unit = ["band", "key", "lo", "hi"]
     units = placed.join(nodes.select("node", "bands"), "node").repartition(*unit).sortWithinPartitions(*unit)
-    left = stage(units.mapInArrow(_compare(threshold, tolerance), "unit long, node long, partners array<long>"), "jaccard-candidates")
+    left = stage(units.mapInArrow(_compare(threshold, tolerance), "unit long, band int, node long, side int, partners array<long>"), "jaccard-candidates")
 
-    wanted = left.select("node").distinct().join(nodes.select("node", "doc_id", "d1", "d2"), "node").withColumnRenamed("doc_id", "wanted_id")
+    wanted = left.select("node").distinct().join(nodes.select("node", "doc_id", "d1", "d2", "bands"), "node").withColumnRenamed("doc_id", "wanted_id")
     texts = docs.select("doc_id", "text")
-    fetched = texts.join(wanted.hint("shuffle_hash"), texts.doc_id.eqNullSafe(wanted.wanted_id)).select("node", "d1", "d2", "text")
-    sets = fetched.mapInArrow(_gram_sets(n), "node long, grams array<long>").dropDuplicates(["node"])
+    fetched = texts.join(wanted.hint("shuffle_hash"), texts.doc_id.eqNullSafe(wanted.wanted_id)).select("node", "d1", "d2", "bands", "text")
+    sets = fetched.mapInArrow(_gram_sets(n), "node long, bands array<long>, grams array<long>").dropDuplicates(["node"])
     verified = left.join(sets, "node").repartition("unit").sortWithinPartitions("unit")
-    links = stage(verified.mapInArrow(_verify(threshold), "node long, links long, root long"), "jaccard-links")
+    links = stage(verified.mapInArrow(_verify(threshold, tolerance), "node long, links long, root long"), "jaccard-links")
 
     degrees = links.groupBy("node").agg(F.sum("links").alias("n_links"))
     roots = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))

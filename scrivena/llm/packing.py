@@ -42,7 +42,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 MOST_TOKENS = 2048
 BUCKETS = 8
 BUDGET = 16_384
-ROWS_A_SHARE = 50_000
+TOKENS_A_SHARE = 4_000_000
 LEAST_SHARES = 64
 BLOCK_CHARS = 1 << 16
 TOKENS_AT_ONCE = 1 << 20
@@ -171,7 +171,7 @@ def packed(docs: DataFrame, most_tokens: int = MOST_TOKENS, buckets: int = BUCKE
     rows = stage(pieces(docs, most_tokens, tokenizer_file), "packing-pieces")
     histogram = rows.filter("n_tokens > 0").groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()
     bounds = best_bounds([r.n_tokens for r in histogram], [r.n for r in histogram], buckets)
-    shares = number_of_shares(sum(r.n for r in histogram))
+    shares = number_of_shares(sum(r.n * r.n_tokens for r in histogram))
     bucket = F.lit(None).cast("int")
     for bound in reversed(bounds):
         bucket = F.when(F.col("n_tokens") <= bound, F.lit(bound)).otherwise(bucket)
@@ -189,5 +189,5 @@ def packed(docs: DataFrame, most_tokens: int = MOST_TOKENS, buckets: int = BUCKE
     return placed.unionByName(empty)
 
 
-def number_of_shares(rows: int) -> int:
-    return max(LEAST_SHARES, -(-rows // ROWS_A_SHARE))
+def number_of_shares(tokens: int) -> int:
+    return max(LEAST_SHARES, -(-tokens // TOKENS_A_SHARE))

@@ -68,6 +68,23 @@ def op7_jaccard_join(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 QUERIES["op7_jaccard_join"] = op7_jaccard_join
+ORACLE_SQL["op7_jaccard_join"] = f"""
+with recursive d as materialized (select doc_id, {_WORDS} as w from documents),
+t as materialized (select row_number() over (order by w) as node, w, min(doc_id) as least, count(*) as n_copies from d where len(w) > 0 group by w),
+g as materialized (
+  select distinct node, array_to_string(w[s:s + 4], ' ') as gram from (select node, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as s from t)
+),
+n as materialized (select node, count(*) as size from g group by node),
+links as materialized (
+  select x.a, x.b from (select p.node as a, q.node as b, count(*) as common from g p join g q on p.gram = q.gram and p.node <> q.node group by all) x
+  join n na on na.node = a join n nb on nb.node = b where 10 * common >= 8 * (na.size + nb.size - common)
+),
+reach(a, b) as (select node, node from t union select r.a, l.b from reach r join links l on l.a = r.b),
+classes as (select r.a as node, min(t.least) as class_id from reach r join t on t.node = r.b group by r.a),
+degrees as (select a as node, count(*) as n_links from links group by a)
+select doc_id, coalesce(class_id, doc_id) as class_id, coalesce(n_links, 0)::bigint as n_links, coalesce(n_copies, 1)::bigint as n_copies
+from d left join t on t.w = d.w and len(d.w) > 0 left join classes using (node) left join degrees using (node)
+"""
 
 
 def op1_html_extract(spark: SparkSession, data_dir: str) -> DataFrame:

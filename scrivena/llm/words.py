@@ -165,14 +165,18 @@ def blocks_of(data: np.ndarray, overlap: int) -> Iterator[tuple[Words, int, int]
         reached = end
 
 
-def taken(data: np.ndarray, offsets: np.ndarray, overlap: int) -> Iterator[tuple[int, int, Words, int, int]]:
-    """Texts begin to end with their words, then for the blocks of a longer text as of ``blocks_of``: (begin, end, words, before, again)."""
+def taken(data: np.ndarray, offsets: np.ndarray, overlap: int) -> Iterator[tuple[int, int, Words, int, int, bool]]:
+    """Texts begin to end with their words, then for the blocks of a longer text as of ``blocks_of``: (begin, end, words, before, again, whether it is the last)."""
     for begin, end in runs_of_texts(offsets):
         if offsets[end] - offsets[begin] <= BLOCK_BYTES:
-            yield begin, end, words_of(data, offsets[begin : end + 1]), 0, 0
-        else:
-            for words, before, again in blocks_of(data[offsets[begin] : offsets[end]], overlap):
-                yield begin, end, words, before, again
+            yield begin, end, words_of(data, offsets[begin : end + 1]), 0, 0, True
+            continue
+        held = None
+        for block in blocks_of(data[offsets[begin] : offsets[end]], overlap):
+            if held is not None:
+                yield begin, end, *held, False
+            held = block
+        yield begin, end, *held, True
 
 
 def grams(words: Words, n: int, whole_if_shorter: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -741,6 +741,42 @@ def test_near_duplicates_against_brute_force(spark, seed, block):
     assert sorted(map(tuple, found)) == classes_by_force(rows)
 
 
+@pytest.mark.parametrize("block", [512, 80])
+def test_large_groups_against_brute_force(spark, block):
+    rng = random.Random(59)
+    rows = []
+    for size, length in ((220, 60), (90, 25)):
+        base = prose(rng, length, 5000).split()
+        for _ in range(size):
+            own = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                own[rng.randrange(length)] = f"n{rng.randrange(10**6)}"
+            rows.append(" ".join(own))
+    rows = list(enumerate(rows))
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).drop("raw").collect()
+    assert sorted(map(tuple, found)) == classes_by_force(rows)
+
+
+def one_family(n, length=93):
+    """Texts with one word of their own each, and how many of the others each is linked to, which goes by the places of those words."""
+    rng = np.random.default_rng(61)
+    place = rng.integers(0, length, n)
+    base = [f"w{k}" for k in range(length)]
+    texts = [" ".join([*base[:p], f"own{i}", *base[p + 1 :]]) for i, p in enumerate(place.tolist())]
+    touched = [set(range(max(0, p - 4), min(length - 5, p) + 1)) for p in range(length)]  # the grams that have the word at p
+    total = length - 4
+    shared = np.array([[total - len(a | b) for b in touched] for a in touched])
+    linked = (10 * shared >= 8 * (2 * total - shared)).astype(np.int64)
+    return texts, (linked @ np.bincount(place, minlength=length))[place] - np.diag(linked)[place]
+
+
+def test_ten_thousand_near_copies(spark):
+    texts, expected = one_family(10_000)
+    found = jaccard_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)).toPandas().sort_values("doc_id")
+    assert set(found.class_id) == {0}
+    assert found.n_links.sum() / expected.sum() > 0.9999 and (found.n_links.to_numpy() <= expected).all()
+
+
 def test_one_of_each_class_keeps_columns(spark):
     rng = random.Random(3)
     base = prose(rng, 60, 5000)
