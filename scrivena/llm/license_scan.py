@@ -4,22 +4,29 @@ A text is made canonical (lower case, copyright lines dropped, equivalent
 spellings made one, punctuation and runs of white space made one space) and
 its SHA-256 is hash-joined with the digests of known licence texts and
 notices, made canonical the same way.  So a document is found that is, as a
-whole, a known text; its lines are looked up in the same digests.
+whole, a known text; its lines are joined with the same digests.
 
-Known texts are a fixed table of a few rows, in which the size of the join's
-small side is bounded.
+Every known text has one of a few words, ``ANCHORS``, that making it canonical
+neither makes nor destroys; only texts and lines that have one are made
+canonical and hashed, as no other can be a known one.  The digests of known
+texts are broadcast if there are at most ``BROADCAST_DIGESTS``.
 
-Cases: a null text is empty, an empty text is no licence; repeated rows are
-judged each for itself; known texts that are canonically equal go by the
-alphabetically first name; an empty table gives no rows; further columns are
-ignored.
+Cases: a null text is empty, an empty text is no licence; very long texts are
+read whole; repeated rows are judged each for itself; known texts that are
+canonically equal go by the alphabetically first name; an empty table gives no
+rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrivena.plans.staging import stage
+
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -59,6 +66,9 @@ KNOWN = [
     ("CC0-1.0", "Released under CC0 1.0."),
     ("LicenseRef-all-rights-reserved", "All rights reserved."),
 ]
+# Of which each known text has one, whole, in its canonical form and as it stands.
+ANCHORS = ["licen", "permission", "reserved", "redistribution", "unencumbered", "cc0"]
+BROADCAST_DIGESTS = 10_000
 # Fixed values: (pattern, one spelling) over lower-cased text; patterns that Java's and RE2's syntax share.
 SPELLINGS = [
     (r"\blicen[cs]es\b", "licenses"),
@@ -82,52 +92,68 @@ SQL_COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright[ \t]|©|\(c\)[ \t])[^\n]*"
 PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F«»“”‘’–—…]+"
 
 
-def canonical_lines(text: Column) -> Column:
-    """Canonical text of each line; the words of all lines, joined, are the canonical text of the whole."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "\n")
+def known_texts() -> list[tuple[str, str]]:
+    """(name, text): ``KNOWN`` and the whole licences that lie beside this module, each under its SPDX name."""
+    files = sorted((f for f in resources.files(__package__).joinpath("licenses").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    return [*KNOWN, *((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in files)]
+
+
+def anchored(low: Column) -> Column:
+    """Whether a lower-cased text has one of the words that every known text has one of."""
+    return functools.reduce(lambda a, b: a | b, (F.contains(low, F.lit(word)) for word in ANCHORS))
+
+
+def canonical(low: Column) -> Column:
+    """Canonical text, line by line, of a lower-cased text."""
+    out = F.regexp_replace(low, COPYRIGHT_LINE, "\n")
     for pattern, spelling in SPELLINGS:
         out = F.regexp_replace(out, pattern, spelling)
-    return F.transform(F.split(F.regexp_replace(out, PUNCTUATION, " "), "\n"), lambda line: F.trim(line))
+    return F.regexp_replace(out, PUNCTUATION, " ")
+
+
+def digest_of_whole(low: Column) -> Column:
+    return F.sha2(F.trim(F.regexp_replace(canonical(low), "[ \n]+", " ")), 256)
 
 
-def whole(lines: Column) -> Column:
-    """Canonical text of the whole from that of its lines."""
-    return F.array_join(F.filter(lines, lambda line: line != ""), " ")
+def digests_of_lines(low: Column) -> Column:
+    """Digests of the lines that have an anchor, if they aren't copyright lines."""
+    lines = F.filter(F.split(low, "\n"), anchored)
+    return F.transform(F.filter(F.transform(lines, lambda x: F.trim(canonical(x))), lambda x: x != ""), lambda x: F.sha2(x, 256))
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license) of each different known text."""
-    rows = spark.createDataFrame(known, "license string, text string")
-    return rows.groupBy(F.sha2(whole(canonical_lines(F.col("text"))), 256).alias("digest")).agg(F.min("license").alias("license"))
+    rows = spark.createDataFrame(known_texts() if known is None else known, "license string, text string")
+    return rows.groupBy(digest_of_whole(F.lower("text")).alias("digest")).agg(F.min("license").alias("license"))
 
 
-def scanned(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
+def scanned(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """(doc_id, license, n_license_lines, line_licenses) of each row of ``docs`` (doc_id, text).
 
     license names the known text that the document as a whole is, else null; line_licenses joins, in
     order, the different names of the known texts that single lines are.
     """
     digests = known_digests(docs.sparkSession, known)
-    table = {r.digest: r.license for r in digests.collect()}  # as many rows as ``known`` at most
-    pairs = [F.lit(x) for digest, name in sorted(table.items()) for x in (digest, name)]
-    lookup = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-    rows = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
-    hashed = rows.select(
-        "doc_id",
-        F.sha2(whole(F.col("lines")), 256).alias("digest"),
-        F.filter(F.transform(F.filter("lines", lambda x: x != ""), lambda x: F.try_element_at(lookup, F.sha2(x, 256))), lambda x: x.isNotNull()).alias("names"),
-    )
-    # One known text has one digest, and the side that is sent to all tasks has at most len(known) rows.
-    found = hashed.join(F.broadcast(digests), "digest", "left")
-    return found.select(
+    if len(known_texts() if known is None else known) <= BROADCAST_DIGESTS:
+        digests = F.broadcast(digests)
+    low = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low")).withColumn("may", anchored(F.col("low")))
+    hashed = low.select(
+        F.monotonically_increasing_id().alias("row"),
         "doc_id",
-        "license",
-        F.size("names").cast("long").alias("n_license_lines"),
-        F.array_join(F.array_sort(F.array_distinct("names")), ",").alias("line_licenses"),
+        F.when(F.col("may"), digest_of_whole(F.col("low"))).alias("digest"),
+        F.when(F.col("may"), digests_of_lines(F.col("low"))).alias("lines"),
     )
+    rows = stage(hashed, "license-digests")
+    none = F.col("digest").isNull()
+    clear = rows.filter(none).select("doc_id", F.lit(None).cast("string").alias("license"), F.lit(0).cast("long").alias("n_license_lines"), F.lit("").alias("line_licenses"))
+    some = rows.filter(~none).join(digests, "digest", "left")
+    lines = rows.filter(~none).select("row", F.explode("lines").alias("digest")).join(digests, "digest")
+    names = lines.groupBy("row").agg(F.count(F.lit(1)).alias("n_license_lines"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"))
+    found = some.join(names, "row", "left").select("doc_id", "license", F.coalesce("n_license_lines", F.lit(0)).alias("n_license_lines"), F.coalesce("line_licenses", F.lit("")).alias("line_licenses"))
+    return clear.unionByName(found)
 
 
-def oracle_sql(known: list[tuple[str, str]] = KNOWN) -> str:
+def oracle_sql(known: list[tuple[str, str]] | None = None) -> str:
     """The same in DuckDB's SQL, for texts that don't wrap before the word copyright."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
 
@@ -141,7 +167,7 @@ def oracle_sql(known: list[tuple[str, str]] = KNOWN) -> str:
     def joined(column: str) -> str:
         return f"array_to_string(list_filter({column}, lambda x: x <> ''), ' ')"
 
-    values = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in known)
+    values = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in (known_texts() if known is None else known))
     return f"""
 with k as (
   select sha256({joined('l')}) as digest, min(license) as license

@@ -40,7 +40,8 @@ PATTERN_RULES = [
     ("block", r"^(?:[^/]*[.-])?(?:cheap-)?pills[.-]", ["pills"]),
     ("block", r"^(?:[^/]*[.-])?casino[.-]", ["casino"]),
     ("block", r"^(?:[^/]*[.-])?porn[.-]", ["porn"]),
-    ("block", r"^(?:[^/]*[.-])?(?:malware|phishing)-", []),
+    ("block", r"^(?:[^/]*[.-])?malware-", ["malware"]),
+    ("block", r"^(?:[^/]*[.-])?phishing-", ["phishing"]),
 ]
 DEFAULT = "allow"
 

@@ -870,6 +870,31 @@ def test_known_texts_are_found_at_any_width(spark, width):
     assert found == {i: name for i, (name, _) in enumerate(cases)}
 
 
+def test_whole_licences_are_found_and_every_known_text_has_an_anchor(spark):
+    known = license_scan.known_texts()
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "Unlicense", "CC0-1.0"} <= {name for name, _ in known}
+    rows = [(i, text, None) for i, (_, text) in enumerate(known)]
+    rows += [(1000 + i, "".join(f"  {line.upper()} \r\n" for line in text.split("\n")), None) for i, text, _ in rows]
+    rows += [(2000 + i, text + " but changed", None) for i, text, _ in rows[: len(known)]]
+    rows += [(3000, "Released under the MIT License.\n" * 200_000, None), (3001, "Licence", None), (3001, "Licence", None)]
+    found = {r.doc_id: (r.license, r.n_license_lines) for r in license_scan.scanned(documents(spark, rows)).collect()}
+    for i, (name, text) in enumerate(known):
+        assert found[i][0] == found[1000 + i][0] == name and found[2000 + i][0] is None
+        assert any(a in text.lower() for a in license_scan.ANCHORS)
+    assert found[3000] == (None, 200_000) and found[3001] == (None, 0)
+    forms = license_scan.canonical(F.lower("text"))
+    assert spark.createDataFrame([(t,) for _, t in known], "text string").select(license_scan.anchored(forms).alias("a")).filter("not a").count() == 0
+
+
+def test_equal_known_texts_go_by_the_first_name_and_many_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "BROADCAST_DIGESTS", 1)
+    known = [("b", "Some licence."), ("a", "some LICENSE"), ("c", "other licence")]
+    rows = [(1, "(Some) licence", None), (2, "other license\nsome licence\nSome licence!", None), (None, "none", None)]
+    found = license_scan.scanned(documents(spark, rows).withColumn("row", F.lit(0)), known).collect()
+    assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, [(1, "a", 1, "a"), (2, None, 3, "a,c"), (None, None, 0, "")]))
+    assert license_scan.scanned(documents(spark, rows), []).filter("license is null").count() == 3
+
+
 # 10 urls
 
 
