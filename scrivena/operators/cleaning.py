@@ -57,8 +57,8 @@ def with_party_names(df: DataFrame) -> DataFrame:
 
 
 def party_shares(df: DataFrame) -> DataFrame:
-    """party, words, percent of all words, rounded to 6 places; blank parties and their words are left out."""
-    known = df.filter(F.trim(F.coalesce("party", F.lit(""))) != "")
+    """party (trimmed), words, percent of all words, rounded to 6 places; placeholders of none and their words are left out."""
+    known = df.withColumn("party", when_blank(F.col("party"))).filter("party is not null")
     sums = known.groupBy("party").agg(F.sum("word_count").alias("words"))
     return sums.withColumn("percent", F.round(100.0 * F.col("words") / F.sum("words").over(Window.partitionBy()), 6))
 
@@ -66,7 +66,7 @@ def party_shares(df: DataFrame) -> DataFrame:
 def without_small_parties(df: DataFrame, least_percent: float) -> DataFrame:
     """Without parties below a percentage of the words; rows without a party stay."""
     small = party_shares(df).filter(F.col("percent") < least_percent)
-    return df.join(small.select("party"), "party", "left_anti")
+    return df.join(small.select(F.col("party").alias("_small")), when_blank(df["party"]) == F.col("_small"), "left_anti")
 
 
 def without_small_parties_by_language(df: DataFrame, least_percent: float, languages: list[str]) -> DataFrame:
@@ -79,18 +79,23 @@ def without_small_parties_by_language(df: DataFrame, least_percent: float, langu
 
 
 def party_switchers(df: DataFrame) -> DataFrame:
-    """id_person, parties in order of first appearance, of authors with more than one."""
-    first = df.filter("party is not null").groupBy("id_person", "party").agg(F.min(F.struct("date", "time", "id_speech")).alias("since"))
+    """id_person, parties in order of first appearance, of authors with more than one; placeholders of none are no party."""
+    first = df.withColumn("party", when_blank(F.col("party"))).filter("party is not null").groupBy("id_person", "party").agg(F.min(F.struct("date", "time", "id_speech")).alias("since"))
     sequence = F.transform(F.array_sort(F.collect_list(F.struct("since", "party"))), lambda x: x["party"])
     return first.groupBy("id_person").agg(F.count(F.lit(1)).alias("n_parties"), F.array_join(sequence, ">").alias("parties")).filter("n_parties > 1")
 
 
 def majority_party_rows(df: DataFrame) -> DataFrame:
-    """Rows of an author's most frequent party; ties by the later last date, then the greater name."""
-    counts = df.groupBy("id_person", "party").agg(F.count(F.lit(1)).alias("n"), F.max("date").alias("last"))
-    place = F.row_number().over(Window.partitionBy("id_person").orderBy(F.desc("n"), F.desc("last"), F.desc("party")))
-    main = counts.withColumn("place", place).filter("place = 1").select("id_person", F.col("party").alias("_main"))
-    return df.join(main, "id_person").filter(F.col("party").eqNullSafe(F.col("_main"))).drop("_main")
+    """Of authors with several parties the rows of the most frequent one; ties by the later last date, then the greater name.
+
+    Other authors keep all rows; placeholders of none are no party.
+    """
+    counts = df.select("id_person", when_blank(F.col("party")).alias("_main"), "date").filter("_main is not null").groupBy("id_person", "_main").agg(F.count(F.lit(1)).alias("n"), F.max("date").alias("last"))
+    mine = Window.partitionBy("id_person")
+    place = F.row_number().over(mine.orderBy(F.desc("n"), F.desc("last"), F.desc("_main")))
+    main = counts.select("id_person", "_main", place.alias("place"), F.count(F.lit(1)).over(mine).alias("parties")).filter("place = 1 and parties > 1").select("id_person", "_main")
+    joined = df.join(main, "id_person", "left")
+    return joined.filter(F.col("_main").isNull() | when_blank(F.col("party")).eqNullSafe(F.col("_main"))).drop("_main")
 
 
 def majority_language_rows(df: DataFrame, tie_break: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from scrivena.functions import text as tx
 from scrivena.operators.evaluation import ratio, rounded
 
+MOST_BROADCAST = 200_000  # terms: some 15 MB
 TEXT_COUNTS = ["n_tokens", "n_sentences", "n_long", "n_chars", "mean_token_length", "lix", "rix"]
 
 
@@ -127,23 +128,36 @@ def with_char_grams(texts: DataFrame, low: int, high: int) -> DataFrame:
     return texts.select("id", "role", letters.alias("items")).select("id", "role", _runs(F.col("items"), low, high, "").alias("grams"))
 
 
-def tfidf(documents: DataFrame, min_df: int, most: int, role: str = "role") -> DataFrame:
-    """id, term, weight of documents (id, role, grams): tf * (ln((1 + n) / (1 + df)) + 1), each row of length 1; terms and df are those of the train rows.
+def vocabulary(documents: DataFrame, min_df: int, most: int) -> DataFrame:
+    """term, idf of documents (grams): the ``most`` most frequent of the terms that ``min_df`` rows have, ties by term; idf is ln((1 + n) / (1 + df)) + 1.
+
+    Both sums are combined before the shuffle, so what is shuffled is at most the different terms of each task.
+    """
+    each = documents.select(F.explode("grams").alias("term"), F.lit(1).alias("total"), F.lit(0).alias("df"))
+    once = documents.select(F.explode(F.array_distinct("grams")).alias("term"), F.lit(0).alias("total"), F.lit(1).alias("df"))
+    terms = each.unionByName(once).groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df")).filter(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(most)
+    n = documents.agg(F.count(F.lit(1)).alias("n"))
+    return terms.crossJoin(F.broadcast(n)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))  # n: one row
+
 
-    Terms in fewer than ``min_df`` train rows are left out; of the others the ``most`` most frequent stay,
-    ties by term.  Counting is one grouping by (id, term); the terms that stay are a bounded table.
+def tfidf_weights(documents: DataFrame, terms: DataFrame, most: int) -> DataFrame:
+    """id, term, weight of documents (id, grams) by the terms and idf of a vocabulary, of these or of other documents: each row of length 1.
+
+    A vocabulary of at most ``MOST_BROADCAST`` terms is broadcast, so only what it has of each document is shuffled.
     """
-    counts = documents.select("id", role, F.explode("grams").alias("term")).groupBy("id", role, "term").agg(F.count(F.lit(1)).alias("tf"))
-    train = counts.filter(F.col(role) == "train")
-    terms = train.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(most)
-    n = documents.filter(F.col(role) == "train").agg(F.count(F.lit(1)).alias("n"))
-    idf = F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0
-    weights = terms.crossJoin(F.broadcast(n)).select("term", idf.alias("idf"))  # n: one row
-    raw = counts.join(weights, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    if most <= MOST_BROADCAST:
+        terms = F.broadcast(terms)
+    counts = documents.select("id", F.explode("grams").alias("term")).join(terms, "term").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
+    raw = counts.select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return raw.select("id", "term", rounded(F.col("w") / norm, 6).alias("weight"))
 
 
+def tfidf(documents: DataFrame, min_df: int, most: int, role: str = "role") -> DataFrame:
+    """id, term, weight of documents (id, role, grams); terms and their idf are those of the train rows."""
+    return tfidf_weights(documents, vocabulary(documents.filter(F.col(role) == "train"), min_df, most), most)
+
+
 def block_normalised(long: DataFrame, block_weights: dict[str, float]) -> DataFrame:
     """id, block, feature, value: each block of a row made length 1 and weighted, then the whole row made length 1."""
     pairs = [F.lit(x) for k, v in block_weights.items() for x in (k, float(v))]

@@ -12,7 +12,7 @@ from scrivena.sources.tables import table
 from scrivena.sources.views import with_views
 
 RAW = """, raw as (
-  select id_speech, id_person, date, time, word_count, language, case when id_speech % 4 = 0 then (select min(party) from speech) else party end as party,
+  select id_speech, id_person, date, time, word_count, language, case when id_speech % 4 = 0 then (select min(party) from speech) when id_speech % 23 = 1 then '  ' when id_speech % 23 = 2 then ' NaN' when id_speech % 23 = 3 then null when id_speech % 23 = 5 then ' ' || party || ' ' else party end as party,
          case id_speech % 17 when 0 then '2021-02-30' when 1 then '01.02.1999' else date::varchar end as date_text,
          case id_speech % 13 when 0 then 'Valget ' || election when 1 then 'unknown' else election::varchar end as election_text,
          case id_speech % 11 when 0 then ' President ' when 1 then null else 'member' end as status, case id_speech % 19 when 0 then 'yes' when 1 then ' ' end as procedural,
@@ -23,13 +23,13 @@ RAW = """, raw as (
 
 
 def raw(spark, d):
-    """Speeches with faults: invalid dates, elections in words, missing values, changed parties."""
+    """Speeches with faults: invalid dates, elections in words, missing values, changed, blank and padded parties."""
     s = views.speech(spark, d)
     i = F.col("id_speech")
     first = s.agg(F.min("party").alias("_first"))
     return s.crossJoin(F.broadcast(first)).select(  # first: one row
         "id_speech", "id_person", "date", "time", "word_count", "language",
-        F.when(i % 4 == 0, F.col("_first")).otherwise(F.col("party")).alias("party"),
+        F.when(i % 4 == 0, F.col("_first")).when(i % 23 == 1, "  ").when(i % 23 == 2, " NaN").when(i % 23 == 3, None).when(i % 23 == 5, F.concat(F.lit(" "), "party", F.lit(" "))).otherwise(F.col("party")).alias("party"),
         F.when(i % 17 == 0, "2021-02-30").when(i % 17 == 1, "01.02.1999").otherwise(F.col("date").cast("string")).alias("date_text"),
         F.when(i % 13 == 0, F.concat(F.lit("Valget "), "election")).when(i % 13 == 1, "unknown").otherwise(F.col("election").cast("string")).alias("election_text"),
         F.when(i % 11 == 0, " President ").when(i % 11 == 1, None).otherwise("member").alias("status"),
@@ -81,33 +81,37 @@ def fill_partyname(spark, d):
     return cl.with_party_names(raw(spark, d)).select("id_speech", "partyname")
 
 
-@query("party_shares", with_views("speech", RAW + " select party, sum(word_count)::bigint as words, round(100.0::double * sum(word_count) / sum(sum(word_count)) over ()::double, 6) as percent from raw group by party"))
+CODED = ", coded as (select * replace (trim(party) as party) from raw where lower(trim(party)) not in ('', 'nan', 'none', '<na>'))"
+
+
+@query("party_shares", with_views("speech", RAW + CODED + " select party, sum(word_count)::bigint as words, round(100.0::double * sum(word_count) / sum(sum(word_count)) over ()::double, 6) as percent from coded group by party"))
 def party_shares(spark, d):
     return cl.party_shares(raw(spark, d))
 
 
-SMALL = ", sm as (select language, party from raw group by language, party qualify round(100.0::double * sum(word_count) / sum(sum(word_count)) over (partition by language)::double, 6) < 17)"
+SMALL = CODED + ", sm as (select language, party from coded group by language, party qualify round(100.0::double * sum(word_count) / sum(sum(word_count)) over (partition by language)::double, 6) < 17)"
 
 
-@query("small_party_filter", with_views("speech", RAW + ", al as (select party from raw group by party qualify round(100.0::double * sum(word_count) / sum(sum(word_count)) over ()::double, 6) < 17) select id_speech from raw where party not in (select party from al)"))
+@query("small_party_filter", with_views("speech", RAW + CODED + ", al as (select party from coded group by party qualify round(100.0::double * sum(word_count) / sum(sum(word_count)) over ()::double, 6) < 17) select id_speech from raw where coalesce(trim(party), '') not in (select party from al)"))
 def small_party_filter(spark, d):
     return cl.without_small_parties(raw(spark, d), 17).select("id_speech")
 
 
-@query("small_party_by_language", with_views("speech", RAW + SMALL + " select id_speech from raw where language in ('ASIA', 'EUROPE') and (language, party) not in (select (language, party) from sm)"))
+@query("small_party_by_language", with_views("speech", RAW + SMALL + " select id_speech from raw where language in ('ASIA', 'EUROPE') and (language, coalesce(trim(party), '')) not in (select (language, party) from sm)"))
 def small_party_by_language(spark, d):
     return cl.without_small_parties_by_language(raw(spark, d), 17, ["ASIA", "EUROPE"]).select("id_speech")
 
 
-@query("party_switchers", with_views("speech", RAW + """, f as (select id_person, party, min((date, time, id_speech)) as since from raw group by all)
+@query("party_switchers", with_views("speech", RAW + CODED + """, f as (select id_person, party, min((date, time, id_speech)) as since from coded group by all)
 select id_person, count(*) as n_parties, string_agg(party, '>' order by since) as parties from f group by id_person having count(*) > 1"""))
 def party_switchers(spark, d):
     return cl.party_switchers(raw(spark, d))
 
 
-@query("majority_party", with_views("speech", RAW + """, m as (
-  select id_person, party from raw group by id_person, party qualify row_number() over (partition by id_person order by count(*) desc, max(date) desc, party desc) = 1
-) select id_speech from raw join m using (id_person, party)"""))
+@query("majority_party", with_views("speech", RAW + CODED + """, m as (
+  select id_person, party as main from coded group by id_person, party
+  qualify row_number() over (partition by id_person order by count(*) desc, max(date) desc, party desc) = 1 and count(*) over (partition by id_person) > 1
+) select id_speech from raw left join m using (id_person) where main is null or trim(party) = main"""))
 def majority_party(spark, d):
     return cl.majority_party_rows(raw(spark, d)).select("id_speech")
 

@@ -117,21 +117,24 @@ PLAIN = "regexp_replace(lower(coalesce(text, '')), '[\\s\\x0B]+', ' ', 'g')"
 LONG_WORDS = f"list_filter({TOKENS}, lambda x: length(x) > 1)"
 
 
-def pairs_sql(between: str) -> str:
-    return f"list_transform(list_zip(w[:-2], w[2:]), lambda x: x[1] || '{between}' || x[2])"
+def runs_sql(low: int, high: int, between: str) -> str:
+    """Runs of low to high neighbouring items of the list w."""
+    found = []
+    for n in range(low, high + 1):
+        parts = ", ".join(f"w[{k + 1}:{k - n}]" if k < n - 1 else f"w[{k + 1}:]" for k in range(n))
+        joined = f" || '{between}' || ".join(f"x[{k + 1}]" for k in range(n))
+        found.append("w" if n == 1 else f"list_transform(list_zip({parts}), lambda x: {joined})")
+    return f"list_concat({', '.join(found)})"
 
 
-@query("tfidf_word", tfidf_sql(f"list_concat(w, {pairs_sql(' ')})", LONG_WORDS, 5, 1000))
+@query("tfidf_word", tfidf_sql(runs_sql(1, 3, " "), LONG_WORDS, 5, 100_000))
 def tfidf_word(spark, d):
-    return ft.tfidf(ft.with_word_grams(texts(spark, d), 1, 2), 5, 1000)
+    return ft.tfidf(ft.with_word_grams(texts(spark, d), 1, 3), 5, 100_000)
 
 
-TRIPLES = "list_transform(list_zip(w[:-3], w[2:-2], w[3:]), lambda x: x[1] || x[2] || x[3])"
-
-
-@query("tfidf_char", tfidf_sql(f"list_concat({pairs_sql('')}, {TRIPLES})", f"string_split({PLAIN}, '')", 5, 500))
+@query("tfidf_char", tfidf_sql(runs_sql(2, 5, ""), f"string_split({PLAIN}, '')", 5, 100_000))
 def tfidf_char(spark, d):
-    return ft.tfidf(ft.with_char_grams(texts(spark, d), 2, 3), 5, 500)
+    return ft.tfidf(ft.with_char_grams(texts(spark, d), 2, 5), 5, 100_000)
 
 
 BLOCK = "case when feature like 'n\\_%' escape '\\' then 'counts' else 'style' end"
