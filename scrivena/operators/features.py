@@ -7,6 +7,9 @@ there are.
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,38 +107,51 @@ def standard_scaled(long: DataFrame, key: str, role: str = "role") -> DataFrame:
     return long.join(F.broadcast(fit), "feature").select(key, "feature", rounded((F.col("value") - F.col("m")) / F.col("sd"), 4).alias("z"))  # a row per feature
 
 
-def _runs(items: Column, low: int, high: int, between: str) -> Column:
-    """Runs of low to high neighbouring items, each length made of the one before it and the item that follows."""
-    run, found = items, [items] if low == 1 else []
-    for n in range(2, high + 1):
-        # The last items have none to follow: null, and taken out.
-        run = F.filter(F.zip_with(run, F.slice(items, F.lit(n), F.size(items)), lambda a, b: F.concat(a, F.lit(between), b)), lambda x: x.isNotNull())
-        if n >= low:
-            found.append(run)
-    return F.concat(*found)
+def _runs(items: Column, low: int, high: int, between: str, counted: bool) -> Column:
+    """Runs of low to high neighbouring items of a list or characters of a text; if ``counted`` the different ones with their number.
 
+    Built-in functions would interpret a lambda for every run, so this is an Arrow function.
+    """
 
-def with_word_grams(texts: DataFrame, low: int, high: int) -> DataFrame:
-    """id, role, grams: runs of low to high words of at least two letters or digits, joined by spaces."""
+    def run(column: pa.Array) -> pa.Array:
+        terms, numbers, ends = [], [], [0]
+        for own in column.to_pylist():
+            found = []
+            for n in range(low, high + 1):
+                cut = (own[k : k + n] for k in range(len(own) - n + 1))
+                found += cut if isinstance(own, str) else map(between.join, cut)
+            if counted:
+                found = Counter(found)
+                numbers += found.values()
+            terms += found
+            ends.append(len(terms))
+        values = pa.array(terms, pa.string())
+        if counted:
+            values = pa.StructArray.from_arrays([values, pa.array(numbers, pa.int32())], ["term", "tf"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+    return F.arrow_udf(run, "array<struct<term: string, tf: int>>" if counted else "array<string>")(items)
+
+
+def with_word_grams(texts: DataFrame, low: int, high: int, counted: bool = False) -> DataFrame:
+    """id, role, grams: runs of low to high words of at least two letters or digits, joined by spaces; (term, tf) if ``counted``."""
     words = F.filter(tx.tokens(F.col("text")), lambda w: F.length(w) > 1)
-    return texts.select("id", "role", words.alias("items")).select("id", "role", _runs(F.col("items"), low, high, " ").alias("grams"))
+    return texts.select("id", "role", _runs(words, low, high, " ", counted).alias("grams"))
 
 
-def with_char_grams(texts: DataFrame, low: int, high: int) -> DataFrame:
-    """id, role, grams: runs of low to high characters of the lower-cased text with white space as single spaces."""
+def with_char_grams(texts: DataFrame, low: int, high: int, counted: bool = False) -> DataFrame:
+    """id, role, grams: runs of low to high characters of the lower-cased text with white space as single spaces; (term, tf) if ``counted``."""
     plain = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[\s\x0B]+", " ")
-    letters = F.filter(F.split(plain, ""), lambda c: c != "")
-    return texts.select("id", "role", letters.alias("items")).select("id", "role", _runs(F.col("items"), low, high, "").alias("grams"))
+    return texts.select("id", "role", _runs(plain, low, high, "", counted).alias("grams"))
 
 
 def vocabulary(documents: DataFrame, min_df: int, most: int) -> DataFrame:
-    """term, idf of documents (grams): the ``most`` most frequent of the terms that ``min_df`` rows have, ties by term; idf is ln((1 + n) / (1 + df)) + 1.
+    """term, idf of documents (grams: terms with their tf): the ``most`` most frequent of the terms that ``min_df`` rows have, ties by term.
 
-    Both sums are combined before the shuffle, so what is shuffled is at most the different terms of each task.
+    idf is ln((1 + n) / (1 + df)) + 1.  Sums are combined before the shuffle: at most the different terms of each task are shuffled.
     """
-    each = documents.select(F.explode("grams").alias("term"), F.lit(1).alias("total"), F.lit(0).alias("df"))
-    once = documents.select(F.explode(F.array_distinct("grams")).alias("term"), F.lit(0).alias("total"), F.lit(1).alias("df"))
-    terms = each.unionByName(once).groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df")).filter(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(most)
+    each = documents.select(F.explode("grams").alias("g")).select("g.term", "g.tf")
+    terms = each.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(most)
     n = documents.agg(F.count(F.lit(1)).alias("n"))
     return terms.crossJoin(F.broadcast(n)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))  # n: one row
 
@@ -147,14 +163,14 @@ def tfidf_weights(documents: DataFrame, terms: DataFrame, most: int) -> DataFram
     """
     if most <= MOST_BROADCAST:
         terms = F.broadcast(terms)
-    counts = documents.select("id", F.explode("grams").alias("term")).join(terms, "term").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
+    counts = documents.select("id", F.explode("grams").alias("g")).select("id", "g.term", "g.tf").join(terms, "term")
     raw = counts.select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return raw.select("id", "term", rounded(F.col("w") / norm, 6).alias("weight"))
 
 
 def tfidf(documents: DataFrame, min_df: int, most: int, role: str = "role") -> DataFrame:
-    """id, term, weight of documents (id, role, grams); terms and their idf are those of the train rows."""
+    """id, term, weight of documents (id, role, counted grams); terms and their idf are those of the train rows."""
     return tfidf_weights(documents, vocabulary(documents.filter(F.col(role) == "train"), min_df, most), most)
 
 

@@ -1,6 +1,7 @@
 """Operators on small tables, against literal restatements of their rules."""
 
 import datetime
+import math
 import random
 import re
 
@@ -186,6 +187,17 @@ def test_ids_and_bins(spark):
     assert text_result(spark, lambda c: tx.age_bin(c.cast("int"), [0, 30, 200]), "0", "29", "30", "200", None) == ["0-29", "0-29", "30-199", "unknown", "unknown"]
 
 
+def test_vocabulary_is_applied_to_other_texts(spark):
+    texts = spark.createDataFrame([(1, "train", "aa bb aa"), (2, "train", "bb cc"), (3, "eval", "aa dd dd"), (4, "eval", None), (5, "eval", "dd")], "id long, role string, text string")
+    grams = ft.with_word_grams(texts, 1, 2, counted=True)
+    terms = ft.vocabulary(grams.filter("role = 'train'"), 1, 3)
+    idf = {r.term: r.idf for r in terms.collect()}
+    assert idf.keys() == {"aa", "bb", "aa bb"} and idf["bb"] == pytest.approx(1.0) and idf["aa"] == pytest.approx(math.log(3 / 2) + 1)
+    assert {(r.id, r.term, r.weight) for r in ft.tfidf_weights(grams.filter("role = 'eval'"), terms, 3).collect()} == {(3, "aa", 1.0)}
+    both = [{tuple(r) for r in ft.tfidf_weights(grams, terms, most).collect()} for most in (3, ft.MOST_BROADCAST + 1)]
+    assert both[0] == both[1]
+
+
 def test_grams(spark):
     df = spark.createDataFrame([(1, "train", "Ab cd, e fg"), (2, "train", "ab"), (3, "train", None)], "id long, role string, text string")
     assert {r.id: r.grams for r in ft.with_word_grams(df, 1, 3).collect()} == {1: ["ab", "cd", "fg", "ab cd", "cd fg", "ab cd fg"], 2: ["ab"], 3: []}
