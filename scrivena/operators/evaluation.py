@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scrivena.plans.staging import stage
+
 ROUND = 9  # places that sums of fractions keep, so that the order of addition can't show
 
 
@@ -123,22 +125,58 @@ def topk_rescue(ranked: DataFrame, k: int, by: list[str] | None = None) -> DataF
     return sums.select(*by, "k", "n", "n_correct", ratio(F.col("n_correct"), F.col("n")).alias("accuracy"), "rescued", (F.col("n") - F.col("n_correct")).alias("remaining"))
 
 
+def exact_quantiles(rows: DataFrame, by: list[str], value: str, points: dict[str, float]) -> DataFrame:
+    """by..., and for each name in ``points`` the interpolated quantile of the values; null values are left out.
+
+    Exact, and no group is gathered: equal values become one row with their count, these rows are dealt in order
+    over partitions, and the rank of a value is what earlier partitions and earlier values of its own sum up to.
+    The table written between keeps partition numbers fixed when tasks are repeated.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = stage(counts.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()), "quantiles")
+    sums = dealt.groupBy(*by, "_part").agg(F.sum("_n").alias("_m"))
+    group = Window.partitionBy(*by)  # one row for each partition
+    before = F.sum("_m").over(group.orderBy("_part")) - F.col("_m")
+    offsets = sums.select(*(F.col(b).alias(f"_by_{b}") for b in by), F.col("_part").alias("_by__part"), before.alias("_before"), F.sum("_m").over(group).alias("_all"))
+    placed = dealt.join(offsets, _same([*by, "_part"]))
+    end = F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_part").orderBy("_v"))
+    ranked = placed.withColumn("_end", end)
+    at = {name: (F.col("_all") - 1) * p for name, p in points.items()}
+    covers = lambda rank: (F.col("_end") - F.col("_n") <= rank) & (rank < F.col("_end"))
+    found = ranked.groupBy(*by).agg(
+        *(F.max(F.when(covers(F.floor(a)), F.col("_v"))).alias(f"_low_{name}") for name, a in at.items()),
+        *(F.max(F.when(covers(F.ceil(a)), F.col("_v"))).alias(f"_high_{name}") for name, a in at.items()),
+        *(F.max(a - F.floor(a)).alias(f"_part_{name}") for name, a in at.items()),
+    )
+    between = lambda name: F.col(f"_low_{name}") * (1 - F.col(f"_part_{name}")) + F.col(f"_high_{name}") * F.col(f"_part_{name}")
+    return found.select(*by, *(between(name).alias(name) for name in points))
+
+
+def _same(by: list[str]) -> Column:
+    """Equal keys, nulls too, where the other side's are named with ``_by_`` in front."""
+    out = F.lit(True)
+    for b in by:
+        out = out & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    return out
+
+
+def quartiles(sums: DataFrame, rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Adds median_, p25_ and p75_ of the values to the sums of each group."""
+    points = {f"median_{name}": 0.5, f"p25_{name}": 0.25, f"p75_{name}": 0.75}
+    found = exact_quantiles(rows, by, value, points)
+    other = found.select(*(F.col(b).alias(f"_by_{b}") for b in by), *(rounded(F.col(p)).alias(p) for p in points))
+    return sums.join(other, _same(by), "left").select(*sums.columns, *points)
+
+
 def score_margins(ranked: DataFrame, by: list[Column]) -> DataFrame:
-    """by..., n, mean, median, p25, p75, min, max of the distance between the two best scores."""
+    """by..., n, mean, min, max, median, p25, p75 of the distance between the two best scores."""
     margin = F.col("top")[0]["score"] - F.col("top")[1]["score"]
-    return (
-        ranked.withColumn("m", margin)
-        .groupBy(*by)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            rounded(F.avg("m")).alias("mean_margin"),
-            rounded(F.percentile("m", F.lit(0.5))).alias("median_margin"),
-            rounded(F.percentile("m", F.lit(0.25))).alias("p25_margin"),
-            rounded(F.percentile("m", F.lit(0.75))).alias("p75_margin"),
-            rounded(F.min("m")).alias("min_margin"),
-            rounded(F.max("m")).alias("max_margin"),
-        )
+    rows = ranked.select(*by, margin.alias("_m"))
+    names = rows.columns[:-1]
+    sums = rows.groupBy(*names).agg(
+        F.count(F.lit(1)).alias("n"), rounded(F.avg("_m")).alias("mean_margin"), rounded(F.min("_m")).alias("min_margin"), rounded(F.max("_m")).alias("max_margin")
     )
+    return quartiles(sums, rows, names, "_m", "margin")
 
 
 # calibration, over p (array of class probabilities) and y_true (class index)
@@ -199,12 +237,28 @@ def target_decision(metrics: DataFrame, baseline: DataFrame, by: str, least_lift
 
 
 def mcnemar(a: DataFrame, b: DataFrame, key: str = "id_speech") -> DataFrame:
-    """n, both, only_a, only_b, neither, chi2, chi2_corrected, significance of two systems on the same rows."""
-    joined = a.select(key, F.col("correct").alias("x")).join(b.select(key, F.col("correct").alias("y")), key)
-    x, y = F.col("x"), F.col("y")
-    sums = joined.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only_a"), F.count_if(~x & y).alias("only_b"), F.count_if(~x & ~y).alias("neither")
-    )
+    """n, both, only_a, only_b, neither, chi2, chi2_corrected, significance of two systems on the same rows.
+
+    Both must have each key once and, where both have y_true, agree on it; else reading the result fails.
+    """
+    label = F.col("y_true").cast("string") if "y_true" in a.columns and "y_true" in b.columns else F.lit("")
+    side = lambda df, mine: df.select(key, F.lit(mine).alias("_mine"), "correct", label.alias("_label"))
+    mine = F.col("_mine")
+    rows = side(a, True).unionByName(side(b, False)).groupBy(key).agg(
+        F.count_if(mine).alias("_n_a"),
+        F.count_if(~mine).alias("_n_b"),
+        F.max(F.when(mine, F.col("correct"))).alias("_x"),
+        F.max(F.when(~mine, F.col("correct"))).alias("_y"),
+        (F.count("_label").isin(0, 2) & F.min("_label").eqNullSafe(F.max("_label"))).alias("_agree"),
+    )
+    x, y = F.col("_x"), F.col("_y")
+    sums = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only_a"), F.count_if(~x & y).alias("only_b"), F.count_if(~x & ~y).alias("neither"),
+        F.count_if((F.col("_n_a") != 1) | (F.col("_n_b") != 1)).alias("_unpaired"), F.count_if(~F.col("_agree")).alias("_apart"),
+    )
+    paired = F.assert_true(F.col("_unpaired") == 0, "both systems must have each key once").isNull()
+    agreed = F.assert_true(F.col("_apart") == 0, "the systems' true labels differ").isNull()
+    sums = sums.filter(paired & agreed).drop("_unpaired", "_apart")
     apart = F.abs(F.col("only_a") - F.col("only_b"))
     chi2 = ratio(apart * apart, F.col("only_a") + F.col("only_b"))
     corrected = ratio((apart - 1) * (apart - 1), F.col("only_a") + F.col("only_b"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivena.operators.evaluation import ratio, rounded
+from scrivena.operators.evaluation import quartiles, ratio, rounded
 
 
 def author_rankings(metrics: DataFrame) -> DataFrame:
@@ -123,14 +123,9 @@ def joint_errors(attribution: DataFrame, profile: DataFrame, n: int, key: str =
 
 def confidence_by_correctness(rows: DataFrame, by: list[str]) -> DataFrame:
     """by..., correct, n, share, mean, median, p25, p75 of confidence."""
-    sums = rows.groupBy(*by, "correct").agg(
-        F.count(F.lit(1)).alias("n"),
-        rounded(F.avg("confidence")).alias("mean_confidence"),
-        rounded(F.percentile("confidence", F.lit(0.5))).alias("median_confidence"),
-        rounded(F.percentile("confidence", F.lit(0.25))).alias("p25_confidence"),
-        rounded(F.percentile("confidence", F.lit(0.75))).alias("p75_confidence"),
-    )
-    return sums.withColumn("share", ratio(F.col("n"), F.sum("n").over(Window.partitionBy(*by))))
+    sums = rows.groupBy(*by, "correct").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("confidence")).alias("mean_confidence"))
+    with_share = sums.withColumn("share", ratio(F.col("n"), F.sum("n").over(Window.partitionBy(*by))))
+    return quartiles(with_share, rows, [*by, "correct"], "confidence", "confidence")
 
 
 def profile_confusions(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,26 @@ def test_mcnemar_values(spark):
     assert (r.only_a, r.only_b, r.chi2, r.chi2_corrected, r.significance) == (4, 0, 4.0, 2.25, "p<0.05")
 
 
+@pytest.mark.parametrize("other", [[(1, True, "a"), (1, True, "a")], [(1, True, "a")], [(1, True, "a"), (2, True, "c")], [(1, True, "a"), (2, True, None)]])
+def test_mcnemar_refuses_other_rows(spark, other):
+    schema = "id_speech long, correct boolean, y_true string"
+    with pytest.raises(Exception, match="each key once|labels differ"):
+        ev.mcnemar(spark.createDataFrame([(1, True, "a"), (2, False, "b")], schema), spark.createDataFrame(other, schema)).collect()
+
+
+def test_exact_quantiles_against_numpy(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 0.0, 0.5, rng.random()])) for _ in range(500)] + [("one", 2.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(7)
+    found = {r.g: (r.q0, r.q1, r.q2) for r in ev.exact_quantiles(df, ["g"], "x", {"q0": 0.0, "q1": 0.3, "q2": 0.975}).collect()}
+    groups = {g: [x for h, x in rows if h == g and x is not None] for g in {g for g, _ in rows} - {"none"}}
+    assert found.keys() == groups.keys()
+    assert all(np.allclose(found[g], np.quantile(xs, [0, 0.3, 0.975])) for g, xs in groups.items())
+    whole = ev.exact_quantiles(df, [], "x", {"q": 0.5}).first().q
+    assert np.isclose(whole, np.median([x for _, x in rows if x is not None]))
+    assert ev.exact_quantiles(df.limit(0), ["g"], "x", {"q": 0.5}).count() == 0
+
+
 def test_ranked_scores_put_the_higher_class_first(spark):
     df = spark.createDataFrame([(1, 2, 0, 0.5), (1, 2, 1, 0.5), (1, 2, 2, 0.1)], "id long, true_class int, class int, score double")
     assert [t["class"] for t in ev.ranked_scores(df, "id", 2).first().top] == [1, 0]
@@ -239,6 +260,19 @@ def test_label_counts_on_a_stream(spark, tmp_path):
     assert sorted(map(tuple, spark.table("label_counts_test").collect())) == sorted(map(tuple, rolling.label_counts(table).collect()))
 
 
+def test_timeline_of_a_stream_lets_months_go(spark, tmp_path):
+    """In append mode a month comes out once; an event is kept until its month is over and the lateness has passed."""
+    days = [(1, "2024-01-30"), (1, "2024-02-28"), (1, "2024-01-31"), (2, "2024-03-05"), (1, "2024-05-01"), (1, "2024-05-02")]
+    schema = "user_id long, ts timestamp"
+    for k, (user, day) in enumerate(days):
+        spark.createDataFrame([(user, datetime.datetime.fromisoformat(day))], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+        stream = rolling.author_timeline(spark.readStream.schema(schema).parquet(f"{tmp_path}/events"))
+        run = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination(60)
+    found = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
+    assert found == [(1, "2024-01-01 00:00:00", 2), (1, "2024-02-01 00:00:00", 1), (2, "2024-03-01 00:00:00", 1)]
+
+
 def test_models_learn_languages(spark):
     rng = random.Random(5)
     heads = {"aa": "th er ing", "bb": "sch ung ei"}
