@@ -40,7 +40,25 @@ def redaction_pattern(values: list[str]) -> str:
     """One pattern for all values, longest first; the first letter in the case given, the rest in any; whole words only."""
     different = sorted({v.strip() for v in values if v and len(v.strip()) >= 2}, key=lambda v: (-len(v), v))
     parts = [re.escape(v[0]) + "(?iu:" + re.sub(r"\\?\s+", r"\\s+", re.escape(v[1:])) + ")" for v in different]
-    return r"(?U)(?<![\w>])(?:" + "|".join(parts) + r")(?:'?s)?(?![\w<])"
+    return r"(?U)(?<![\w>])(?:" + "|".join(parts) + r")(?:['’]?s)?(?![\w<])"
+
+
+def fragment(value: Column) -> Column:
+    """The part of ``redaction_pattern`` for one value."""
+    escape = lambda c: F.regexp_replace(c, r"([^\p{L}\p{N}\s])", r"\\$1")
+    rest = F.regexp_replace(escape(F.substr(value, F.lit(2))), r"\s+", r"\\s+")
+    return F.concat(escape(F.substring(value, 1, 1)), F.lit("(?iu:"), rest, F.lit(")"))
+
+
+def whole_words(fragments: Column) -> Column:
+    """The pattern of an array of fragments: whole words, with or without a possessive ending."""
+    return F.concat(F.lit(r"(?U)(?<![\w>])(?:"), F.array_join(fragments, "|"), F.lit(r")(?:['’]?s)?(?![\w<])"))
+
+
+def folded_words(text: Column) -> Column:
+    """Different words without regard to case, for a search by words: what (?iu) takes as equal is equal here."""
+    plain = F.replace(F.lower(F.upper(F.lower(text))), F.lit("\u0307"), F.lit(""))
+    return F.array_distinct(F.regexp_extract_all(plain, F.lit(r"((?U)\w+)"), F.lit(1)))
 
 
 def redacted(text: Column, values: list[str], replacement: str) -> Column:

@@ -7,10 +7,15 @@ rewrites fewer texts.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from scrivena.functions import text as tx
 
 Stage = tuple[str, Callable[[DataFrame], DataFrame]]
 
@@ -181,6 +186,60 @@ def threshold_report(df: DataFrame, column: str, threshold: int) -> DataFrame:
     )
 
 
+# redaction by a table of values
+
+
+@F.pandas_udf(StringType())
+def _nfkc(values: pd.Series) -> pd.Series:
+    """Spark has no function for this normal form; it is applied to different candidates only, not to texts."""
+    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+
+
+def candidates(values: DataFrame) -> DataFrame:
+    """value: different values of the first column in normal form, white space as single spaces; empty ones are left out."""
+    different = values.toDF("value").filter("value is not null").distinct()
+    plain = F.regexp_replace(F.regexp_replace(_nfkc("value"), "[\u00ad\u200b\u200c\u200d\ufeff]", ""), r"[\s\x0B\u00a0\u202f]+", " ")
+    return different.select(F.trim(plain).alias("value")).filter("value <> ''").distinct()
+
+
+def name_candidates(df: DataFrame, columns: list[str], least_part: int = 2) -> DataFrame:
+    """value: the names in the columns that ``df`` has, and their parts of ``least_part`` letters or more."""
+    present = [F.col(c).cast("string") for c in columns if c in df.columns]
+    names = candidates(df.select(F.explode(F.array(*present) if present else F.array().cast("array<string>"))))
+    parts = names.select(F.explode(F.split("value", " ")).alias("value")).filter(F.length("value") >= least_part)
+    return names.unionByName(parts).distinct()
+
+
+def party_candidates(df: DataFrame, aliases: dict[str, list[str]], codes: list[str]) -> DataFrame:
+    """value: party names, those codes that are listed, and what codes stand for (aliases by lower-case code)."""
+    code = F.trim("party")
+    known = F.array(*(F.struct(F.lit(c.lower()).alias("code"), F.array(*map(F.lit, names)).alias("names")) for c, names in aliases.items()))
+    named = F.flatten(F.transform(F.filter(known, lambda a: a["code"] == F.lower(code)), lambda a: a["names"])) if aliases else F.array().cast("array<string>")
+    listed = F.when(code.isin(codes), code)
+    return candidates(df.select("party", "partyname").distinct().select(F.explode(F.concat(F.array("partyname", listed), F.coalesce(named, F.array().cast("array<string>"))))))
+
+
+def redacted_by(df: DataFrame, values: DataFrame, replacement: str, key: str, column: str = "text") -> DataFrame:
+    """``df`` with values replaced in a column, and n, the replacements; any number of values.
+
+    Words of the texts are joined with the first words of the values, so a text is searched for the values that
+    can be in it and no pattern of all values is made.  A null text stays null, with n 0; rows that repeat a key are searched
+    for each other's values too, which changes nothing.  A column n is replaced.
+    """
+    first = F.coalesce(F.get(tx.folded_words(F.col("value")), F.lit(0)), F.lit(""))
+    wanted = values.select(F.trim("value").alias("value")).filter(F.length("value") >= 2).distinct().select(first.alias("_word"), F.struct((-F.length("value")).alias("size"), F.col("value"), tx.fragment(F.col("value")).alias("fragment")).alias("_value"))
+    words = tx.folded_words(F.col(column))
+    stems = F.transform(F.filter(words, lambda w: w.endswith("s")), lambda w: F.substring(w, 1, F.length(w) - 1))
+    mine = df.filter(F.col(column).isNotNull()).select(F.col(key).alias("_key"), F.explode(F.array_distinct(F.concat(words, stems, F.array(F.lit(""))))).alias("_word"))
+    found = mine.join(wanted, "_word").groupBy("_key").agg(F.array_sort(F.collect_set("_value")).alias("_values"))
+    patterns = found.select("_key", tx.whole_words(F.transform("_values", lambda v: v["fragment"])).alias("_pattern"))
+    joined = df.join(patterns, F.col(key).eqNullSafe(F.col("_key")), "left")
+    text, pattern = F.col(column), F.col("_pattern")
+    hits = F.coalesce(F.regexp_count(text, pattern), F.lit(0))
+    replaced = F.when(pattern.isNotNull(), F.regexp_replace(text, pattern, F.lit(replacement))).otherwise(text)
+    return joined.withColumns({"n": hits, column: replaced}).select(*(c for c in df.columns if c != "n"), "n")
+
+
 def when_blank(column: Column) -> Column:
     """Trimmed party codes; blanks and the words that stand for none as null."""
     text = F.trim(column)

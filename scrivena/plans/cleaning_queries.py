@@ -217,10 +217,27 @@ def punct_spacing(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.spaced_punctuation(F.col("text")).alias("text"))
 
 
+NAME_VALUES = """, v as (select distinct trim(regexp_replace(x, '\\s+', ' ', 'g')) as value from (select name as x from speech union all select partyname from speech) where x is not null)
+select value from v where value <> '' union select p from (select unnest(string_split(value, ' ')) as p from v) where length(p) >= 2"""
+
+
+@query("name_candidates", with_views("speech", NAME_VALUES))
+def name_candidates(spark, d):
+    return cl.name_candidates(views.speech(spark, d), ["name", "partyname", "name_original"])
+
+
+@query("party_candidates", with_views("speech", """ select partyname as value from speech union select party from speech where party in ('BUILDING', 'MACHINERY')
+union select unnest(['Home', 'House Wares']) from speech where lower(party) = 'household'"""))
+def party_candidates(spark, d):
+    return cl.party_candidates(views.speech(spark, d), {"household": ["Home", "House  Wares"], "none": ["Nothing"]}, ["BUILDING", "MACHINERY", "none"])
+
+
 @query("redact_names")
 def redact_names(spark, d):
-    names = ["The And", "Er", "Ciónue", "Ouwhea The", "Nicht Aulich"]
-    return table(spark, d, "documents").select("doc_id", tx.redacted(F.col("text"), names, "<NAME>").alias("x")).select("doc_id", "x.text", "x.n")
+    """Names are the first two words of the first document of each source, and their parts."""
+    docs = table(spark, d, "documents")
+    names = docs.groupBy("source").agg(F.min_by(F.regexp_extract("text", r"^\S+\s+\S+", 0), "doc_id").alias("name"))
+    return cl.redacted_by(docs.select("doc_id", "text"), cl.name_candidates(names, ["name"]), "<NAME>", "doc_id")
 
 
 @query("length_features", "select doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s\\x0B]+'), lambda x: x <> ''))::bigint as word_count, length(coalesce(text, ''))::bigint as char_count from documents")

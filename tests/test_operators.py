@@ -195,7 +195,7 @@ def test_spaces_after_punctuation(spark):
 def test_redaction_against_python(spark):
     names = ["Ås", "Kari Ås", "Ola", "Ma", "X", ""]
     texts = ["Kari Ås og Åse. kari ås, KARI ÅS's", "Olas ola OLA Ola-Ola", "<Ola> Ma.Ma Mat", None, "Kari  Ås"]
-    pattern = re.compile(r"(?<![\w>])(?:K(?i:ari\s+Ås)|O(?i:la)|M(?i:a)|Å(?i:s))(?:'?s)?(?![\w<])")
+    pattern = re.compile(r"(?<![\w>])(?:K(?i:ari\s+Ås)|O(?i:la)|M(?i:a)|Å(?i:s))(?:['’]?s)?(?![\w<])")
     found = text_result(spark, lambda c: tx.redacted(c, names, "#"), *texts)
     for text, r in zip(texts, found):
         if text is not None:
@@ -203,6 +203,25 @@ def test_redaction_against_python(spark):
     assert text_result(spark, lambda c: tx.redacted(c, [], "#"), "a")[0]["text"] == "a"
 
 
+def test_redaction_by_a_table_equals_one_pattern(spark):
+    rng = random.Random(7)
+    words = ["Ås", "ås", "ÅS's", "Kari", "kari", "Olas", "Ola’s", "O.", "-Berg", "x", "Straß", "STRASS", "Bo\u200bb", "<Ola>", "İda", "ida", "a|b", "Ole  Bo"]
+    names = ["Kari Ås", "Ola", "-Berg", "Straß", "O. Ås", "Bo\u200bb Ole", "İda", "a|b x", "--", None, " ", "Ole\u00a0Bo"]
+    values = cl.name_candidates(spark.createDataFrame([(n, n) for n in names], "name string, extra string"), ["name", "absent"])
+    plain = [r.value for r in values.collect()]
+    assert {"Kari Ås", "Ås", "Bob", "Bob Ole", "Ole Bo", "--", "O."} <= set(plain) and len(plain) == len(set(plain)) and "x" not in plain
+    texts = [(i % 90, " ".join(rng.choices(words, k=rng.randrange(0, 9))), 1) for i in range(100)] + [(None, "Kari -- Ås", 2), (5, None, 3), (6, "", 4)]
+    df = spark.createDataFrame(texts, "id long, text string, _word int")
+    found = sorted(map(str, cl.redacted_by(df, values, "<N>", "id").select("id", "text", "n", "_word").collect()))
+    one = tx.redacted(F.col("text"), plain, "<N>")
+    expected = df.select("id", one.alias("x"), "_word").select("id", "x.text", F.coalesce("x.n", F.lit(0)).alias("n"), "_word")
+    assert found == sorted(map(str, expected.collect())) and sum("<N>" in r for r in found) > 20
+    assert cl.redacted_by(df.limit(0), values, "<N>", "id").count() == 0
+    assert cl.redacted_by(df, values.limit(0), "<N>", "id").filter("n > 0").count() == 0
+    parties = spark.createDataFrame([(" Ap", None), ("H", "Høyre"), (None, None)], "party string, partyname string")
+    assert {r.value for r in cl.party_candidates(parties, {"ap": ["Arbeiderpartiet"], "x": ["No"]}, ["H"]).collect()} == {"Arbeiderpartiet", "H", "Høyre"}
+
+
 def test_ids_and_bins(spark):
     assert text_result(spark, tx.canonical_id, "12", "12.0", " 1e3", "x1", None, "12.5") == ["12", "12", "1000", "x1", "", "12.5"]
     assert text_result(spark, lambda c: tx.age_bin(c.cast("int"), [0, 30, 200]), "0", "29", "30", "200", None) == ["0-29", "0-29", "30-199", "unknown", "unknown"]
