@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivena.llm import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, license_scan, packing, quality, url_filter
+from scrivena.llm import chat_format, decontaminate, exact_dedup, filter_audit, html_extract, jaccard_join, language_id, license_scan, packing, quality, url_filter
 from scrivena.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,11 @@ def op9_license_scan(spark: SparkSession, data_dir: str) -> DataFrame:
 
 QUERIES["op9_license_scan"] = op9_license_scan
 ORACLE_SQL["op9_license_scan"] = license_scan.oracle_sql()
+
+
+def op13_filter_audit(spark: SparkSession, data_dir: str) -> DataFrame:
+    return filter_audit.audited(table(spark, data_dir, "documents"), table(spark, data_dir, "labels"))
+
+
+QUERIES["op13_filter_audit"] = op13_filter_audit
+ORACLE_SQL["op13_filter_audit"] = filter_audit.ORACLE_SQL

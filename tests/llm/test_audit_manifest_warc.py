@@ -1,0 +1,101 @@
+"""The filter audit, the Merkle manifest and the WARC source against plain versions."""
+
+import hashlib
+import itertools
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from scrivena.llm import filter_audit
+
+# filter audit
+
+AUDIT_SCHEMA = "doc_id long, source string, text string, mask string, part int, digest string"
+
+
+def masks_by_force(rows):
+    out = []
+    for doc_id, source, text in rows:
+        text = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        fails = set()
+        if len(words) < 200:
+            fails.add("A")
+        if 100 * len(set(words)) < 50 * len(words):
+            fails.add("B")
+        if 100 * sum("A" <= c <= "Z" for c in text) > 2 * len(text):
+            fails.add("C")
+        if set(text) & set("#$%&*|"):
+            fails.add("D")
+        if doc_id is not None and any(i is not None and i < doc_id and (t or "") == text for i, _, t in rows):
+            fails.add("E")
+        out.append((source or "", doc_id, fails))
+    return out
+
+
+def audit_by_force(rows, labels):
+    good = {i for i, q, _ in labels if q == 1} - {None}
+    toxic = {i for i, _, t in labels if t == 1} - {None}
+    docs, out = masks_by_force(rows), {}
+    for part in {p for p, _, _ in docs}:
+        own = [(i, fails) for p, i, fails in docs if p == part]
+        shapley = dict.fromkeys("ABCDE", 0)
+        for order in itertools.permutations("ABCDE"):
+            left = own
+            for k, f in enumerate(order):
+                gone, left = [d for d in left if f in d[1]], [d for d in left if f not in d[1]]
+                shapley[f] += len(gone)
+                failing = sum(f in fails for _, fails in own)
+                alone = sum(fails == {f} for _, fails in own)
+                out[part, "".join(order), k + 1] = [len(left), len(gone), failing - len(gone), alone, sum(i in good for i, _ in gone), sum(i in toxic for i, _ in gone)]
+        for (p, order, step), sums in out.items():
+            if p == part:
+                sums.append(shapley[order[step - 1]])
+    return out
+
+
+def audit_rows(rng):
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = ["", None, "  \t\x0b\x0c\r\n ", "x y z", "\x1c\x1d\x1f " * 300, "A" * 50, "é" * 400 + " A#", "ab " * 250, "ab " * 250]
+    for _ in range(40):
+        words = rng.sample(vocabulary, rng.randrange(150, 390)) if rng.random() < 0.6 else rng.choices(vocabulary[:60], k=rng.randrange(1, 300))
+        text = rng.choice([" ", "\n", "\t "]).join(words)
+        text += rng.choice(["", "", " $", " 5%"]) + rng.choice(["", "", " ABC" * 30])
+        texts += [text] * rng.choice([1, 1, 1, 3])
+    rows = [(i, rng.choice(["web", "web", "news", "", None]), t) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    return rows + [(None, "web", texts[-1]), (None, None, None), (5, "web", texts[5]), (5, "web", texts[5]), (5, "news", "other"), (-3, "late", texts[-1])]
+
+
+@pytest.mark.parametrize("long_bytes", [1 << 20, 100])
+def test_audit_matches_applying_every_order(spark, long_bytes):
+    rows = audit_rows(random.Random(3))
+    labels = [(i, i % 3 % 2, i % 5 == 0) for i in range(0, 60, 2)] + [(4, 1, False), (None, 1, True), (7, None, None)]
+    labels = [(i, q, None if t is None else int(t)) for i, q, t in labels]
+    docs = spark.createDataFrame([(*r, "m", 1, "d") for r in rows], AUDIT_SCHEMA)
+    found = filter_audit.audited(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), long_bytes)
+    assert found.columns == ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+    found = found.collect()
+    expected = audit_by_force(rows, [(i, q, t) for i, q, t in labels])
+    assert len(found) == len(expected) == 600 * len({r[1] or "" for r in rows})
+    assert {(r.part, r.filter_order, r.step): list(r[3:]) for r in found} == expected
+
+
+def test_audit_of_nothing(spark):
+    docs = spark.createDataFrame([], "doc_id long, source string, text string")
+    assert filter_audit.audited(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_copies_are_judged_by_the_very_text_where_hashes_collide(spark):
+    rows = [(3, "a", "x", "one"), (1, "a", "x", "two"), (4, "a", "x", "one"), (5, "b", "x", "two"), (2, "b", "y", "one"), (None, "b", "x", "one"), (1, "c", "x", "two")]
+    texts = spark.createDataFrame(rows, "doc_id long, part string, digest string, text string")
+    found = filter_audit.copied(texts, texts.select("doc_id", "digest")).collect()
+    assert sorted((r.doc_id, r.text) for r in found) == [(4, "one"), (5, "two")]
+
+
+def test_a_text_with_very_many_copies_gives_one_row_for_each(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("the same words").alias("text"))
+    found = filter_audit.failures(docs).groupBy("mask").agg(F.sum("n").alias("n")).collect()
+    assert {r["mask"]: r.n for r in found} == {1: 1, 17: 19_999}
