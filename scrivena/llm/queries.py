@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivena.llm import chat_format, decontaminate, exact_dedup, filter_audit, html_extract, jaccard_join, language_id, license_scan, packing, quality, url_filter
+from scrivena.llm import chat_format, decontaminate, exact_dedup, filter_audit, html_extract, jaccard_join, language_id, license_scan, merkle, packing, quality, url_filter
 from scrivena.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +181,11 @@ def op13_filter_audit(spark: SparkSession, data_dir: str) -> DataFrame:
 
 QUERIES["op13_filter_audit"] = op13_filter_audit
 ORACLE_SQL["op13_filter_audit"] = filter_audit.ORACLE_SQL
+
+
+def op12_merkle_manifest(spark: SparkSession, data_dir: str) -> DataFrame:
+    return merkle.audited(table(spark, data_dir, "documents"))
+
+
+QUERIES["op12_merkle_manifest"] = op12_merkle_manifest
+ORACLE_SQL["op12_merkle_manifest"] = merkle.ORACLE_SQL

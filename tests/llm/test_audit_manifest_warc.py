@@ -4,11 +4,12 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from scrivena.llm import filter_audit
+from scrivena.llm import filter_audit, merkle
 
 # filter audit
 
@@ -99,3 +100,87 @@ def test_a_text_with_very_many_copies_gives_one_row_for_each(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("the same words").alias("text"))
     found = filter_audit.failures(docs).groupBy("mask").agg(F.sum("n").alias("n")).collect()
     assert {r["mask"]: r.n for r in found} == {1: 1, 17: 19_999}
+
+
+# Merkle manifest
+
+LEAF_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+MERKLE_SCHEMA = "doc_id long, source string, lang string, n_chars long, text string, row long, number int, at string, leaf string, _part int"
+
+
+def digest_of(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def leaf_by_force(row, text):
+    values = [*row[:4], text]
+    return digest_of("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def tree_by_force(leaves, fanout):
+    """The root, and for each leaf what stands before and after its node at each level."""
+    paths, nodes, of = [[] for _ in leaves], list(leaves), list(range(len(leaves)))
+    while len(nodes) > 1:
+        for i, at in enumerate(of):
+            first = at // fanout * fanout
+            paths[i].append(("".join(nodes[first:at]), "".join(nodes[at + 1 : first + fanout])))
+        nodes = [digest_of("".join(nodes[k : k + fanout])) for k in range(0, len(nodes), fanout)]
+        of = [at // fanout for at in of]
+    return nodes[0], paths
+
+
+def manifest_by_force(rows, fanout):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sources = {}
+    for row in rows:
+        sources.setdefault(row[1], []).append((row[0] is not None, row[0] or 0, leaf_by_force(row, row[4]), row))
+    names = sorted(sources, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: tree_by_force([x[2] for x in sorted(sources[s], key=lambda x: x[:3])], fanout) for s in names}
+    root, upper = tree_by_force([trees[s][0] for s in names], fanout) if names else (None, [])
+    out = []
+    for k, s in enumerate(names):
+        subroot, paths = trees[s]
+        for (_, _, leaf, row), own in zip(sorted(sources[s], key=lambda x: x[:3]), paths):
+            path, touched = own + upper[k], row[0] is not None and zlib.crc32(str(row[0]).encode()) % 5 == 0
+            text = row[4].translate(lower) if touched and row[4] is not None else row[4]
+            d = leaf_by_force(row, text)
+            for before, after in path:
+                d = digest_of(before + d + after)
+            out.append((str(row[0]), leaf, subroot, root, digest_of("".join(b + a for b, a in path)), d, d == root))
+    return sorted(out)
+
+
+def merkle_rows(rng, n):
+    sources = ["hot"] * 3 + ["a", "B", "é", "", None, "z z"] + [f"s{i}" for i in range(12)]
+    rows = [(i - 3, rng.choice(sources), rng.choice(["en", None]), rng.choice([None, 7, -1]), rng.choice(["", None, "Some Text", "all small", "É X" * rng.randrange(4)])) for i in range(n)]
+    rows += [(None, "hot", "en", 1, "x"), (None, "hot", "en", 1, "Y"), rows[3], rows[3], (rows[4][0], rows[4][1], "fr", 2, "other"), (9_999_999, "lone", None, None, "A" * 3_000_000)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("n, fanout, depth", [(300, 2, 1), (300, 3, 2), (300, 16, 3), (0, 16, 1), (1, 2, 2)])
+def test_manifest_matches_whole_trees(spark, n, fanout, depth):
+    rows = merkle_rows(random.Random(n + fanout), n) if n > 1 else [(7, None, None, None, "Only One")] * n
+    docs = spark.createDataFrame([(*r, 1, 2, "at", "leaf", 3) for r in rows], MERKLE_SCHEMA).repartition(5)
+    found = merkle.audited(docs, fanout, depth)
+    assert found.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    assert sorted((str(r[0]), *r[1:]) for r in found.collect()) == manifest_by_force(rows, fanout)
+
+
+def test_one_source_of_many_partitions(spark):
+    rows = [(i, "one", "en", i, f"Text {i}") for i in range(1000)]
+    found = merkle.audited(spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string"), 4, 1)
+    assert sorted((str(r[0]), *r[1:]) for r in found.collect()) == manifest_by_force(rows, 4)
+
+
+def test_a_proof_is_whole_and_carries_other_columns(spark):
+    rows = [(i, "ab"[i % 2], f"t{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "'en' lang", "1L n_chars")
+    found = merkle.manifest(merkle.leaves(docs, text=F.col("text")), 4, 1).collect()
+    assert {r.text for r in found} == {t for _, _, t in rows} and len({r.root for r in found}) == 1
+    for r in found:
+        d = r.leaf
+        for step in r.path:
+            d = digest_of(step.before + d + step.after)
+        assert d == r.root
+    assert len({tuple(r.path) for r in found}) == 40
