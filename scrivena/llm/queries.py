@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivena.llm import chat_format, decontaminate, exact_dedup, filter_audit, html_extract, jaccard_join, language_id, license_scan, merkle, packing, quality, url_filter
+from scrivena.llm import chat_format, decontaminate, exact_dedup, filter_audit, html_extract, jaccard_join, language_id, license_scan, merkle, packing, quality, url_filter, warc
 from scrivena.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,3 +189,11 @@ def op12_merkle_manifest(spark: SparkSession, data_dir: str) -> DataFrame:
 
 QUERIES["op12_merkle_manifest"] = op12_merkle_manifest
 ORACLE_SQL["op12_merkle_manifest"] = merkle.ORACLE_SQL
+
+
+def op11_warc(spark: SparkSession, data_dir: str) -> DataFrame:
+    return warc.archived(table(spark, data_dir, "pages"))
+
+
+QUERIES["op11_warc"] = op11_warc
+ORACLE_SQL["op11_warc"] = warc.ORACLE_SQL

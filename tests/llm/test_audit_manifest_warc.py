@@ -1,7 +1,9 @@
 """The filter audit, the Merkle manifest and the WARC source against plain versions."""
 
+import gzip
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -9,7 +11,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from scrivena.llm import filter_audit, merkle
+from scrivena.llm import filter_audit, merkle, warc
 
 # filter audit
 
@@ -184,3 +186,142 @@ def test_a_proof_is_whole_and_carries_other_columns(spark):
             d = digest_of(step.before + d + step.after)
         assert d == r.root
     assert len({tuple(r.path) for r in found}) == 40
+
+
+# WARC
+
+
+def page_rows(rng, n):
+    long = ["<p>" + "x" * 97 + "é" * k for k in range(4)] + ["<p>" + "WARC/1.1\r\n\r\n" * 30, "y" * 99, "y" * 100, "z" * 2_000_000]
+    rows = [(i - 2, f"http://h/{i}", rng.choice(long + ["", None, "short", f"<html>{i}" + "a" * 100])) for i in range(n)]
+    rows += [(3, "http://again", rows[5][2]), rows[6], rows[6], (None, None, "y" * 100), (None, "http://n ull\r\nX: y/é", "only null ids" * 10), (None, None, "only null ids" * 10)]
+    rng.shuffle(rows)
+    return rows
+
+
+def archived_by_force(rows):
+    out = []
+    for page_id, _, html in rows:
+        body = (html or "").encode()
+        same = [i for i, _, h in rows if (h or "").encode() == body]
+        first = min((i for i in same if i is not None), default=None)
+        again = len(body) >= 100 and page_id != first
+        out.append((str(page_id), len(body), hashlib.sha256(body).hexdigest(), "revisit" if again else "response", str(first if again else None)))
+    return sorted(out)
+
+
+PAGE_SCHEMA = "page_id long, url string, html string, payload string, digest long, first int, bytes string"
+
+
+@pytest.mark.parametrize("n", [0, 120])
+def test_archives_give_back_the_pages(spark, n):
+    rows = page_rows(random.Random(1), n) if n else []
+    pages = spark.createDataFrame([(*r, "p", 1, 2, "b") for r in rows], PAGE_SCHEMA).repartition(3)
+    found = warc.archived(pages)
+    assert found.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert sorted((str(r[0]), r[1], r[2], r[3], str(r[4])) for r in found.collect()) == archived_by_force(rows)
+
+
+def archive_of(pages, folder, **options):
+    warc.write(warc.page_records(pages), f"file://{folder}", **options)
+    return [os.path.join(folder, f) for f in sorted(os.listdir(folder)) if f.endswith(".warc.gz")]
+
+
+def some_pages(spark, n=30):
+    return spark.createDataFrame([(i, f"http://h/{i}", f"page {i} " + "text " * 40) for i in range(n)] + [(99, "http://copy", "page 3 " + "text " * 40)], "page_id long, url string, html string")
+
+
+def test_records_are_whole_and_by_the_format(spark, tmp_path):
+    names = archive_of(some_pages(spark).coalesce(1), tmp_path / "a")
+    bodies = [gzip.open(n).read() for n in names]  # other readers of gzip pass over the extra field
+    assert sum(b.count(b"WARC/1.1\r\n") for b in bodies) == 31 + len(names) and all(b.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") for b in bodies)
+    found = warc.read(spark, f"file://{tmp_path}/a").collect()
+    assert {r.record_type for r in found} == {"warcinfo", "response", "revisit"}
+    again = next(r for r in found if r.record_type == "revisit")
+    first = next(r for r in found if r.record_id == again.refers_to)
+    assert first.target_uri == "http://h/3" and bytes(first.payload).decode() == "page 3 " + "text " * 40 and again.headers["warc-profile"] == warc.PROFILE
+    assert again.payload_digest == first.payload_digest and not again.payload
+
+
+def test_predicates_are_decided_from_headers(spark, tmp_path):
+    archive_of(some_pages(spark), tmp_path / "a", archive_bytes=2000)
+    path = f"file://{tmp_path}/a"
+    every = [r.asDict() for r in warc.read(spark, path).collect()]
+    for condition, test in {
+        "record_type = 'response'": lambda r: r["record_type"] == "response",
+        "target_uri like 'http://h/1%' and record_type in ('response', 'revisit')": lambda r: (r["target_uri"] or "").startswith("http://h/1"),
+        "target_uri is null": lambda r: r["target_uri"] is None,
+        "not target_uri = 'http://h/2'": lambda r: r["target_uri"] is not None and r["target_uri"] != "http://h/2",
+        "refers_to is not null": lambda r: r["refers_to"] is not None,
+        "content_length > 280": lambda r: r["content_length"] > 280,
+        "target_uri <=> 'http://copy' and length(payload) >= 0": lambda r: r["target_uri"] == "http://copy",
+    }.items():
+        found = warc.read(spark, path).filter(condition)
+        assert sorted(r.record_id for r in found.collect()) == sorted(r["record_id"] for r in every if test(r)), condition
+    plan = warc.read(spark, path).filter("record_type = 'response' and headers['x-page-id'] = '3'")._jdf.queryExecution().executedPlan().toString()
+    kept = [line for line in plan.split("\n") if "Filter" in line and "BatchScan" not in line]
+    assert kept and all("x-page-id" in line and "= response" not in line for line in kept)  # the rest is decided in the source
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_unwanted_payloads_are_not_read(spark, tmp_path, packed):
+    """With the payloads' bytes spoilt on disk, what needs no payload still reads; what needs one fails or differs."""
+    folder = tmp_path / "a"
+    body = b"".join(os.urandom(50_000).hex().encode() for _ in range(4))
+    records = [warc.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<{k}>")], body + b"%d" % k) for k in range(3)]
+    os.makedirs(folder)
+    with open(folder / ("x.warc.gz" if packed else "x.warc"), "wb") as out:
+        for r in records:
+            at = out.tell()
+            out.write(warc.member(r, 6) if packed else r)
+            end = out.tell()
+            out.seek(end - 100_000)
+            out.write(b"\0" * 1000)
+            out.seek(end)
+            assert end - at > 150_000
+    path = f"file://{folder}"
+    assert [r.record_id for r in warc.read(spark, path, ["record_id"]).collect()] == ["<0>", "<1>", "<2>"]
+    assert warc.read(spark, path).filter("record_id = '<9>'").count() == 0
+    if packed:
+        with pytest.raises(Exception, match="a member is broken"):
+            warc.read(spark, path).collect()
+
+
+def test_archives_of_others(spark, tmp_path):
+    os.makedirs(tmp_path / "a")
+    one = b"WARC/1.0\r\nWARC-Type: resource\r\nwarc-record-id: <1>\r\nX-Long: a\r\n  b\r\nContent-Length: 7\r\n\r\nab\r\n\r\nc\r\n\r\n"
+    two = b"WARC/1.0\r\nWARC-Type:response\r\nWARC-Record-ID: <2>\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: 24\r\n\r\nHTTP/1.1 200 OK\r\n\r\nhello\r\n\r\n"
+    (tmp_path / "a" / "whole.warc.gz").write_bytes(gzip.compress(one + two))  # one member for the archive
+    (tmp_path / "a" / "each.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(two))
+    (tmp_path / "a" / "plain.warc").write_bytes(one + two)
+    (tmp_path / "a" / "note.txt").write_bytes(b"no archive")
+    found = warc.read(spark, f"file://{tmp_path}/a").collect()
+    assert sorted((r.record_id, bytes(r.payload)) for r in found) == [("<1>", b"ab\r\n\r\nc")] * 3 + [("<2>", b"hello")] * 3
+    assert {r.headers.get("x-long") for r in found} == {"a b", None}
+    assert warc.read(spark, f"file://{tmp_path}/a/plain.warc").filter("record_type = 'response'").count() == 1
+
+
+@pytest.mark.parametrize("name, body, why", [("x.warc", b"WARC/1.1\r\nContent-Length: 9\r\n\r\nab", "cut off"), ("x.warc", b"GET / HTTP/1.1\r\n\r\n", "no record"), ("x.warc", b"WARC/1.1\r\nA: b\r\n\r\n", "without length"), ("x.warc.gz", warc.member(warc.record([], b"abc" * 99), 6)[:-40], "cut off"), ("x.warc", b"WARC/1.1\r\nA", "without end")])
+def test_broken_archives_are_errors_that_name_them(spark, tmp_path, name, body, why):
+    (tmp_path / name).write_bytes(body)
+    for columns in (None, ["record_id"]):
+        with pytest.raises(Exception, match=f"{name}.*{why}"):
+            warc.read(spark, f"file://{tmp_path}", columns).collect()
+
+
+def test_what_a_lost_task_left_is_not_read(spark, tmp_path):
+    folder = tmp_path / "a"
+    names = archive_of(some_pages(spark), folder)
+    (folder / "left.warc.gz").write_bytes(open(names[0], "rb").read())
+    assert warc.read(spark, f"file://{folder}").filter("record_type <> 'warcinfo'").count() == 31
+    archive_of(some_pages(spark, 2), folder)
+    assert warc.read(spark, f"file://{folder}").filter("record_type <> 'warcinfo'").count() == 34
+    warc.page_records(some_pages(spark, 1)).write.format("warc").mode("overwrite").save(f"file://{folder}")
+    assert warc.read(spark, f"file://{folder}").filter("record_type <> 'warcinfo'").count() == 2
+
+
+def test_small_archives_share_a_task(spark, tmp_path):
+    assert len(archive_of(some_pages(spark).coalesce(1), tmp_path / "a", archive_bytes=500)) > 10
+    whole = warc.read(spark, f"file://{tmp_path}/a")
+    each = spark.read.format("warc").option("partition_bytes", 1).load(f"file://{tmp_path}/a")
+    assert whole.rdd.getNumPartitions() == 1 and each.rdd.getNumPartitions() > 10 and each.count() == whole.count()
