@@ -4,7 +4,8 @@ The failures of a document are bits: A few words, B few different words, C many
 characters, E a text that a smaller doc_id has.  E is an existential self-join: the rows whose text
 another row may share are met by a left-semi join on the hash, the exact text and a smaller doc_id;
 of each text the other side has the least doc_id only, so a text with very many copies costs one row
-for each copy.  The ids that fail E are put together with those of the other filters, bits are
+for each copy.  Texts that nobody shares are kept out of that join by a bit for each shared hash, in
+a map of at most ``1 << decontaminate.MOST_BITS`` bits.  The ids that fail E are put together with those of the other filters, bits are
 united by id, and each combination of bits is counted.  All that the 120 orders need follows from
 those counts: at most 32 combinations of a part, whatever the size of the table.
 
@@ -24,11 +25,13 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivena.llm.words import utf8
+from scrivena.llm import decontaminate
+from scrivena.llm.words import BLOCK_BYTES, runs_of_texts, utf8
 from scrivena.plans.staging import stage
 
 FILTERS = "ABCDE"
@@ -47,9 +50,17 @@ _IS_SPECIAL[list(SPECIAL)] = True
 _BEGINS[0x80:0xC0] = False  # all bytes of a character but its first
 
 
-def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """How many of the flags are set in each text."""
-    return np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[offsets])
+def _marked(flags: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes of each text are flagged."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    for begin, end in runs_of_texts(offsets):
+        if end - begin == 1:
+            text = data[offsets[begin] : offsets[end]]
+            out[begin] = sum(int(np.count_nonzero(flags[text[k : k + BLOCK_BYTES]])) for k in range(0, len(text), BLOCK_BYTES))
+        else:
+            sums = np.concatenate([[0], np.cumsum(flags[data[offsets[begin] : offsets[end]]], dtype=np.int64)])
+            out[begin:end] = np.diff(sums[offsets[begin : end + 1] - offsets[begin]])
+    return out
 
 
 def _describe(long_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -66,7 +77,7 @@ def _describe(long_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                     counts.append((len(words), len(set(words))))
             rest = batch.drop_columns(["text"])
             n_words, different = (pa.array([c[k] for c in counts], pa.int64()) for k in range(2))
-            sums = [pa.array(_sums(flags[data], offsets)) for flags in (_IS_CAPITAL, _IS_SPECIAL, _BEGINS)]
+            sums = [pa.array(_marked(flags, data, offsets)) for flags in (_IS_CAPITAL, _IS_SPECIAL, _BEGINS)]
             yield pa.RecordBatch.from_arrays([*rest.columns, n_words, different, *sums], [*rest.schema.names, "n_words", "n_different", "capitals", "special", "chars"])
 
     return describe
@@ -122,7 +133,13 @@ def copied(texts: DataFrame, described: DataFrame) -> DataFrame:
     """The rows of ``texts`` (doc_id, part, digest, text) whose very text a smaller doc_id has; ``described`` has their ids and digests."""
     shared = described.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("largest")).filter("least < largest").select("digest")
     shared = stage(shared, "audit-shared")
-    candidates = texts.join(shared, "digest")
+    known = decontaminate._bit_map(shared.select(F.xxhash64("digest").alias("hash")), shared.count(), decontaminate.MOST_BITS)
+
+    @F.pandas_udf("boolean")
+    def may_be_shared(hashes: pd.Series) -> pd.Series:
+        return pd.Series(known.has(hashes.to_numpy().view(np.uint64)))
+
+    candidates = stage(texts.filter(may_be_shared(F.xxhash64("digest"))).join(shared, "digest"), "audit-candidates")
     firsts = candidates.groupBy("digest", "text").agg(F.min("doc_id").alias("first"))
     a, b = candidates.alias("a"), firsts.alias("b")
     return a.join(b, (F.col("a.digest") == F.col("b.digest")) & (F.col("a.text") == F.col("b.text")) & (F.col("b.first") < F.col("a.doc_id")), "left_semi")
