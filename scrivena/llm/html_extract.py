@@ -66,6 +66,12 @@ BESIDE = frozenset(
     "site page main global top bottom left right primary secondary post posts entry article articles story stories area box bar list block wrapper wrap "
     "container inner outer link links item items panel section title button buttons icon icons media module unit slot group row column col form sticky mobile desktop".split()
 )
+# Words that decide as the first or the last of a name, whatever stands beside them: those of reader comments and of adverts.
+HEADS = REMARKS | frozenset("ad ads advert adverts advertisement advertising advertorial adsense sponsor sponsored sponsors promo promos newsletter".split())
+# Last words of names that tell what a page allows, not what an element holds.
+ALLOWED = frozenset("open opened closed on off enabled disabled allowed".split())
+# Headings of reader comments.
+REMARK_HEADING = re.compile(r"\W*(?:\d+\W+)?(?:(?:reader|user|leave a|\d+)\W+)?(?:comments?|kommentare?|commentaires?|comentarios?)(?:\W+\d+)?\W*", re.I)
 # First words of names that tell of a layout, and words by which a header is the article's own.
 STATES = frozenset("no has have with without not show hide enable disable toggle".split())
 OWN = frozenset("post entry article story".split())
@@ -140,11 +146,17 @@ def _is_furniture(name: str, attributes: dict[str, str], parent: Node) -> bool:
 def _name_mark(token: str) -> int:
     """How one class or id name marks its element."""
     words = [w for w in PARTS.split(token) if w]
+    while len(words) > 1 and words[-1].removesuffix("x").isdigit():  # numbers and sizes
+        words.pop()
     if not words or words[0] in STATES or MARKS.isdisjoint(words):
         return 0
+    if words[-1] in ALLOWED:
+        return WEAK
+    if words[0] in HEADS or words[-1] in HEADS:
+        return STRONG if REMARKS.isdisjoint(words) else REMARK
     if "header" in words and not OWN.isdisjoint(words):
         return 0
-    if all(w in MARKS or w in BESIDE or w.isdigit() for w in words):
+    if all(w in MARKS or w in BESIDE or w.removesuffix("x").isdigit() for w in words):
         return STRONG if REMARKS.isdisjoint(words) else REMARK
     return WEAK
 
@@ -213,6 +225,7 @@ def parse(page: str, marks: bool = True) -> tuple[Node, list[Node]]:
     """The page as a tree, and its elements in order.  End tags close the nearest open element of their name; stray ones are skipped."""
     root = Node("#root", None, False)
     at, opened, nodes = 0, _Open(root), [root]
+    unended: set[str] = set()  # names of drawings that no end tag follows
     while True:
         match = TOKEN.search(page, at)
         text = page[at : match.start() if match else len(page)]
@@ -255,7 +268,9 @@ def parse(page: str, marks: bool = True) -> tuple[Node, list[Node]]:
         if name in VOID or closed and (name in FOREIGN or name not in BLOCK and name not in RAW):
             continue
         if name in RAW:
-            close = _end_of(name).search(page, at)
+            close = None if name in unended else _end_of(name).search(page, at)
+            if close is None and name in FOREIGN:
+                unended.add(name)
             if close or name not in FOREIGN:  # what is after a drawing that never ends is the page
                 at = close.end() if close else len(page)
             continue
@@ -347,6 +362,7 @@ def value(node: Node) -> float:
 
 def _text_of(root: Node, nodes: list[Node]) -> str:
     blocks = [b for b in _blocks(root) if not b[0].header or b[0].heading]
+    blocks = [b for b in blocks if not (b[0].heading and REMARK_HEADING.fullmatch(b[1]))]
     if not blocks:
         return ""
     _score(blocks, nodes)
@@ -365,7 +381,7 @@ def _text_of(root: Node, nodes: list[Node]) -> str:
 
 
 def _keep_siblings(best: Node, blocks: list[tuple[Node, str, int]]) -> None:
-    """Siblings that score a fifth as well, headings before the best container, and paragraphs beside it."""
+    """Siblings that score a fifth as well, headings before the best container, paragraphs beside it, and what stands between these."""
     siblings = [c for c in best.parent.children if isinstance(c, Node) and not c.furniture]
     least = max(2.0, 0.2 * value(best))
     for c in siblings[: siblings.index(best)]:
@@ -375,6 +391,9 @@ def _keep_siblings(best: Node, blocks: list[tuple[Node, str, int]]) -> None:
     for owner, text, linked in blocks:
         if owner.name == "p" and owner.parent is best.parent and linked < 0.25 * len(text) and (len(text) > 80 or text[-1:] in ".!?"):
             owner.kept = True
+    kept = [k for k, c in enumerate(siblings) if c.kept]
+    for c in siblings[kept[0] : kept[-1]]:  # what stands between parts of the article, unless names or links speak against it
+        c.kept = c.kept or not c.mark and 2 * c.links <= c.size
 
 
 def extracted(pages: DataFrame) -> DataFrame:

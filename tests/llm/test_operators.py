@@ -147,6 +147,26 @@ def test_markup_read_by_the_rules_and_links_discounted(page, text):
     assert html_extract.main_text(page) == text
 
 
+REMARK = "I think, really, that this is quite a remark, and that there is more to say about it."
+
+
+@pytest.mark.parametrize("name", "user-comments reader-comments comment-thread comment-body comments_3 google-ad ad-300x250 newsletter-cta".split())
+def test_comments_and_adverts_go_whatever_stands_beside_their_names(name):
+    for page in (
+        f'<article><p>{LONG}<p>{LONG}<div class="{name}"><p>{REMARK}</div></article>',
+        f'<article><p>{LONG}<div id="{name}"><h3>Comments (3)</h3><p>{REMARK}</div><p>{LONG}</article>',
+        f'<div id=c><p>{LONG}<p>{LONG}</div><div class="x {name}"><h3>Comments (3)</h3><p>{REMARK}</div>',
+        f'<div id=c><p>{LONG}<p>{LONG}</div><h3>Comments (3)</h3><div class="{name}"><p>{REMARK}</div>',
+    ):
+        assert html_extract.main_text(page) == f"{LONG}\n\n{LONG}", page
+
+
+def test_what_stands_between_parts_of_the_article_stays():
+    assert html_extract.main_text(f"<div id=c><div><p>{LONG}</div><div><p>Short note, here.</p></div><div><p>{LONG}</div></div>") == f"{LONG}\n\nShort note, here.\n\n{LONG}"
+    assert html_extract.main_text(f"<div id=c><div><p>{LONG}</div><div><a href=1>One</a> <a href=2>Two</a></div><div><p>{LONG}</div></div>") == f"{LONG}\n\n{LONG}"
+    assert html_extract.main_text(f'<div class="post comments-open"><p>{LONG}</div>') == LONG
+
+
 def tree_by_force(page):
     """Scores of all block containers, each summed on its own over the paragraphs within it by walking up from each."""
     root, nodes = html_extract.parse(page)
@@ -183,7 +203,7 @@ def test_scores_against_a_brute_force_scorer():
         assert {k: html_extract.value(n) for k, n in enumerate(nodes) if n.block is n} == pytest.approx(expected)
 
 
-@pytest.mark.parametrize("page", ["<div>x " * 100_000, "<b>" * 50_000 + "</i>" * 50_000, "<b>" * 50_000 + "<div>x</div>" * 50_000, "<a b='" * 50_000, "<p>" * 30_000 + "</q></p>" * 30_000, "<table><tr><td>" * 30_000, "<!--" * 50_000 + "<svg>" * 20_000])
+@pytest.mark.parametrize("page", ["<div>x " * 100_000, "<b>" * 50_000 + "</i>" * 50_000, "<b>" * 50_000 + "<div>x</div>" * 50_000, "<a b='" * 50_000, "<p>" * 30_000 + "</q></p>" * 30_000, "<table><tr><td>" * 30_000, "<!--" * 50_000, "<svg>" * 100_000, "<math><svg>" * 50_000])
 def test_hostile_pages_take_linear_time(page):
     import time
 
@@ -741,6 +761,24 @@ def test_near_duplicates_against_brute_force(spark, seed, block):
     assert sorted(map(tuple, found)) == classes_by_force(rows)
 
 
+def test_rows_that_share_an_id_cost_no_more_than_rows_with_their_own(spark):
+    import time
+
+    rng = random.Random(61)
+    base, texts = prose(rng, 60, 5000).split(), []
+    for k in range(1500):
+        own = list(base)
+        own[k % 60] = f"n{k}"
+        texts.append(" ".join(own))
+    found, took = [], []
+    for ids in ([*range(1500)], [None] * 1500, [7] * 1500):
+        docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+        began = time.time()
+        found.append(sorted(r.n_links for r in jaccard_join.near_duplicates(docs).select("n_links").collect()))
+        took.append(time.time() - began)
+    assert found[0] == found[1] == found[2] and max(took[1:]) < 2 * took[0] + 5
+
+
 @pytest.mark.parametrize("block", [512, 80])
 def test_large_groups_against_brute_force(spark, block):
     rng = random.Random(59)
