@@ -15,7 +15,6 @@ from scrivena.operators import diagnostics as dg
 from scrivena.operators import evaluation as ev
 from scrivena.operators import features as ft
 from scrivena.operators import integrity as it
-from scrivena.operators import models as md
 from scrivena.operators import reporting as rp
 from scrivena.operators import splits as sp
 from scrivena.plans import staging
@@ -290,13 +289,3 @@ def test_timeline_of_a_stream_lets_months_go(spark, tmp_path):
         run.awaitTermination(60)
     found = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
     assert found == [(1, "2024-01-01 00:00:00", 2), (1, "2024-02-01 00:00:00", 1), (2, "2024-03-01 00:00:00", 1)]
-
-
-def test_models_learn_languages(spark):
-    rng = random.Random(5)
-    heads = {"aa": "th er ing", "bb": "sch ung ei"}
-    rows = [(i, " ".join("".join(rng.choices(heads[lang].split(), k=2)) for _ in range(12)), lang, i % 2, i % 5 == 4) for i, lang in enumerate(rng.choices(["aa", "bb"], k=60))]
-    df = spark.createDataFrame(rows, "id long, text string, lang string, fold int, held boolean")
-    held = md.calibrated(df, "lang").collect()
-    assert len(held) == 12 and sum(r.y_true == r.y_pred for r in held) >= 11 and all(abs(sum(r.p) - 1) < 1e-6 for r in held)
-    assert md.fold_search(df, "lang", {"word": ("word",)}, [1.0]).count() == 2
