@@ -7,6 +7,10 @@ are no labels: rows with a null y_true or y_pred are left out.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -283,3 +287,102 @@ def bootstrap_macro_f1(predictions: DataFrame, draws: int, seed: int, key: str =
     return scores.agg(
         F.count(F.lit(1)).alias("draws"), rounded(F.avg("f1")).alias("mean"), rounded(F.percentile("f1", F.lit(0.025))).alias("low"), rounded(F.percentile("f1", F.lit(0.975))).alias("high")
     )
+
+
+def erfc(z: Column) -> Column:
+    """The complementary error function of z >= 0, to 1e-14: its series below 3, its continued fraction above."""
+    term = F.struct(z.alias("t"), z.alias("s"))
+    grown = F.aggregate(F.sequence(F.lit(1), F.lit(80)), term, lambda a, n: F.struct((a["t"] * (2 * z * z) / (2 * n + 1)).alias("t"), (a["s"] + a["t"] * (2 * z * z) / (2 * n + 1)).alias("s")))["s"]
+    series = 1 - 2 / F.sqrt(F.pi()) * F.exp(-z * z) * grown
+    far = F.greatest(z, F.lit(1.0))
+    fraction = F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), far, lambda a, n: far + (n / F.lit(2.0)) / a)
+    return F.when(z < 3, series).otherwise(F.exp(-z * z) / F.sqrt(F.pi()) / fraction)
+
+
+def chi2_tail(x: Column) -> Column:
+    """The chance that chi-squared with one degree of freedom exceeds x; 1 at 0."""
+    return erfc(F.sqrt(x / 2))
+
+
+def compared(predictions: DataFrame, pairs: list[tuple[str, str]], key: str = "id_speech") -> DataFrame:
+    """A row for each pair of systems: n, accuracy and macro F1 of both and their differences, what only one has right, chi-squared and p, plain and corrected.
+
+    ``predictions`` has system, key, y_true and y_pred.  All pairs are counted in one grouping by key; a pair whose systems don't
+    have the same keys once each, with the same y_true, makes reading the result fail.
+    """
+    names = sorted({s for p in pairs for s in p})
+    rows = predictions.filter(F.col("system").isin(names)).select(key, "system", "y_true", (F.col("y_true") == F.col("y_pred")).alias("right"))
+    once = (F.count(F.lit(1)) == F.count_distinct("system")).alias("_once")
+    own = rows.groupBy(key).agg(F.collect_list(F.struct("system", "right")).alias("_all"), once, (F.min("y_true").eqNullSafe(F.max("y_true"))).alias("_agree"))  # a key's systems
+    own = own.filter(F.assert_true(F.col("_once"), "a system has a key twice").isNull() & F.assert_true(F.col("_agree"), "the systems' true labels differ").isNull())
+    table = F.array(*(F.struct(F.lit(a).alias("source"), F.lit(b).alias("target")) for a, b in pairs))
+    each = own.withColumn("_of", F.map_from_entries("_all")).select("_of", F.explode(table).alias("p")).select("p.*", F.try_element_at("_of", F.col("p.source")).alias("x"), F.try_element_at("_of", F.col("p.target")).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    sums = each.filter(x.isNotNull() | y.isNotNull()).groupBy("source", "target").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only_a"), F.count_if(~x & y).alias("only_b"), F.count_if(~x & ~y).alias("neither"), F.count_if(x.isNull() | y.isNull()).alias("_unpaired")
+    )
+    sums = sums.filter(F.assert_true(F.col("_unpaired") == 0, "both systems must have each key once").isNull()).drop("_unpaired")
+    metrics = overall_metrics(predictions.filter(F.col("system").isin(names)), ["system"]).select("system", "accuracy", "macro_f1")
+    for side, name in (("source", "a"), ("target", "b")):
+        sums = sums.join(metrics.select(F.col("system").alias(side), F.col("accuracy").alias(f"accuracy_{name}"), F.col("macro_f1").alias(f"macro_f1_{name}")), side)
+    apart = F.abs(F.col("only_a") - F.col("only_b"))
+    chi2 = ratio(apart * apart, F.col("only_a") + F.col("only_b"))
+    corrected = F.when(apart > 0, ratio((apart - 1) * (apart - 1), F.col("only_a") + F.col("only_b"))).otherwise(0.0)
+    found = sums.withColumns({"chi2": chi2, "chi2_corrected": corrected})
+    return found.select(
+        "source", "target", "n", "accuracy_a", "accuracy_b", rounded(F.col("accuracy_b") - F.col("accuracy_a")).alias("accuracy_gain"), "macro_f1_a", "macro_f1_b", rounded(F.col("macro_f1_b") - F.col("macro_f1_a")).alias("macro_f1_gain"),
+        "both", "only_a", "only_b", "neither", "chi2", chi2_tail(F.col("chi2")).alias("p"), "chi2_corrected", chi2_tail(F.col("chi2_corrected")).alias("p_corrected"),
+    )
+
+
+#: Different pairs of true and predicted label that a task is sent.
+MOST_CELLS = 2_000_000
+
+
+def _drawn(cells: np.ndarray, counts: np.ndarray, labels: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """draw -> draw, n, f1: a multinomial sample of as many rows over the cells of the confusion matrix, by binomials one after the other."""
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = int(counts.sum())
+        for batch in batches:
+            draws = batch.column("draw").to_pylist()
+            scores, sizes = [], []
+            for draw in draws:
+                times = np.random.default_rng([seed, draw]).multinomial(total, counts / total)
+                support = np.bincount(cells[:, 0], times, labels)
+                guessed = np.bincount(cells[:, 1], times, labels)
+                right = np.bincount(cells[:, 0], times * (cells[:, 0] == cells[:, 1]), labels)
+                some = support + guessed > 0
+                scores.append(float((2 * right[some] / (support + guessed)[some]).mean()))
+                sizes.append(int(times.sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("draw"), pa.array(sizes, pa.int64()), pa.array(scores)], ["draw", "n", "f1"])
+
+    return drawn
+
+
+def bootstrap_draws(predictions: DataFrame, draws: int, seed: int) -> DataFrame:
+    """draw, n, f1: macro F1 of ``draws`` resamples with replacement, each of as many rows as there are.
+
+    Which rows are drawn matters only through the pairs of true and predicted label, so the counts of these are resampled,
+    exactly: the work is different pairs times draws, whatever the rows, and draws are dealt over the tasks.
+    """
+    counts = predictions.filter("y_true is not null and y_pred is not null").groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(counts, "cells")
+    if (size := counts.count()) > MOST_CELLS:
+        raise ValueError(f"{size} different pairs of labels; at most {MOST_CELLS} are resampled")
+    found = sorted(counts.collect(), key=lambda r: (str(r.y_true), str(r.y_pred)))
+    spark = predictions.sparkSession
+    schema = "draw long, n long, f1 double"
+    if not found:
+        return spark.createDataFrame([], schema)
+    numbers = {label: k for k, label in enumerate(sorted({x for r in found for x in (r.y_true, r.y_pred)}, key=str))}
+    cells = np.array([(numbers[r.y_true], numbers[r.y_pred]) for r in found])
+    kernel = _drawn(cells, np.array([r.n for r in found], np.float64), len(numbers), seed)
+    return spark.range(draws).withColumnRenamed("id", "draw").mapInArrow(kernel, schema)
+
+
+def bootstrap_interval(predictions: DataFrame, draws: int = 10_000, seed: int = 42) -> DataFrame:
+    """draws, mean, low, high: macro F1 over ``bootstrap_draws``, and its 95 % percentile interval."""
+    return bootstrap_draws(predictions, draws, seed).agg(
+        F.count(F.lit(1)).alias("draws"), rounded(F.avg("f1")).alias("mean"), rounded(F.percentile("f1", F.lit(0.025))).alias("low"), rounded(F.percentile("f1", F.lit(0.975))).alias("high")
+    )

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scrivena.functions.text import canonical_id
+from scrivena.plans.staging import stage
+
 ORDER = ["date", "time", "id_speech"]
 MEMBER = ["id_speech", "id_person", "election", "party"]
 
@@ -38,6 +41,29 @@ def char_share(speeches: DataFrame, share: float) -> DataFrame:
     return speeches.select(*MEMBER, F.when(test, "test").otherwise("train").alias("outer_role"))
 
 
+def char_shares(speeches: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """outer_role: an author's speeches in order, dealt to the roles of ``shares`` (earliest role first) from the latest back.
+
+    A role takes speeches until it holds its share of the author's characters, one at least, but leaves one for each role
+    before it; the first role has the rest.  Roles with a share of 0 get nothing.  Each role's bounds hang on those of the role
+    after it, so roles are taken in turn; all windows deal and sort by author alike, so rows are shuffled once.
+    """
+    roles = [r for r, share in shares.items() if share > 0]
+    if not roles:
+        raise ValueError("no role has a share")
+    by = Window.partitionBy("id_person")
+    after = by.orderBy(*ORDER).rowsBetween(1, Window.unboundedFollowing)
+    rows = speeches.select(*MEMBER, "date", "time", "char_count").withColumns(
+        {"_place": F.row_number().over(by.orderBy(*ORDER)) - 1, "_whole": F.sum("char_count").over(by), "outer_role": F.lit(None).cast("string")}
+    )
+    for earlier in range(len(roles) - 1, 0, -1):
+        free = F.col("outer_role").isNull()
+        rows = rows.withColumns({"_end": F.count_if(free).over(by), "_later": F.coalesce(F.sum(F.when(free, F.col("char_count"))).over(after), F.lit(0))})
+        taken = free & (F.col("_place") >= earlier) & ((F.col("_place") == F.col("_end") - 1) | (F.col("_later") < shares[roles[earlier]] * F.col("_whole")))
+        rows = rows.withColumn("outer_role", F.when(taken, roles[earlier]).otherwise(F.col("outer_role")))
+    return rows.select(*MEMBER, F.coalesce("outer_role", F.lit(roles[0])).alias("outer_role"))
+
+
 def temporal(speeches: DataFrame, train: list[int], test: list[int], n: int | None = None) -> DataFrame:
     """outer_role by election; at most the n latest test speeches of an author if n is given; other elections are left out."""
     role = F.when(F.col("election").isin(train), "train").when(F.col("election").isin(test), "test")
@@ -228,3 +254,41 @@ def select_with_party_minimum(pool: DataFrame, k: int, least: int, metric: str =
     kept = select_top(pool.join(good.select("party"), "party", "left_semi"), k, metric)
     place = F.row_number().over(Window.orderBy(F.desc(metric), "id_person"))  # over k authors at most
     return kept.select("id_person", "party", metric, place.alias("place"))
+
+
+def without_authors(pool: DataFrame, excluded: DataFrame) -> DataFrame:
+    """``pool`` without the authors whose id stands, however written, in ``excluded`` (id_person)."""
+    names = excluded.select(canonical_id(F.col("id_person")).alias("_id")).filter("_id is not null").distinct()
+    return pool.join(names, canonical_id(F.col("id_person")) == F.col("_id"), "left_anti")
+
+
+def filtered_pool(pool: DataFrame, least: dict[str, int], among: dict[str, list[str]] | None = None) -> DataFrame:
+    """The authors of ``pool`` whose values stand in the lists of ``among`` and whose groups, by each column of ``least``, keep that many authors.
+
+    A group that falls takes authors out of others, which may fall in turn, so rounds go on until none does.  A null is a
+    group like any other.  What is counted is a row for each group.
+    """
+    rows = pool
+    for column, values in (among or {}).items():
+        rows = rows.filter(F.col(column).isin(values))
+    rows = stage(rows, "pool")
+    n = rows.count()
+    while least:
+        kept = rows
+        for column, k in least.items():
+            groups = rows.groupBy(F.col(column).alias("_group")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k).select("_group")
+            kept = kept.join(groups, F.col(column).eqNullSafe(F.col("_group")), "left_semi")
+        rows = stage(kept, "pool")
+        before, n = n, rows.count()
+        if n == before:
+            break
+    return rows
+
+
+def units(outer: DataFrame, folds: DataFrame, selector: str) -> DataFrame:
+    """unit, eval_role, id_speech, id_person, role: what is materialised together, each fold (``all``) or the outer train and test rows (``final``)."""
+    if selector == "all":
+        return folds.select(F.col("fold_id").cast("string").alias("unit"), F.lit("val").alias("eval_role"), "id_speech", "id_person", F.col("fold_role").alias("role"))
+    if selector == "final":
+        return outer.filter(F.col("outer_role").isin("train", "test")).select(F.lit("final").alias("unit"), F.lit("test").alias("eval_role"), "id_speech", "id_person", F.col("outer_role").alias("role"))
+    raise ValueError(f"selector {selector!r}: all or final")

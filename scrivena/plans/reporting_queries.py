@@ -315,3 +315,29 @@ def mcnemar(spark, d):
 select count(*) as draws, round(avg(f1), 9) as mean, round(quantile_cont(f1, 0.025), 9) as low, round(quantile_cont(f1, 0.975), 9) as high from f"""))
 def bootstrap_macro_f1(spark, d):
     return ev.bootstrap_macro_f1(views.prediction(spark, d), 50, 42)
+
+
+ERFC = """case when z < 3 then 1 - 2 / sqrt(pi()) * exp(-z * z) * (select sum(t) from (
+  select z * exp(sum(ln(2 * z * z / (2 * k + 1))) over (order by k)) as t from range(1, 81) x(k) where z > 0 union all select z
+)) else exp(-z * z) / sqrt(pi()) / list_reduce(list_prepend(z, list_transform(range(80, 0, -1), lambda k: k::double)), lambda a, k: z + k / 2.0 / a) end"""
+PAIRS = [("base", "profiled"), ("profiled", "base"), ("base", "base")]
+
+
+@query("significance_table", with_views("systems pred_b", ", m as (" + labels_sql("systems", "system") + """),
+o as (select system, round(sum(correct_count) / sum(support)::double, 9) as accuracy, round(avg(f1), 9) as macro_f1 from m group by system),
+pairs(source, target) as (values """ + ", ".join(f"('{a}', '{b}')" for a, b in PAIRS) + """),
+j as (select source, target, a.correct as x, b.correct as y from pairs join systems a on a.system = source join systems b on b.system = target and a.id_speech = b.id_speech),
+s as (select source, target, count(*) as n, count(*) filter (x and y) as both, count(*) filter (x and not y) as only_a, count(*) filter (not x and y) as only_b, count(*) filter (not x and not y) as neither from j group by all),
+c as (select *, coalesce(power(only_a - only_b, 2) / nullif(only_a + only_b, 0)::double, 0) as chi2,
+             case when only_a = only_b then 0 else power(abs(only_a - only_b) - 1, 2) / (only_a + only_b)::double end as chi2_corrected from s),
+p as (select *, (select """ + ERFC + """ from (select sqrt(chi2 / 2) as z)) as p, (select """ + ERFC + """ from (select sqrt(chi2_corrected / 2) as z)) as p_corrected from c)
+select source, target, n, a.accuracy as accuracy_a, b.accuracy as accuracy_b, round(b.accuracy - a.accuracy, 9) as accuracy_gain, a.macro_f1 as macro_f1_a, b.macro_f1 as macro_f1_b, round(b.macro_f1 - a.macro_f1, 9) as macro_f1_gain,
+       "both", only_a, only_b, neither, chi2, round(p, 11) as p, chi2_corrected, round(p_corrected, 11) as p_corrected from p join o a on a.system = source join o b on b.system = target"""))
+def significance_table(spark, d):
+    found = ev.compared(views.systems(spark, d), PAIRS)
+    return found.withColumns({c: ev.rounded(F.col(c), 11) for c in ("p", "p_corrected")})
+
+
+@query("bootstrap_interval")
+def bootstrap_interval(spark, d):
+    return ev.bootstrap_interval(views.prediction(spark, d), 10_000, 42)

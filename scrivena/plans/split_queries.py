@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scrivena.operators import assembly as ab
 from scrivena.operators import diagnostics as dg
 from scrivena.operators import splits as sp
 from scrivena.plans.registry import query
@@ -66,6 +67,67 @@ def split_char_share(spark, d):
     return sp.char_share(views.speech(spark, d), SHARE)
 
 
+PEELED = """, o as (
+  select *, row_number() over a - 1 as place, sum(char_count) over (partition by id_person) as whole, count(*) over (partition by id_person) as n,
+         coalesce(sum(char_count) over (partition by id_person order by date, time, id_speech rows between 1 following and unbounded following), 0) as later
+  from speech window a as (partition by id_person order by date, time, id_speech)
+), t as (select *, place >= 2 and (place = n - 1 or later < 0.2::double * whole) as test from o),
+u as (
+  select *, count(*) filter (not test) over (partition by id_person) as n2,
+         coalesce(sum(char_count) filter (not test) over (partition by id_person order by date, time, id_speech rows between 1 following and unbounded following), 0) as later2
+  from t
+)"""
+
+
+@query("split_char_shares", with_views("speech", PEELED + """
+select id_speech, id_person, election, party,
+       case when test then 'test' when place >= 1 and (place = n2 - 1 or later2 < 0.1::double * whole) then 'val' else 'train' end as outer_role from u"""))
+def split_char_shares(spark, d):
+    return sp.char_shares(views.speech(spark, d), {"train": 0.7, "val": 0.1, "test": 0.2})
+
+
+ROUNDS = 25
+
+
+@query("pool_fixed_point", with_views("speech", POOL.replace("with ", "") + f""", base as (
+  select p.*, l.language, e.election from pool p join (select id_person, arg_max(language, (date, time, id_speech)) as language from speech group by 1) l using (id_person)
+  join (select id_person, arg_max(election, (date, time, id_speech)) as election from speech group by 1) e using (id_person) where id_person % 10 <> 7
+), r as (
+  with recursive x(k, id_person, party, language, election) as (
+    select 0, id_person, party, language, election from base where party <> 'MACHINERY'
+    union all select k + 1, id_person, party, language, election from (
+      select *, count(*) over (partition by party) as a, count(*) over (partition by language) as b, count(*) over (partition by election) as c from x
+    ) where a >= 4 and b >= 6 and c >= 5 and k < {ROUNDS}
+  ) select id_person, party, language, election from x where k = {ROUNDS}
+) select * from r"""))
+def pool_fixed_point(spark, d):
+    speeches = views.speech(spark, d)
+    latest = lambda c: F.max_by(c, F.struct(*sp.ORDER)).alias(c)
+    pool = speeches.groupBy("id_person").agg(latest("party"), latest("language"), latest("election"))
+    excluded = pool.filter("id_person % 10 = 7").select(F.concat(F.col("id_person").cast("string"), F.lit(".0")).alias("id_person"))
+    parties = [r.party for r in pool.select("party").distinct().collect() if r.party != "MACHINERY"]  # parties
+    return sp.filtered_pool(sp.without_authors(pool, excluded), {"party": 4, "language": 6, "election": 5}, {"party": parties})
+
+
+@query("role_rows", with_views("speech", LATEST + GROUPED + """, u as (
+  select 'final' as unit, 'test' as eval_role, id_speech, outer_role as role from outer_m union all select fold_id::varchar, 'val', id_speech, fold_role from folds
+)
+select u.id_speech, unit, eval_role, role, 'latest' as split_name, outer_role, language, s.election, id_person as author, s.party, female, char_count, word_count
+from u join speech s using (id_speech) join (select id_speech, outer_role from outer_m) using (id_speech)"""))
+def role_rows(spark, d):
+    """Membership of all units with row data, targets and features, put together by one grouping."""
+    speeches = views.speech(spark, d)
+    outer = sp.latest_n(speeches, N_TEST)
+    folds = grouped(spark, d)
+    members = sp.units(outer, folds, "final").unionByName(sp.units(outer, folds, "all")).drop("id_person")
+    sources = {
+        "data": ab.row_data(speeches, outer, "latest", ["language", "election", "not_there"]),
+        "targets": ab.targets(speeches, ["party", "female"]),
+        "features": speeches.select("id_speech", "char_count", "word_count"),
+    }
+    return ab.assembled(members, sources)
+
+
 @query("split_temporal", with_views("speech", f""", o as (
   select *, case when election in (1995, 1997, 1999) then 'train' else 'test' end as outer_role, row_number() over (partition by id_person, election = 2001 order by date desc, time desc, id_speech desc) as z
   from speech where election in (1995, 1997, 1999, 2001)
