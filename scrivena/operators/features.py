@@ -7,16 +7,21 @@ there are.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivena.functions import text as tx
+from scrivena.operators import grams as gr
 from scrivena.operators.evaluation import ratio, rounded
+from scrivena.plans.staging import stage
 
-MOST_BROADCAST = 200_000  # terms: some 15 MB
+MOST_BROADCAST = 200_000  # terms
+MOST_BYTES = 64 << 20  # of these
 TEXT_COUNTS = ["n_tokens", "n_sentences", "n_long", "n_chars", "mean_token_length", "lix", "rix"]
 
 
@@ -107,42 +112,38 @@ def standard_scaled(long: DataFrame, key: str, role: str = "role") -> DataFrame:
     return long.join(F.broadcast(fit), "feature").select(key, "feature", rounded((F.col("value") - F.col("m")) / F.col("sd"), 4).alias("z"))  # a row per feature
 
 
-def _runs(items: Column, low: int, high: int, between: str, counted: bool) -> Column:
-    """Runs of low to high neighbouring items of a list or characters of a text; if ``counted`` the different ones with their number.
+def _runs(items: Column, low: int, high: int, between: str) -> Column:
+    """Runs of low to high neighbouring items of a list or characters of a text, in order.
 
     Built-in functions would interpret a lambda for every run, so this is an Arrow function.
     """
 
     def run(column: pa.Array) -> pa.Array:
-        terms, numbers, ends = [], [], [0]
+        terms, ends = [], [0]
         for own in column.to_pylist():
-            found = []
             for n in range(low, high + 1):
                 cut = (own[k : k + n] for k in range(len(own) - n + 1))
-                found += cut if isinstance(own, str) else map(between.join, cut)
-            if counted:
-                found = Counter(found)
-                numbers += found.values()
-            terms += found
+                terms += cut if isinstance(own, str) else map(between.join, cut)
             ends.append(len(terms))
-        values = pa.array(terms, pa.string())
-        if counted:
-            values = pa.StructArray.from_arrays([values, pa.array(numbers, pa.int32())], ["term", "tf"])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(terms, pa.string()))
 
-    return F.arrow_udf(run, "array<struct<term: string, tf: int>>" if counted else "array<string>")(items)
+    return F.arrow_udf(run, "array<string>")(items)
+
+
+def _counted(kernel: Callable[[pa.Array], pa.Array], items: Column) -> Column:
+    return F.arrow_udf(kernel, "array<struct<term: string, tf: int>>")(items)
 
 
 def with_word_grams(texts: DataFrame, low: int, high: int, counted: bool = False) -> DataFrame:
     """id, role, grams: runs of low to high words of at least two letters or digits, joined by spaces; (term, tf) if ``counted``."""
     words = F.filter(tx.tokens(F.col("text")), lambda w: F.length(w) > 1)
-    return texts.select("id", "role", _runs(words, low, high, " ", counted).alias("grams"))
+    return texts.select("id", "role", (_counted(gr.word_runs(low, high, " "), words) if counted else _runs(words, low, high, " ")).alias("grams"))
 
 
 def with_char_grams(texts: DataFrame, low: int, high: int, counted: bool = False) -> DataFrame:
     """id, role, grams: runs of low to high characters of the lower-cased text with white space as single spaces; (term, tf) if ``counted``."""
     plain = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[\s\x0B]+", " ")
-    return texts.select("id", "role", _runs(plain, low, high, "", counted).alias("grams"))
+    return texts.select("id", "role", (_counted(gr.char_runs(low, high), plain) if counted else _runs(plain, low, high, "")).alias("grams"))
 
 
 def vocabulary(documents: DataFrame, min_df: int, most: int) -> DataFrame:
@@ -156,13 +157,36 @@ def vocabulary(documents: DataFrame, min_df: int, most: int) -> DataFrame:
     return terms.crossJoin(F.broadcast(n)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))  # n: one row
 
 
-def tfidf_weights(documents: DataFrame, terms: DataFrame, most: int) -> DataFrame:
+def _weighted(known: pa.Array, idf: np.ndarray) -> Callable[[pa.Array], pa.Array]:
+    """Counted terms -> those that are known, with their weights, the weights of a row of length 1."""
+
+    def weighted(grams: pa.Array) -> pa.Array:
+        flat, sizes = grams.flatten(), pc.list_value_length(grams).fill_null(0).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(grams)), sizes)
+        found = pc.index_in(flat.field("term"), value_set=known).fill_null(-1).to_numpy()
+        keep = found >= 0
+        weight = flat.field("tf").to_numpy(zero_copy_only=False)[keep] * idf[found[keep]]
+        norm = np.sqrt(np.bincount(row[keep], weight * weight, len(grams)))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(grams)))]).astype(np.int32)
+        terms = flat.field("term").filter(pa.array(keep))
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([terms, pa.array(weight / norm[row[keep]])], ["term", "weight"]))
+
+    return weighted
+
+
+def tfidf_weights(documents: DataFrame, terms: DataFrame, most: int, most_bytes: int = MOST_BYTES) -> DataFrame:
     """id, term, weight of documents (id, grams) by the terms and idf of a vocabulary, of these or of other documents: each row of length 1.
 
-    A vocabulary of at most ``MOST_BROADCAST`` terms is broadcast, so only what it has of each document is shuffled.
+    A vocabulary of at most ``MOST_BROADCAST`` terms and ``most_bytes`` bytes is sent to the tasks and a row is weighted where it is; nothing
+    is shuffled then.  A larger one is joined.
     """
     if most <= MOST_BROADCAST:
-        terms = F.broadcast(terms)
+        terms = stage(terms, "terms")
+        if (terms.agg(F.sum(F.octet_length("term") + 12)).first()[0] or 0) <= most_bytes:
+            table = terms.toArrow()
+            known = table.column("term").combine_chunks()
+            weights = F.arrow_udf(_weighted(known, table.column("idf").to_numpy()), "array<struct<term: string, weight: double>>")
+            return documents.select("id", F.explode(weights("grams")).alias("x")).select("id", "x.term", rounded(F.col("x.weight"), 6).alias("weight"))
     counts = documents.select("id", F.explode("grams").alias("g")).select("id", "g.term", "g.tf").join(terms, "term")
     raw = counts.select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
@@ -170,7 +194,8 @@ def tfidf_weights(documents: DataFrame, terms: DataFrame, most: int) -> DataFram
 
 
 def tfidf(documents: DataFrame, min_df: int, most: int, role: str = "role") -> DataFrame:
-    """id, term, weight of documents (id, role, counted grams); terms and their idf are those of the train rows."""
+    """id, term, weight of documents (id, role, counted grams); terms and their idf are those of the train rows.  Grams are counted once."""
+    documents = stage(documents, "grams")
     return tfidf_weights(documents, vocabulary(documents.filter(F.col(role) == "train"), min_df, most), most)
 
 
