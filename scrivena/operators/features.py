@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from scrivena.functions import text as tx
 from scrivena.operators import grams as gr
 from scrivena.operators.evaluation import ratio, rounded
-from scrivena.plans.staging import stage
+from scrivena.plans.staging import spread, stage
 
 MOST_BROADCAST = 200_000  # terms
 MOST_BYTES = 64 << 20  # of these
@@ -137,12 +137,14 @@ def _counted(kernel: Callable[[pa.Array], pa.Array], items: Column) -> Column:
 def with_word_grams(texts: DataFrame, low: int, high: int, counted: bool = False) -> DataFrame:
     """id, role, grams: runs of low to high words of at least two letters or digits, joined by spaces; (term, tf) if ``counted``."""
     words = F.filter(tx.tokens(F.col("text")), lambda w: F.length(w) > 1)
+    texts = spread(texts) if counted else texts
     return texts.select("id", "role", (_counted(gr.word_runs(low, high, " "), words) if counted else _runs(words, low, high, " ")).alias("grams"))
 
 
 def with_char_grams(texts: DataFrame, low: int, high: int, counted: bool = False) -> DataFrame:
     """id, role, grams: runs of low to high characters of the lower-cased text with white space as single spaces; (term, tf) if ``counted``."""
     plain = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[\s\x0B]+", " ")
+    texts = spread(texts) if counted else texts
     return texts.select("id", "role", (_counted(gr.char_runs(low, high), plain) if counted else _runs(plain, low, high, "")).alias("grams"))
 
 
