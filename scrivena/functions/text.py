@@ -22,6 +22,20 @@ def canonical_id(value: Column) -> Column:
     return F.when(text.isNull(), "").when(whole, F.floor(number).cast("string")).otherwise(text)
 
 
+def flag(value: Column) -> Column:
+    """Whether a value reads as yes: true, 1 or yes in any case; null and anything else is no."""
+    return F.coalesce(F.lower(F.trim(value.cast("string"))).isin("true", "1", "yes"), F.lit(False))
+
+
+def label(value: Column, aliases: dict[str, str] | None = None) -> Column:
+    """A label's text as ``canonical_id`` has it, by its other name if ``aliases`` has one."""
+    text = canonical_id(value)
+    out = text
+    for old, new in (aliases or {}).items():
+        out = F.when(text == old, new).otherwise(out)
+    return out
+
+
 def normalised_text(text: Column) -> Column:
     """Without zero-width characters, soft hyphens and runs of three or more double quotes; white space as single spaces."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), ZERO_WIDTH, "")

@@ -47,6 +47,39 @@ def with_age(df: DataFrame) -> DataFrame:
     return filled.withColumn("age", F.year("date") - F.col("birthyear"))
 
 
+def with_fixes(df: DataFrame, fixes: DataFrame, column: str, name: str = "name") -> DataFrame:
+    """``df`` with ``column`` as a reviewed table ``fixes`` (name, since, value) says, for rows of that name dated since then.
+
+    Names are compared without case and outer or repeated spaces; of several fixes of a row the one with the latest ``since`` holds, a null
+    ``since`` for all dates.  Other rows, and those of a null name, stay as they are.
+    """
+    folded = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    by_name = fixes.groupBy(folded(F.col("name")).alias("_name")).agg(F.array_sort(F.collect_list(F.struct("since", "value"))).alias("_fixes"))  # reviewed by hand
+    joined = df.join(by_name, folded(F.col(name)) == F.col("_name"), "left")
+    due = F.filter("_fixes", lambda f: f["since"].isNull() | (f["since"] <= F.col("date")))
+    last = F.try_element_at(due, F.lit(-1))["value"]
+    return joined.withColumn(column, F.coalesce(last, F.col(column))).drop("_name", "_fixes")
+
+
+def with_columns_only(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Those of ``columns`` that there are, in that order; a missing ``partyname`` is null."""
+    if "partyname" not in df.columns:
+        df = df.withColumn("partyname", F.lit(None).cast("string"))
+    return df.select(*(c for c in columns if c in df.columns))
+
+
+def supported_languages(df: DataFrame, languages: list[str]) -> DataFrame:
+    """Rows in one of ``languages``; null is none."""
+    return df.filter(F.col("language").isin(languages))
+
+
+def distribution(authors: DataFrame, column: str) -> DataFrame:
+    """column, count, pct of the authors' values, null among them."""
+    counts = authors.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
+    whole = counts.agg(F.sum("count").alias("_whole"))
+    return counts.crossJoin(F.broadcast(whole)).select(column, "count", (100.0 * F.col("count") / F.col("_whole")).alias("pct"))  # whole: one row
+
+
 def complete_profiles(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.dropna(subset=columns)
 

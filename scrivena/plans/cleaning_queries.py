@@ -257,3 +257,37 @@ def canonical_ids(spark, d):
     i = F.col("doc_id")
     given = F.when(i % 3 == 0, F.concat(i.cast("string"), F.lit(".0"))).when(i % 3 == 1, F.concat(F.lit(" "), i.cast("string"))).otherwise(F.concat(F.lit("x"), i.cast("string")))
     return table(spark, d, "documents").select("doc_id", tx.canonical_id(given).alias("id"))
+
+
+FIXES = [("  CUSTOMER#000000004", None, 30), ("customer#000000007", "1996-01-01", 41), ("Customer#000000007", "1997-06-01", 42)]
+
+
+@query("reviewed_fixes", with_views("speech", """, fx(name, since, value) as (values ('customer#000000004', null, 30), ('customer#000000007', '1996-01-01', 41), ('customer#000000007', '1997-06-01', 42))
+select id_speech, coalesce((select arg_max(value, coalesce(since, '')) from fx where fx.name = lower(s.name) and (since is null or since::date <= s.date)), age)::int as age from speech s"""))
+def reviewed_fixes(spark, d):
+    fixes = spark.createDataFrame(FIXES, "name string, since string, value int").withColumn("since", F.to_date("since"))
+    return cl.with_fixes(views.speech(spark, d), fixes, "age").select("id_speech", "age")
+
+
+@query("author_party_distribution", with_views("speech", """, a as (select id_person, arg_min(party, (date, time, id_speech)) as party from speech group by 1)
+select party, count(*) as count, 100.0::double * count(*) / sum(count(*)) over () as pct from a group by party"""))
+def author_party_distribution(spark, d):
+    return cl.distribution(cl.author_overview(views.speech(spark, d)), "party")
+
+
+@query("author_language_distribution", with_views("speech", """, n as (select id_person, language, count(*) as n from speech group by all),
+a as (select id_person, language as main_language from n qualify row_number() over (partition by id_person order by n desc, language) = 1)
+select main_language, count(*) as count, 100.0::double * count(*) / sum(count(*)) over () as pct from a group by main_language"""))
+def author_language_distribution(spark, d):
+    return cl.distribution(cl.author_overview(views.speech(spark, d)), "main_language")
+
+
+@query("language_filter", with_views("speech", " select id_speech, language, party from speech where language in ('ASIA', 'EUROPE')"))
+def language_filter(spark, d):
+    return cl.with_columns_only(cl.supported_languages(views.speech(spark, d), ["ASIA", "EUROPE"]), ["id_speech", "gone", "language", "party"])
+
+
+@query("profile_labels", with_views("speech", """ select id_speech, case party when 'BUILDING' then 'builders' else party end as label, id_person % 3 = 1 as is_flagged from speech"""))
+def profile_labels(spark, d):
+    raw_flag = F.element_at(F.array(F.lit("No"), F.lit(" TRUE "), F.lit(None).cast("string")), (F.col("id_person") % 3 + 1).cast("int"))
+    return views.speech(spark, d).select("id_speech", tx.label(F.col("party"), {"BUILDING": "builders"}).alias("label"), tx.flag(raw_flag).alias("is_flagged"))
