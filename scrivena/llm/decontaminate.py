@@ -222,8 +222,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most_bits: int = MOST_B
 def decontaminated(docs: DataFrame, benchmark: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are not contaminated; the side that is joined has the ids of those that are."""
     bad = _judged(docs, benchmark, most_bits).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw")).distinct()
+    bad = stage(bad, "benchmark-contaminated")
     raw = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(stage(bad, "benchmark-contaminated"), docs["doc_id"].eqNullSafe(F.col("_id")) & (raw == F.col("_raw")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (raw == bad["_raw"]), "left_anti")
 
 
 def items_digest(items: list[str]) -> str:

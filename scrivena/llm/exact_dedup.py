@@ -211,9 +211,9 @@ def one_of_each(docs: DataFrame, found: DataFrame, group: list[str]) -> DataFram
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``dropped`` (doc_id, raw) doesn't name; the hashed side has ids only."""
-    names = dropped.select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw")).distinct()
+    names = dropped.select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw")).distinct().hint("shuffle_hash")
     raw = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(names.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_id")) & (raw == F.col("_raw")), "left_anti")
+    return docs.join(names, docs["doc_id"].eqNullSafe(names["_id"]) & (raw == names["_raw"]), "left_anti")
 
 
 def _regrouped(docs: DataFrame, links: DataFrame, differing: DataFrame, key: list[str]) -> DataFrame:

@@ -40,6 +40,33 @@ def test_stages_keep_what_they_should(spark, tmp_path):
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, expected.collect()))
 
 
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, d string, raw string, _id int, node int, kept string, row string"
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    prose = language_rows(40, 2)
+    rows = [(i, t, lang) for i, (_, t, lang) in enumerate(prose)] + [(None, prose[0][1] + " more of it", "aa"), (3, prose[3][1], prose[3][2]), (3, prose[3][1], prose[3][2]), (50, None, None), (51, "", "aa"), (52, "12 !!", "bb")]
+    rows += [(60, " ".join(t for _, t, _ in prose) * 200, "aa")]
+    docs = spark.createDataFrame([(*r, None, 1, "d", "raw", 7, 8, "kept", "row") for r in rows], CLASHING)
+    items = spark.createDataFrame([], "item_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, function in corpus_pipeline.STAGES[:-1]:
+        kept = function(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns
+    kept = kept.collect()
+    ids = [r.doc_id for r in kept]
+    assert ids.count(3) <= 1 and not {50, 51, 52} & set(ids) and 60 in ids and all(tuple(r)[5:] == ("d", "raw", 7, 8, "kept", "row") for r in kept)
+    placed = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()
+    assert {r.doc_id for r in placed} == set(ids)
+
+    (tmp_path / "none").mkdir()
+    docs.filter("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    items.write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_one_row_of_each_group_stays_where_rows_repeat(spark):
     base = " ".join(f"w{i}" for i in range(60))
     schema = "doc_id long, text string, lang string"
