@@ -14,9 +14,8 @@ sizes give each its offset, so a length that very many pieces have is not
 numbered in one task.
 
 Cases: a null or empty text has one piece of no tokens, which is in no bucket
-or batch; very long texts are encoded whole, block by block, cut where a space
-follows another character (at which no token could cross) or, in a stretch of
-``BLOCK_CHARS`` characters without such a place, at its end; equal lengths and
+or batch; very long texts are encoded whole, in blocks that are cut only at
+places no token can cross, however far the next one is; equal lengths and
 repeated rows are packed one by one, rows that are equal in all in any order;
 an empty table gives no rows; further columns are ignored.
 """
@@ -49,7 +48,9 @@ TOKENS_AT_ONCE = 1 << 20
 
 PIECE = "doc_id long, piece int, first_token long, n_tokens int, first_byte long, n_bytes long, input_ids array<int>"
 PIECE_COLUMNS = ["doc_id", "piece", "first_token", "n_tokens", "first_byte", "n_bytes", "input_ids"]
-_PLACE = re.compile(r"(?<=\S)\s")
+# No match of WORDS goes on from another character to white space (``\x1c`` to ``\x1f`` are none for the tokenizer), from an
+# ASCII letter to another ASCII character than a letter, or from an ASCII digit to another than a digit.
+_PLACE = re.compile(r"(?<=[\S\x1c-\x1f])[^\S\x1c-\x1f]|(?<=[A-Za-z])(?=[!-@\[-`{-~])|(?<=[0-9])(?=[!-/:-~])")
 
 
 @functools.cache
@@ -66,17 +67,11 @@ def load_tokenizer(path: str):
 
 
 def blocks_of(text: str, most: int = BLOCK_CHARS) -> Iterator[str]:
-    """The text in blocks of about ``most`` characters, each of which is encoded as it would be within the whole."""
+    """The text in blocks of ``most`` characters and on to the next place, each of which is encoded as it would be within the whole."""
     at = 0
-    while len(text) - at > most:
-        cut = text.rfind(" ", at + 1, at + most)
-        while cut > at and text[cut - 1].isspace():
-            cut -= 1
-        if cut <= at:
-            place = _PLACE.search(text, at + 1, at + 2 * most)
-            cut = place.start() if place else at + most
-        yield text[at:cut]
-        at = cut
+    while len(text) - at > most and (place := _PLACE.search(text, at + most)):
+        yield text[at : place.start()]
+        at = place.start()
     yield text[at:]
 
 
