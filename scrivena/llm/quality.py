@@ -15,11 +15,13 @@ labelled rows, chosen by a hash of the doc_id.
 Cases: a null text is scored as empty; an empty text has zeros for statistics
 and a score like any other; a doc_id with several labels has their mean; null
 labels are none; without labels all scores are 0.5; repeated rows are scored
-each for itself; an empty table gives no rows; further columns are ignored.
+each for itself; a text of over ``BLOCK_BYTES`` is read in blocks, with a hash of each different
+word and line held beside them; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivena.llm.words import runs_of_texts, utf8, words_of
+from scrivena.llm.words import BLOCK_BYTES, blocks_of, runs_of_texts, utf8, words_of
 from scrivena.plans.staging import stage
 
 FIT_ROWS = 20_000
@@ -46,10 +48,110 @@ NAMES = [
 ]
 
 
-def _shares(kinds: np.ndarray, offsets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Share of each text's bytes that are of a kind."""
-    sums = np.concatenate([[0], np.cumsum(kinds)])
-    return (sums[offsets[1:]] - sums[offsets[:-1]]) / sizes
+# Of the kinds of bytes that are counted: upper case, symbols, stops, digits, spaces, pipes.
+_UPPER, _STOPS, _DIGITS, _SPACES, _PIPES = (np.isin(np.arange(256), list(x)) for x in (range(65, 91), b".,", range(48, 58), b" \n", b"|"))
+_LETTERS = _UPPER | np.isin(np.arange(256), [*range(97, 123), *range(128, 256)])
+KINDS = np.stack([_UPPER, ~(_LETTERS | _DIGITS | _STOPS | _SPACES), _STOPS, _DIGITS, _SPACES, _PIPES])
+
+
+class Distinct:
+    """How many different hashes were added.  Those held are merged when as many again have come, so each is held about twice."""
+
+    def __init__(self) -> None:
+        self.merged, self.waiting, self.n = np.zeros(0, np.uint64), [], 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.waiting.append(np.unique(hashes))
+        self.n += len(self.waiting[-1])
+        if self.n > len(self.merged) + BLOCK_BYTES // 8:
+            self.count()
+
+    def count(self) -> int:
+        if self.waiting:
+            self.merged, self.waiting, self.n = np.unique(np.concatenate([self.merged, *self.waiting])), [], 0
+        return len(self.merged)
+
+
+def _rows(nbytes, count, total, squares, distinct, repeats, kinds, lines, different_lines) -> np.ndarray:
+    """The statistics of texts, from arrays of their sums; kinds is KINDS x texts."""
+    n, some = np.maximum(count, 1), np.maximum(nbytes, 1)
+    mean = total / n
+    upper, symbols, stops, digits, spaces, pipes = kinds
+    return np.column_stack(
+        [
+            np.log1p(nbytes),
+            np.log1p(count),
+            mean,
+            np.sqrt(np.maximum(squares / n - mean**2, 0)),
+            distinct / n,
+            np.log1p(distinct) / np.log1p(n),
+            repeats / n,
+            upper / some,
+            symbols / some,
+            stops / n,
+            digits / some,
+            spaces / some,
+            1 - different_lines / lines,
+            pipes / n,
+            np.log1p(count / lines),
+        ]
+    )
+
+
+def _of_run(data: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The statistics of a run of texts that fit in a block."""
+    at = own - own[0]
+    body = data[own[0] : own[-1]]
+    words = words_of(data, own)
+    first, last = words.first[:-1], words.first[1:]
+    lengths = words.ends - words.starts
+    total, squares = (np.concatenate([[0], np.cumsum(x)]) for x in (lengths, lengths**2))
+    same = np.zeros(len(words.hashes) + 1, np.int64)
+    same[2:] = np.cumsum(words.hashes[1:] == words.hashes[:-1])
+    sums = (np.concatenate([[0], np.cumsum(kind[body])]) for kind in KINDS)
+    lines = [body[a:b].tobytes().split(b"\n") for a, b in zip(at[:-1], at[1:])]
+    return _rows(
+        np.diff(own),
+        words.counts(),
+        total[last] - total[first],
+        squares[last] - squares[first],
+        np.array([len(np.unique(words.hashes[a:b])) for a, b in zip(first, last)]),
+        same[last] - same[np.minimum(first + 1, last)],
+        np.stack([x[at[1:]] - x[at[:-1]] for x in sums]),
+        np.array([len(x) for x in lines]),
+        np.array([len(set(x)) for x in lines]),
+    )
+
+
+def _line_hashes(data: np.ndarray) -> Iterator[np.ndarray]:
+    """64-bit hashes of the lines of a text, of one block after the other; a line may reach over many."""
+    line = hashlib.blake2b(digest_size=8)
+    for at in range(0, len(data), BLOCK_BYTES):
+        found = []
+        head, *more = data[at : at + BLOCK_BYTES].tobytes().split(b"\n")
+        line.update(head)
+        for own in more:
+            found.append(line.digest())
+            line = hashlib.blake2b(own, digest_size=8)
+        yield np.frombuffer(b"".join(found), np.uint64)
+    yield np.frombuffer(line.digest(), np.uint64)
+
+
+def _of_long(data: np.ndarray) -> np.ndarray:
+    """The statistics of one longer text, block by block: what is held of it beside is a hash for each different word and line."""
+    count = total = squares = repeats = lines = 0
+    different, different_lines = Distinct(), Distinct()
+    for words, _, again in blocks_of(data, 1):
+        hashes, lengths = words.hashes[again:], (words.ends - words.starts)[again:]
+        count, total, squares = count + len(hashes), total + int(lengths.sum()), squares + int((lengths**2).sum())
+        repeats += int((words.hashes[1:] == words.hashes[:-1]).sum())  # with the last word of the block before
+        different.add(hashes)
+    for hashes in _line_hashes(data):
+        lines += len(hashes)
+        different_lines.add(hashes)
+    kinds = KINDS @ sum(np.bincount(data[at : at + BLOCK_BYTES], minlength=256) for at in range(0, len(data), BLOCK_BYTES))
+    sums = (len(data), count, total, squares, different.count(), repeats)
+    return _rows(*(np.array([x]) for x in sums), kinds[:, None], np.array([lines]), np.array([different_lines.count()]))
 
 
 def statistics(column: pa.Array) -> np.ndarray:
@@ -58,51 +160,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     out = np.zeros((len(column), len(NAMES)))
     for begin, end in runs_of_texts(offsets):
         own = offsets[begin : end + 1]
-        body, at = data[own[0] : own[-1]], own - own[0]
-        nbytes = np.diff(at)
-        some = np.maximum(nbytes, 1)
-        words = words_of(data, own)
-        count = words.counts()
-        n = np.maximum(count, 1)
-        lengths = (words.ends - words.starts).astype(np.float64)
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        squares = np.concatenate([[0], np.cumsum(lengths**2)])
-        mean = (total[words.first[1:]] - total[words.first[:-1]]) / n
-        spread = np.sqrt(np.maximum((squares[words.first[1:]] - squares[words.first[:-1]]) / n - mean**2, 0))
-        same = np.zeros(len(words.hashes) + 1)
-        if len(words.hashes) > 1:
-            same[2:] = np.cumsum(words.hashes[1:] == words.hashes[:-1])
-            same[1] = 0
-        inner = np.minimum(words.first[:-1] + 1, words.first[1:])
-        repeats = same[words.first[1:]] - same[inner]
-        distinct = np.array([len(np.unique(words.hashes[a:b])) for a, b in zip(words.first[:-1], words.first[1:])])
-        upper = (body >= 65) & (body <= 90)
-        digit = (body >= 48) & (body <= 57)
-        stop = (body == 46) | (body == 44)
-        letter = upper | (body >= 97) & (body <= 122) | (body >= 128)
-        blank = (body == 32) | (body == 10)
-        pipe = body == 124
-        lines = [body[a:b].tobytes().split(b"\n") for a, b in zip(at[:-1], at[1:])]
-        line_count = np.array([len(x) for x in lines])
-        out[begin:end] = np.column_stack(
-            [
-                np.log1p(nbytes),
-                np.log1p(count),
-                mean,
-                spread,
-                distinct / n,
-                np.log1p(distinct) / np.log1p(n),
-                repeats / n,
-                _shares(upper, at, some),
-                _shares(~(letter | digit | stop | blank), at, some),
-                _shares(stop, at, some) * some / n,
-                _shares(digit, at, some),
-                _shares(blank, at, some),
-                1 - np.array([len(set(x)) for x in lines]) / line_count,
-                _shares(pipe, at, some) * some / n,
-                np.log1p(count / line_count),
-            ]
-        )
+        out[begin:end] = _of_run(data, own) if own[-1] - own[0] <= BLOCK_BYTES else _of_long(data[own[0] : own[-1]])
     return out
 
 

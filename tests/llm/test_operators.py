@@ -1,5 +1,6 @@
 """Small cases of each operator: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
+import base64
 import hashlib
 import itertools
 import math
@@ -691,12 +692,15 @@ def test_long_texts_are_encoded_as_they_would_be_whole(monkeypatch):
     tokenizer, sizes = packing.load_tokenizer(packing.TOKENIZER_FILE)
     monkeypatch.setattr(packing, "BLOCK_CHARS", 50)
     for _ in range(200):
-        text = "".join(rng.choice(["word", " ", "  ", "\n", "it's", "12", "☃", ", ", "\u3000", " x"]) for _ in range(rng.randrange(200)))
+        text = "".join(rng.choice(["word", " ", "  ", "\n", "it's", "12", "☃", ", ", "\u3000", " x", "\x1c", "é", "'ll", "Ⅷ", "\x85"]) for _ in range(rng.randrange(200)))
         assert "".join(packing.blocks_of(text, 50)) == text
         assert packing.encoded(text).tolist() == tokenizer.encode_ordinary(text)
-    for text in ("x" * 1000, " " * 1000, "\n" * 130 + "y" * 200):  # cut in the stretch: other tokens, the same text
+    coded = base64.b64encode(rng.randbytes(20_000)).decode()
+    han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(5000))
+    for text in ("x" * 1000, " " * 1000, "\n" * 130 + "y" * 200, coded, han, han + "。" * 300 + han, "!\x1c" * 300):  # stretches without a space
         ids = packing.encoded(text)
-        assert tokenizer.decode(ids.tolist()) == text and sizes[ids].sum() == len(text)
+        assert ids.tolist() == tokenizer.encode_ordinary(text) and sizes[ids].sum() == len(text.encode())
+    assert len(list(packing.blocks_of(coded, 50))) > 300
 
 
 # 7 Jaccard join
@@ -855,6 +859,90 @@ def test_statistics_of_a_text():
     assert np.isfinite(quality.statistics(pa.array([None, "", "\n", "a"]))).all()
 
 
+def statistics_by_force(text):
+    raw = (text or "").encode()
+    found = [w.encode() for w in words_in(text)]
+    lines = raw.split(b"\n")
+    n, size = max(1, len(found)), max(1, len(raw))
+    kinds = {k: sum(c in own for c in raw) for k, own in {"upper": string.ascii_uppercase.encode(), "stops": b".,", "digits": b"0123456789", "spaces": b" \n", "pipes": b"|"}.items()}
+    plain = string.ascii_letters.encode() + string.digits.encode() + b"., \n"
+    lengths = [len(w) for w in found] or [0]
+    distinct = len(set(found))
+    return {
+        "log_chars": math.log1p(len(raw)),
+        "log_words": math.log1p(len(found)),
+        "word_bytes": sum(lengths) / n,
+        "word_bytes_sd": float(np.std(lengths)),
+        "distinct_words": distinct / n,
+        "log_distinct": math.log1p(distinct) / math.log1p(n),
+        "same_as_before": sum(a == b for a, b in itertools.pairwise(found)) / n,
+        "upper": kinds["upper"] / size,
+        "symbols": sum(c not in plain and c < 128 for c in raw) / size,
+        "stops": kinds["stops"] / n,
+        "digits": kinds["digits"] / size,
+        "spaces": kinds["spaces"] / size,
+        "repeated_lines": 1 - len(set(lines)) / len(lines),
+        "pipes": kinds["pipes"] / n,
+        "line_words": math.log1p(len(found) / len(lines)),
+    }
+
+
+def odd_text(rng, n):
+    return "".join(rng.choice(["word", "Word", " ", " ", "\n", "a a a", "12", "☃é", ".", ", ", "|", "##", "\nsame line\n", "\x00", "ÜB"]) for _ in range(n))
+
+
+@pytest.mark.parametrize("block", [1 << 20, 64, 7])
+def test_statistics_against_brute_force(monkeypatch, block):
+    monkeypatch.setattr(quality, "BLOCK_BYTES", block)
+    monkeypatch.setattr(words, "BLOCK_BYTES", block)
+    rng = random.Random(71)
+    texts = [odd_text(rng, rng.randrange(120)) for _ in range(120)] + [None, "", "\n", "\n\n", "x" * 300, "a " * 100, "b\n" * 90, "x" * 99 + "\n" + "x" * 99]
+    found = np.concatenate([quality.statistics(pa.array([t], pa.string())) for t in texts])
+    expected = [statistics_by_force(t) for t in texts]
+    assert np.allclose(found, [[e[k] for k in quality.NAMES] for e in expected], rtol=1e-9, atol=1e-6)
+    if block == 1 << 20:  # texts of one run
+        assert np.allclose(quality.statistics(pa.array(texts, pa.string())), found, rtol=1e-12)
+
+
+def scores_by_force(rows, labels):
+    """Random features, ridge by least squares on stacked equations, isotonic by its minimax form, all in one place."""
+    stats = np.array([[statistics_by_force(t)[k] for k in quality.NAMES] for _, t, _ in rows])
+    given = {}
+    for i, q, _ in labels:
+        if i is not None and q is not None and zlib.crc32(str(i).encode()) % 5:
+            given.setdefault(i, []).append(q)
+    at = [k for k, (i, _, _) in enumerate(rows) if i in given]
+    y = np.array([np.mean(given[rows[k][0]]) for k in at])
+    half = np.array([zlib.crc32(f"half{rows[k][0]}".encode()) % 2 for k in at])
+    rng = np.random.default_rng(20268)
+    directions, phases = rng.normal(0, 1 / quality.BANDWIDTH, (len(quality.NAMES), quality.FEATURES)), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    mean, sd = stats[at].mean(axis=0), stats[at].std(axis=0)
+    x = np.clip((stats - mean) / np.where(sd > 1e-9, sd, 1), -quality.CLIP, quality.CLIP)
+    z = np.column_stack([np.sqrt(2 / quality.FEATURES) * np.cos(x @ directions + phases), np.ones(len(x))])
+
+    def ridge(own_z, own_y):
+        more = math.sqrt(quality.RIDGE * 10 * len(own_y) / z.shape[1])
+        return np.linalg.lstsq(np.vstack([own_z, more * np.eye(z.shape[1])]), np.concatenate([own_y, np.zeros(z.shape[1])]), rcond=None)[0]
+
+    fitted = z[at]
+    raw = np.where(half == 0, fitted @ ridge(fitted[half == 1], y[half == 1]), fitted @ ridge(fitted[half == 0], y[half == 0]))
+    bins = np.clip(np.floor(raw * quality.BINS / 2), -quality.BINS // 2, quality.BINS)
+    each = sorted(set(bins))
+    middle, share, n = (np.array([f(bins == b) for b in each]) for f in (lambda o: raw[o].mean(), lambda o: y[o].mean(), np.sum))
+    best = [max(min(np.average(share[j : k + 1], weights=n[j : k + 1]) for k in range(i, len(n))) for j in range(i + 1)) for i in range(len(n))]
+    return np.clip(np.interp(z @ ridge(fitted, y), middle, best), 0, 1)
+
+
+def test_scores_against_a_plain_fit(spark):
+    rng = random.Random(73)
+    rows = [(i, odd_text(rng, rng.randrange(5, 80)), None) for i in range(150)] + [(900, None, None), (3, "another text of three", None)]
+    labels = [(i, int(len(t) + rng.randrange(-60, 60) > 120), 0) for i, t, _ in rows if t] + [(5, 1, 0), (6, None, 0), (None, 1, 0)]
+    found = quality.scored(documents(spark, rows).coalesce(1), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    expected = scores_by_force(rows, labels)
+    assert [r.doc_id for r in found] == [i for i, _, _ in rows] and len({r.score for r in found}) > 5
+    assert np.allclose([r.score for r in found], expected, atol=1e-6)
+
+
 def test_quality_is_learned(spark):
     rng = random.Random(29)
     rows, labels = [], []
