@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scrivena.llm.batches import bounded
 from scrivena.plans.staging import stage
 
 TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -167,7 +168,7 @@ def formatted(conversations: DataFrame, tokenizer_file: str = TOKENIZER_FILE) ->
 
     whole tells that the row is all of its conversation; the rows of any other go by chunk, then part.
     """
-    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = bounded(conversations).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     size = F.length("role") + F.length("text") + TURN_CHARS
     sizes = rows.groupBy(F.col("conv_id").alias("long_id")).agg(F.sum(size).alias("size"))
     long = stage(sizes.filter(F.col("size") > PART_CHARS).select("long_id"), "chat-long")

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scrivena.llm.batches import bounded
 from scrivena.llm.words import Words, grams, taken, utf8
 from scrivena.plans.staging import stage
 
@@ -183,7 +184,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, most_bits: int) -> DataFrame:
     windows = stage(items.mapInArrow(_windows, WINDOWS).distinct(), "benchmark-windows")
     number = windows.count()
     lengths = sorted(r.n for r in windows.filter("n > 0").select("n").distinct().collect())  # SPAN different ones at most
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw"), "text")
+    rows = bounded(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw"), "text")
     scanned = stage(rows.mapInArrow(_scan(lengths, _bit_map(windows, number, most_bits)), CANDIDATES), "benchmark-candidates")
     nothing = scanned.filter(F.size("candidates") == 0).select(
         "doc_id", "raw", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"),

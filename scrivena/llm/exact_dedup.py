@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrivena.llm.batches import bounded
 from scrivena.llm.words import LOWER, runs_of_texts, utf8
 from scrivena.plans.staging import stage
 
@@ -131,7 +132,7 @@ def fingerprints(docs: DataFrame, segment_chars: int = SEGMENT_CHARS) -> DataFra
     staged under a number of their row, which thus stays the same if tasks are run again.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("raw"))
+    rows = bounded(docs).select("doc_id", text.alias("text"), F.xxhash64(text).alias("raw"))
     hashes = ", ".join(f"h{k} long" for k in range(N)) + ", n_bytes long"
     short = rows.filter(F.length("text") <= segment_chars).mapInArrow(_hash_texts, f"doc_id long, raw long, {hashes}, text_sha256 string")
     long = stage(rows.filter(F.length("text") > segment_chars).withColumn("row", F.monotonically_increasing_id()), "dedup-long")

@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scrivena.llm.batches import bounded
 from scrivena.llm.components import connected_components
 from scrivena.llm.exact_dedup import one_of_each
 from scrivena.llm.words import grams, mix, taken, utf8
@@ -406,7 +407,7 @@ def near_duplicates(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD
 
 def _classed(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """As ``near_duplicates``, with what tells classes apart that share a class_id: worded, and class (of wordless rows raw)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw"), "text")
+    rows = bounded(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw"), "text")
     described = stage(rows.mapInArrow(_describe(n), "row long, doc_id long, raw long, n_words long, d1 long, d2 long, bands array<long>"), "jaccard-described")
     worded = described.filter("n_words > 0")
     # Sums by key are staged before they are joined back, so that a key with very many rows can be split in the join.

@@ -34,6 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrivena.llm.batches import bounded
 from scrivena.plans.staging import stage
 
 FIT_ROWS = 40_000
@@ -160,7 +161,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Coder:
     To the driver come the languages, one margin of each language and bit, and for each of SUM_PARTS tasks the
     sums of two shares of each bucket and bit; counts by language stay distributed.
     """
-    rows = _sample(labelled.filter("lang is not null and text <> ''").select("text", "lang"), fit_rows)
+    rows = _sample(bounded(labelled).filter("lang is not null and text <> ''").select("text", "lang"), fit_rows)
     counts = rows.mapInPandas(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # One row for each language: the share of bucket b is (n + 0.5) / (total + BUCKETS / 2).
     shares = stage(

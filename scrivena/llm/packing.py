@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scrivena.llm.batches import bounded
 from scrivena.plans.staging import stage
 
 TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -154,7 +155,7 @@ def pieces(docs: DataFrame, most_tokens: int = MOST_TOKENS, tokenizer_file: str
 
     hash is a CRC-32 of doc_id and piece as text ("7/0"), then the ids as little-endian 32-bit numbers.
     """
-    return docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer_file, most_tokens), f"{PIECE}, hash long")
+    return bounded(docs).select("doc_id", "text").mapInArrow(_pieces(tokenizer_file, most_tokens), f"{PIECE}, hash long")
 
 
 def packed(docs: DataFrame, most_tokens: int = MOST_TOKENS, buckets: int = BUCKETS, budget: int = BUDGET, tokenizer_file: str = TOKENIZER_FILE) -> DataFrame:

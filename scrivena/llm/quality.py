@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrivena.llm.batches import bounded
 from scrivena.llm.words import BLOCK_BYTES, blocks_of, runs_of_texts, utf8, words_of
 from scrivena.plans.staging import stage
 
@@ -274,7 +275,7 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
 def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of ``docs``; labels of held-out documents aren't looked at."""
-    stats = stage(docs.select("doc_id", stats_of(F.col("text")).alias("stats")), "quality-stats")
+    stats = stage(bounded(docs).select("doc_id", stats_of(F.col("text")).alias("stats")), "quality-stats")
     model = fit(stats, labels.filter(~held_out(F.col("doc_id"))), fit_rows)
 
     def run(column: pa.Array) -> pa.Array:
