@@ -1,9 +1,9 @@
 """Signals of frozen profilers on other texts, and what the weights of models say.
 
 A profiler is a long table of weights (unit, target, class, block, term, idf, weight) with a row for each
-class's intercept (term null) and curves (unit, target, class, a, b).  Applying it is a join of counted terms
-with the profiler's terms of the fold that the text's unit is resolved to, and one aggregation: no model
-object is loaded anywhere.
+class's intercept (term null) and curves (unit, target, class, a, b).  Applying it looks counted terms up among
+the profiler's terms of the fold that the text's unit is resolved to, in the tasks or, if these are too many to be sent there, by
+a join, and adds up: no model object is loaded anywhere.
 
 Cases: a text without known terms gets the intercepts' probabilities; classes of a target share what their curves give, also if it
 is all 0; a text in several units has signals in each; authors that are in a fold's profiling corpus and
@@ -12,6 +12,11 @@ among the texts are an error when the result is read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +24,9 @@ from scrivena.operators.evaluation import ratio
 from scrivena.operators.features import hard_labels
 from scrivena.operators.integrity import require
 
+#: Largest table of weights that is sent to the tasks; a larger one is joined.
+MOST_BYTES = 64 << 20
+
 
 def resolved(members: DataFrame, stage_name: str) -> DataFrame:
     """``members`` (unit, id) with profiler: that of the same fold in development, ``final`` otherwise."""
@@ -31,6 +39,69 @@ def disjoint(result: DataFrame, authors: DataFrame, profiled: DataFrame) -> Data
     return require(result, both.agg(F.count(F.lit(1)).alias("offending")), "authors of the texts are in the profiling corpus")
 
 
+def _matrices(table: pa.Table) -> dict[tuple[str, str], tuple[pa.Array, np.ndarray, list[tuple], np.ndarray]]:
+    """Terms, their idf, (target, class) of each column and the matrix of weights, by profiler and block."""
+    found = {}
+    for (profiler, block), own in table.to_pandas().groupby(["profiler", "block"]):
+        term = own.term.astype("category")
+        columns = sorted(set(zip(own.target, own["class"])))
+        at = {c: k for k, c in enumerate(columns)}
+        matrix = np.zeros((len(term.cat.categories), len(columns)))
+        matrix[term.cat.codes, [at[c] for c in zip(own.target, own["class"])]] = own.weight
+        idf = np.zeros(len(matrix))
+        idf[term.cat.codes] = own.idf
+        found[profiler, block] = (pa.array(term.cat.categories, pa.string()), idf, columns, matrix)
+    return found
+
+
+def _applied(table: pa.Table):
+    """(id, block, grams, _m) -> the sum of each target's class over a text's terms and their length, for each unit and block."""
+
+    def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrices = _matrices(table)
+        for batch in batches:
+            n, grams, members = batch.num_rows, batch.column("grams"), batch.column("_m")
+            row = np.repeat(np.arange(n), pc.list_value_length(grams).fill_null(0).to_numpy(zero_copy_only=False))
+            tf = grams.flatten().field("tf").to_numpy(zero_copy_only=False).astype(np.float64)
+            coded = grams.flatten().field("term").dictionary_encode()
+            number = coded.indices.to_numpy()
+            owner = np.repeat(np.arange(n), pc.list_value_length(members).fill_null(0).to_numpy(zero_copy_only=False))
+            for (profiler, block), (terms, idf, columns, weights) in matrices.items():
+                here = np.array([b == block for b in batch.column("block").to_pylist()], bool)
+                own = pc.equal(members.flatten().field("profiler"), profiler).fill_null(False).to_numpy(zero_copy_only=False) & here[owner]
+                if not own.any():
+                    continue
+                wanted = np.zeros(n, bool)
+                wanted[owner[own]] = True
+                j = pc.index_in(coded.dictionary, value_set=terms).fill_null(-1).to_numpy()[number]
+                some = (j >= 0) & wanted[row]
+                r, x = row[some], tf[some] * idf[j[some]]
+                length = np.sqrt(np.bincount(r, x * x, n))
+                sums = np.stack([np.bincount(r, x * weights[j[some], k], n) for k in range(len(columns))], axis=1)
+                hit = own & (np.bincount(r, minlength=n) > 0)[owner]  # texts without known terms have no row
+                at, k = owner[hit], len(columns)
+                each = pa.array(np.repeat(at, k))
+                units = members.flatten().field("unit").filter(pa.array(hit)).take(pa.array(np.repeat(np.arange(len(at)), k)))
+                targets, classes = (pa.array([c[i] for c in columns]).take(pa.array(np.tile(np.arange(k), len(at)))) for i in (0, 1))
+                m = len(at) * k
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(each), units, pa.array([profiler] * m, pa.string()), pa.array([block] * m, pa.string()), targets, classes.cast(table.schema.field("class").type), pa.array(sums[at].ravel()), pa.array(np.repeat(length[at], k))],
+                    ["id", "unit", "profiler", "block", "target", "class", "sum", "length"],
+                )
+
+    return applied
+
+
+def _joined(counted: DataFrame, members: DataFrame, weights: DataFrame) -> DataFrame:
+    """The same by joins, for weights of any number."""
+    known = weights.groupBy(F.col("unit").alias("profiler"), "block", "term").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("target", "class", "weight")).alias("w"))
+    terms = counted.join(members, "id").select("unit", "profiler", "id", "block", F.explode("grams").alias("g")).select("unit", "profiler", "id", "block", "g.term", "g.tf")
+    hits = terms.join(known, ["profiler", "block", "term"]).withColumn("x", F.col("tf") * F.col("idf"))
+    lengths = hits.groupBy("unit", "profiler", "id", "block").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
+    sums = hits.select("unit", "profiler", "id", "block", "x", F.explode("w").alias("w")).groupBy("unit", "profiler", "id", "block", "w.target", "w.class").agg(F.sum(F.col("x") * F.col("w.weight")).alias("sum"))
+    return sums.join(lengths, ["unit", "profiler", "id", "block"])
+
+
 def decision_values(counted: DataFrame, members: DataFrame, weights: DataFrame, block_weights: dict[str, float] | None = None) -> DataFrame:
     """unit, id, target, class, score of every text of ``members`` (unit, profiler, id) by its profiler.
 
@@ -39,12 +110,15 @@ def decision_values(counted: DataFrame, members: DataFrame, weights: DataFrame,
     """
     pairs = [F.lit(x) for k, v in (block_weights or {"": 1.0}).items() for x in (k, float(v))]
     share = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("block")), F.lit(1.0))
-    known = weights.filter("term is not null").groupBy(F.col("unit").alias("profiler"), "block", "term").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("target", "class", "weight")).alias("w"))
-    terms = counted.join(members, "id").select("unit", "profiler", "id", "block", F.explode("grams").alias("g")).select("unit", "profiler", "id", "block", "g.term", "g.tf")
-    hits = terms.join(known, ["profiler", "block", "term"]).withColumn("x", F.col("tf") * F.col("idf"))
-    lengths = hits.groupBy("unit", "profiler", "id", "block").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-    sums = hits.select("unit", "profiler", "id", "block", "x", F.explode("w").alias("w")).groupBy("unit", "profiler", "id", "block", "w.target", "w.class").agg(F.sum(F.col("x") * F.col("w.weight")).alias("sum"))
-    blocks = sums.join(lengths, ["unit", "profiler", "id", "block"]).groupBy("unit", "profiler", "id", "target", "class").agg(
+    own = weights.filter("term is not null")
+    if (own.agg(F.sum(F.octet_length("term") + 32)).first()[0] or 0) <= MOST_BYTES:
+        table = own.select(F.col("unit").alias("profiler"), "block", "term", "target", "class", "idf", "weight").toArrow()
+        kinds = {c: kind for c, kind in [*members.dtypes, *weights.dtypes, *counted.dtypes]}
+        applied = counted.join(members.groupBy("id").agg(F.collect_list(F.struct("unit", "profiler")).alias("_m")), "id").select("id", "block", "grams", "_m")
+        parts = applied.mapInArrow(_applied(table), f"id {kinds['id']}, unit {kinds['unit']}, profiler string, block string, target string, class {kinds['class']}, sum double, length double")
+    else:
+        parts = _joined(counted, members, own)
+    blocks = parts.groupBy("unit", "profiler", "id", "target", "class").agg(
         F.sum(ratio(F.col("sum"), F.col("length")) * share).alias("sum"), F.sqrt(F.sum(F.when(F.col("length") > 0, share * share))).alias("norm")
     )
     intercepts = weights.filter("term is null").select(F.col("unit").alias("profiler"), "target", "class", F.col("weight").alias("intercept"))
