@@ -119,6 +119,11 @@ def ranked_scores(scores: DataFrame, key: str, k: int) -> DataFrame:
     return scores.groupBy(key).agg(F.first("true_class").alias("true_class"), best.alias("top"))
 
 
+def ranked_rows(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """The same of rows that have a key's (score, class) of all classes together, in ``scores``: nothing is shuffled."""
+    return rows.select(key, "true_class", F.slice(F.sort_array("scores", asc=False), 1, k).alias("top"))
+
+
 def topk_rescue(ranked: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     """by..., k, n, n_correct, accuracy, rescued (errors of top 1 that top k has), remaining."""
     by = by or []
@@ -175,7 +180,7 @@ def quartiles(sums: DataFrame, rows: DataFrame, by: list[str], value: str, name:
 def score_margins(ranked: DataFrame, by: list[Column]) -> DataFrame:
     """by..., n, mean, min, max, median, p25, p75 of the distance between the two best scores."""
     margin = F.col("top")[0]["score"] - F.col("top")[1]["score"]
-    rows = ranked.select(*by, margin.alias("_m"))
+    rows = stage(ranked.select(*by, margin.alias("_m")), "margins")  # read twice
     names = rows.columns[:-1]
     sums = rows.groupBy(*names).agg(
         F.count(F.lit(1)).alias("n"), rounded(F.avg("_m")).alias("mean_margin"), rounded(F.min("_m")).alias("min_margin"), rounded(F.max("_m")).alias("max_margin")
