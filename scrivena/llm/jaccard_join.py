@@ -430,14 +430,15 @@ def _classed(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, toler
         .select("node", "band", "key", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     )
     unit = ["band", "key", "lo", "hi"]
-    units = placed.join(nodes.select("node", "bands"), "node").repartition(*unit).sortWithinPartitions(*unit)
+    # Bands, partners and grams of near copies are alike and small as written, and many times that in memory: no join may broadcast them.
+    units = placed.join(nodes.select("node", "bands").hint("merge"), "node").repartition(*unit).sortWithinPartitions(*unit)
     left = stage(units.mapInArrow(_compare(threshold, tolerance), "unit long, band int, node long, side int, partners array<long>"), "jaccard-candidates")
 
-    wanted = left.select("node").distinct().join(nodes.select("node", "doc_id", F.col("raw").alias("wanted_raw"), "d1", "d2", "bands"), "node").withColumnRenamed("doc_id", "wanted_id")
+    wanted = left.select("node").distinct().join(nodes.select("node", "doc_id", F.col("raw").alias("wanted_raw"), "d1", "d2", "bands").hint("merge"), "node").withColumnRenamed("doc_id", "wanted_id")
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw"), "text")
     fetched = texts.join(wanted.hint("shuffle_hash"), texts.doc_id.eqNullSafe(wanted.wanted_id) & (texts.raw == wanted.wanted_raw)).select("node", "d1", "d2", "bands", "text")
     sets = fetched.mapInArrow(_gram_sets(n), "node long, bands array<long>, grams array<long>").dropDuplicates(["node"])
-    verified = left.join(sets, "node").repartition("unit").sortWithinPartitions("unit")
+    verified = left.join(sets.hint("merge"), "node").repartition("unit").sortWithinPartitions("unit")
     links = stage(verified.mapInArrow(_verify(threshold, tolerance), "node long, links long, root long"), "jaccard-links")
 
     degrees = links.groupBy("node").agg(F.sum("links").alias("n_links"))

@@ -93,3 +93,21 @@ def test_query_matches_duckdb(spark, name):
     assert columns == sorted(expected.columns)
     rows = lambda frame: sorted(map(str, frame[columns].astype(object).where(frame[columns].notna(), None).values.tolist()))
     assert rows(found) == rows(expected)
+
+
+def test_what_near_copies_share_is_never_broadcast(spark, monkeypatch):
+    from scrivena.llm import jaccard_join
+
+    plans, plain = {}, jaccard_join.stage
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, name)
+
+    monkeypatch.setattr(jaccard_join, "stage", seen)
+    words = [f"word{k}" for k in range(40)]
+    docs = spark.createDataFrame([(i, " ".join([*words, f"end{i}"])) for i in range(12)], "doc_id long, text string")
+    found = jaccard_join.near_duplicates(docs).collect()
+    assert {(r.class_id, r.n_links) for r in found} == {(0, 11)}
+    wide = [line for line in plans["jaccard-links"].splitlines() if "BroadcastHashJoin" in line]
+    assert not wide and "BroadcastHashJoin [node" not in plans["jaccard-candidates"]
