@@ -158,8 +158,8 @@ def log_odds(plus: np.ndarray, minus: np.ndarray, code: np.ndarray) -> np.ndarra
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Coder:
     """Learn from rows (text, lang).
 
-    To the driver come the languages, one margin of each language and bit, and for each of SUM_PARTS tasks the
-    sums of two shares of each bucket and bit; counts by language stay distributed.
+    To the driver come the languages, one margin of each language and bit, and for each of SUM_PARTS tasks that has a
+    language the sums of two shares of each bucket and bit; counts by language stay distributed.
     """
     rows = _sample(bounded(labelled).filter("lang is not null and text <> ''").select("text", "lang"), fit_rows)
     counts = rows.mapInPandas(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
@@ -183,15 +183,17 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Coder:
         return own / total
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plus, minus = np.zeros((BUCKETS, bits)), np.zeros((BUCKETS, bits))
+        plus, minus, seen = np.zeros((BUCKETS, bits)), np.zeros((BUCKETS, bits)), False
         for batch in batches:
+            seen = seen or len(batch) > 0
             own = [share_of(*r) for r in zip(batch["buckets"], batch["n"], batch["total"])]
             codes = code[[number[lang] for lang in batch["lang"]]]
             for begin in range(0, len(own), HELD_LANGUAGES):
                 part = np.stack(own[begin : begin + HELD_LANGUAGES]).T
                 plus += part @ (codes[begin : begin + HELD_LANGUAGES] > 0)
                 minus += part @ (codes[begin : begin + HELD_LANGUAGES] < 0)
-        yield pd.DataFrame({"plus": [plus.tobytes()], "minus": [minus.tobytes()]})
+        if seen:  # tasks without a language send nothing, however many tasks there are
+            yield pd.DataFrame({"plus": [plus.tobytes()], "minus": [minus.tobytes()]})
 
     dealt = shares.repartition(SUM_PARTS, "lang").sortWithinPartitions("lang")  # sums in one order, however often they are made
     sums = dealt.mapInPandas(summed, "plus binary, minus binary").collect()

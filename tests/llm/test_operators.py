@@ -267,6 +267,17 @@ def test_numerals_are_no_letters(spark):
     assert {r.lang_pred for r in language_id.identified(documents(spark, rows)).collect() if r.doc_id >= 100} == {"und"}
 
 
+def test_language_sums_come_from_tasks_that_have_a_language(spark, monkeypatch):
+    rows = documents(spark, [(k, text, lang) for k, (text, lang) in enumerate([("abc abd", "aa"), ("xyz xyy", "bb"), ("mno mnp", "cc")] * 4)])
+    one = language_id.fit(rows)
+    sent, collect = [], type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda self: sent.append((self.columns, collect(self))) or sent[-1][1])
+    monkeypatch.setattr(language_id, "SUM_PARTS", 50)
+    many = language_id.fit(rows)
+    assert sum(len(found) for columns, found in sent if columns == ["plus", "minus"]) <= 3
+    assert abs(many.weights - one.weights).max() < 1e-12 and (many.reliability == one.reliability).all()
+
+
 def test_any_number_of_languages_is_learned(spark):
     rng = random.Random(43)
     alphabets = {f"l{k:03d}": "".join(chr(0x4E00 + 20 * k + j) for j in range(20)) for k in range(600)}
