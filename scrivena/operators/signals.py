@@ -96,10 +96,10 @@ def _joined(counted: DataFrame, members: DataFrame, weights: DataFrame) -> DataF
     """The same by joins, for weights of any number."""
     known = weights.groupBy(F.col("unit").alias("profiler"), "block", "term").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("target", "class", "weight")).alias("w"))
     terms = counted.join(members, "id").select("unit", "profiler", "id", "block", F.explode("grams").alias("g")).select("unit", "profiler", "id", "block", "g.term", "g.tf")
-    hits = terms.join(known, ["profiler", "block", "term"]).withColumn("x", F.col("tf") * F.col("idf"))
+    hits = terms.join(known.hint("merge"), ["profiler", "block", "term"]).withColumn("x", F.col("tf") * F.col("idf"))
     lengths = hits.groupBy("unit", "profiler", "id", "block").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
     sums = hits.select("unit", "profiler", "id", "block", "x", F.explode("w").alias("w")).groupBy("unit", "profiler", "id", "block", "w.target", "w.class").agg(F.sum(F.col("x") * F.col("w.weight")).alias("sum"))
-    return sums.join(lengths, ["unit", "profiler", "id", "block"])
+    return sums.join(lengths.hint("merge"), ["unit", "profiler", "id", "block"])
 
 
 def decision_values(counted: DataFrame, members: DataFrame, weights: DataFrame, block_weights: dict[str, float] | None = None) -> DataFrame:
@@ -107,6 +107,7 @@ def decision_values(counted: DataFrame, members: DataFrame, weights: DataFrame,
 
     ``counted`` has id, block and grams (terms with their tf).  Blocks are made length 1, weighted, and the whole made
     length 1, by the sums of their squares, so that one grouping by text does and a second one by target only adds up blocks.
+    Units and sums of texts are small as written and large in memory, so their joins are by merge, never through the driver.
     """
     pairs = [F.lit(x) for k, v in (block_weights or {"": 1.0}).items() for x in (k, float(v))]
     share = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("block")), F.lit(1.0))
@@ -114,7 +115,7 @@ def decision_values(counted: DataFrame, members: DataFrame, weights: DataFrame,
     if (own.agg(F.sum(F.octet_length("term") + 32)).first()[0] or 0) <= MOST_BYTES:
         table = own.select(F.col("unit").alias("profiler"), "block", "term", "target", "class", "idf", "weight").toArrow()
         kinds = {c: kind for c, kind in [*members.dtypes, *weights.dtypes, *counted.dtypes]}
-        applied = counted.join(members.groupBy("id").agg(F.collect_list(F.struct("unit", "profiler")).alias("_m")), "id").select("id", "block", "grams", "_m")
+        applied = counted.join(members.groupBy("id").agg(F.collect_list(F.struct("unit", "profiler")).alias("_m")).hint("merge"), "id").select("id", "block", "grams", "_m")
         parts = applied.mapInArrow(_applied(table), f"id {kinds['id']}, unit {kinds['unit']}, profiler string, block string, target string, class {kinds['class']}, sum double, length double")
     else:
         parts = _joined(counted, members, own)
@@ -122,8 +123,8 @@ def decision_values(counted: DataFrame, members: DataFrame, weights: DataFrame,
         F.sum(ratio(F.col("sum"), F.col("length")) * share).alias("sum"), F.sqrt(F.sum(F.when(F.col("length") > 0, share * share))).alias("norm")
     )
     intercepts = weights.filter("term is null").select(F.col("unit").alias("profiler"), "target", "class", F.col("weight").alias("intercept"))
-    every = members.select("unit", "profiler", "id").join(intercepts, "profiler")
-    found = every.join(blocks, ["unit", "profiler", "id", "target", "class"], "left")
+    every = members.select("unit", "profiler", "id").join(F.broadcast(intercepts), "profiler")  # intercepts: units and classes
+    found = every.join(blocks.hint("merge"), ["unit", "profiler", "id", "target", "class"], "left")
     return found.select("unit", "profiler", "id", "target", "class", (F.col("intercept") + ratio(F.col("sum"), F.col("norm"))).alias("score"))
 
 
@@ -134,7 +135,7 @@ def signals(values: DataFrame, curves: DataFrame) -> DataFrame:
     """
     by = [F.col("unit").alias("profiler"), "target", "class", "a", "b"]
     p = 1 / (1 + F.exp(F.col("a") * F.col("score") + F.col("b")))
-    rows = values.join(curves.select(*by), ["profiler", "target", "class"]).withColumn("_p", p)
+    rows = values.join(F.broadcast(curves.select(*by)), ["profiler", "target", "class"]).withColumn("_p", p)  # curves: units and classes
     own = rows.groupBy("unit", "id", "target").agg(F.array_sort(F.collect_list(F.struct("class", "_p"))).alias("x"))  # a target's classes
     whole = F.aggregate("x", F.lit(0.0), lambda t, x: t + x["_p"])
     own = own.withColumn("_whole", whole)
